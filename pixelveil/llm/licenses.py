@@ -8,6 +8,9 @@ of the same, is dropped.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +89,8 @@ TEXTS = [
     ("proprietary", "all rights reserved", r"all rights reserved"),
     ("proprietary", "proprietary", r"proprietary and confidential"),
 ]
+#: Words of which every expression's match holds at least one.
+GATES = ["licen", "gpl", "wtfpl", "cc0", "cc by", "creative commons", "public domain", "permission", "redistribut", "neither the name", "proprietary", "all rights reserved", "do what the", "provided as is", "bsd", "public", "expat"]
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
@@ -135,7 +140,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c.lower() not in added | {"norm__", "twice__", "places__", "raw__"}]
     out = docs.select(*kept, normalised(F.col(text)).alias("norm__"))
     # Every word between two spaces of its own, so that neighbouring phrases don't share one.
-    out = out.withColumn("twice__", F.when(norm.rlike("license|cc by"), F.replace(norm, F.lit(" "), F.lit("  "))).otherwise(F.lit("")))
+    out = out.withColumn("twice__", F.when(F.contains(norm, F.lit("license")) | F.contains(norm, F.lit("cc by")), F.replace(norm, F.lit(" "), F.lit("  "))).otherwise(F.lit("")))
 
     def place(phrase: str, label: str) -> Column:
         p = F.lit(f" {'  '.join(phrase.split())} ")
@@ -145,8 +150,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.lit(label).alias("label"), n.alias("n"), words(head).alias("first"), (words(twice) - 1 - len(phrase.split()) - words(tail)).alias("last"))
 
     out = out.withColumn("places__", F.when(twice != "", F.filter(F.array(*[F.when(F.contains(twice, F.lit(f" {'  '.join(p.split())} ")), place(p, label)) for p, label in BASE]), lambda x: x.isNotNull())))
-    # Few texts pass the common words of all keywords, so the table of rules is looked at for few.
-    any_keyword = norm.rlike("licen[sc]e|gpl|wtfpl|bsd|cc0|cc by|creative commons|public domain|permission |redistribut|neither the name|proprietary|all rights reserved|do what the|provided as is")
+    # Few texts hold any gate word (every keyword contains one), so the table of rules is looked at for few.
+    any_keyword = reduce(or_, [F.contains(norm, F.lit(w)) for w in GATES])
     gated = F.filter(_rule_table(), lambda r: F.contains(norm, r["keyword"]))
     hits = F.flatten(F.transform(gated, lambda r: F.transform(_spans(norm, r), lambda s: F.struct(s["start"], s["end"], r["label"].alias("label"), r["rule"].alias("rule"), r["priority"].alias("priority"), r["confidence"].alias("confidence")))))
     none = F.array().cast("array<struct<start:bigint,end:bigint,label:string,rule:int,priority:int,confidence:double>>")
