@@ -6,8 +6,9 @@ opened and compared member by member.
 
 1. One pass hashes every text's shingle set and counts tokens that repeat within a batch. The frequent ones come
    last in the global token order; any order is right, this one keeps boilerplate out of prefixes.
-2. Sets that link share a token of their prefixes in that order (a set of n tokens needs ceil(3n/4) of them in
-   common with any partner). Tokens in the prefix of one set only are dropped, and so are sets without others.
+2. A set of n tokens has ceil(3n/4) of them in common with any partner, so sets that link share SHARED tokens (or
+   as many as that) of their prefixes in this order. Tokens in the prefix of one set only are dropped, then sets
+   with too few others, and so on.
 3. The remaining sets are grouped by their least token, in blocks of bounded size, and each group is closed
    under links. Group leaders are grouped again until every group fits a block.
 4. The matrix of (token, group) rows meets the sets' prefix tokens; each (query, group) pair is bounded and, if it
@@ -30,8 +31,10 @@ from .graph import components
 
 #: Members of a group that one task holds at a time.
 BLOCK = 256
-#: Tokens that occur in so many texts are put last, at most MOST_FREQUENT of them: they only steer the order.
-FREQUENT, MOST_FREQUENT = 24, 400_000
+#: Tokens that texts of one batch share are put last, at most MOST_FREQUENT of them: they only steer the order.
+MOST_FREQUENT = 1_000_000
+#: Tokens that the prefixes of linked sets share at least, and turns in which sets and tokens without partners are dropped.
+SHARED, TURNS = 4, 2
 #: Rows of a table of set ids that may be broadcast (8 bytes each).
 MOST_BROADCAST = 2_000_000
 
@@ -56,7 +59,7 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
             sids = [_sid(h) for h in sets]
             once = {s: h for s, h in zip(sids, sets, strict=True)}
             tokens, counts = np.unique(np.concatenate([*once.values(), np.empty(0, np.uint64)]), return_counts=True)
-            tokens, counts = _signed(tokens[counts > 2]), counts[counts > 2]
+            tokens, counts = _signed(tokens[counts > 1]), counts[counts > 1]
             k = len(tokens)
             return [ids + [None] * k, [len(h) for h in sets] + [-1] * k, sids + tokens.tolist(), [0] * len(ids) + counts.tolist()]
 
@@ -94,7 +97,7 @@ def _postings(docs: DataFrame, width: int, frequent) -> DataFrame:
                 h = shingle_hashes(space_words(t), width)
                 n = len(h)
                 if n:
-                    k, short = n - (3 * n + 3) // 4 + 1, n - (6 * n + 6) // 7 + 1
+                    k, short = min(n, n - (3 * n + 3) // 4 + SHARED), n - (6 * n + 6) // 7 + SHARED
                     tokens.append(order(h)[:k])
                     sids.append(np.full(k, _sid(h), np.int64))
                     ns.append(np.full(k, n, np.int32))
@@ -208,6 +211,11 @@ def by_group(df: DataFrame, keys: int, out: str, make: Callable[[], Callable[[It
     return df.mapInArrow(run, schema)
 
 
+def _needed(n: str):
+    """Tokens that the prefix of a set of ``n`` shares with that of a linked set, at least."""
+    return F.least(F.lit(SHARED), F.ceil(F.col(n) * 3 / 4))
+
+
 def _blocks(counts: DataFrame, key: str, size: int) -> DataFrame:
     return counts.select(key, F.ceil(F.col("count") / size).cast("int").alias("blocks"))
 
@@ -278,14 +286,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     both = stored(_signatures(base, width), "signatures")
     rows = both.where("n >= 0").select("doc_id", "n", "sid")
-    hot = both.where("n < 0").groupBy("sid").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT).orderBy(F.desc("seen"), "sid").limit(MOST_FREQUENT)
-    frequent = np.array([r.sid for r in hot.collect()], np.int64).view(np.uint64)[::-1].copy()
+    hot = both.where("n < 0").groupBy("sid").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "sid").limit(MOST_FREQUENT)
+    frequent = hot.select("sid").toArrow()["sid"].to_numpy().view(np.uint64)[::-1].copy()
     shared = spark.sparkContext.broadcast(frequent)
 
     by_token = Window.partitionBy("token")
     found = _postings(base.where("doc_id is not null"), width, shared).select("*", F.min("sid").over(by_token).alias("lo"), F.max("sid").over(by_token).alias("hi"), F.max("short").over(by_token).alias("any"))
     postings = stored(found.where("lo <> hi and any").select("token", "sid", "n", "short").distinct(), "postings")
 
+    for _ in range(TURNS):
+        enough = postings.groupBy("sid").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k")).select("sid")
+        left = postings.join(enough, "sid")
+        again = left.groupBy("token").agg(F.count("*").alias("k"), F.max("short").alias("any")).where("k > 1 and any").select("token")
+        postings = stored(left.join(again, "token").select("token", "sid", "n", "short"), "postings")
+
     active = stored(postings.select("sid").distinct().join(rows.where("doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid"), "active")
     texts = base.join(small_or_not(active, active.count(), MOST_BROADCAST), "doc_id").select("doc_id", "sid", "text")
     sets = stored(_sets(texts, width, shared), "sets")
@@ -297,7 +311,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     row = matrix.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("short").alias("any"))
     probe = matrix.join(row.select(F.col("token"), F.col("comp").alias("group"), "least", "most", "any"), "token")
     probe = probe.where(f"comp < group and (short or any) and {percent} * n <= 100 * most and {percent} * least <= 100 * n")
-    queries = stored(probe.select("sid", F.col("comp").alias("own"), "group").distinct(), "queries")
+    bound = probe.groupBy("sid", F.col("comp").alias("own"), "group").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k"))
+    queries = stored(bound.select("sid", "own", "group"), "queries")
     joined = components(stored(_open(sets, comp, queries, percent, block).distinct(), "joined"))
 
     root = comp.join(joined, comp.comp == joined.node, "left").select("sid", F.coalesce("root", "comp").alias("root"))
