@@ -10,9 +10,10 @@ opened and compared member by member.
    as many as that) of their prefixes in this order. Tokens in the prefix of one set only are dropped, then sets
    with too few others, and so on.
 3. The remaining sets are grouped by their least token, in blocks of bounded size, and each group is closed
-   under links. Group leaders are grouped again until every group fits a block.
-4. The matrix of (token, group) rows meets the sets' prefix tokens; each (query, group) pair is bounded and, if it
-   qualifies, opened, in blocks of members. One link to a group is enough, as its members are connected already.
+   under links. Group leaders are grouped again by the least token in other orders, until every group fits a block.
+4. The matrix of (token, group) rows meets the sets' prefix tokens; each (query, group) pair is bounded. One link to
+   a group is enough, as its members are connected already: first one query of each pair of groups meets the other's
+   leader, then the pairs that aren't connected yet are opened, in blocks of members.
 5. Star contraction joins the linked groups.
 """
 
@@ -37,6 +38,8 @@ MOST_FREQUENT = 1_000_000
 SHARED, TURNS = 4, 2
 #: Rows of a table of set ids that may be broadcast (8 bytes each).
 MOST_BROADCAST = 2_000_000
+#: Odd factors that give other orders of the tokens; the least token of each order is a grouping key.
+_TURNED = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF) for i in range(7)]
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -121,12 +124,12 @@ def _sets(docs: DataFrame, width: int, frequent) -> DataFrame:
                 h = shingle_hashes(space_words(t), width)
                 if _sid(h) == w:
                     o = order(h)
-                    rows.append((w, len(h), int(_signed(o[:1])[0]), int(_signed((h * np.uint64(0x9E3779B97F4A7C15)).min(keepdims=True))[0]), np.sort(_signed(h))))
-            return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], [], []]
+                    rows.append((w, len(h), [int(_signed(o[:1])[0])] + [int(_signed((h * m).min(keepdims=True))[0]) for m in _TURNED], np.sort(_signed(h))))
+            return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
 
         return f
 
-    return make_rows(docs, "sid bigint, n int, first bigint, second bigint, tokens array<bigint>", make)
+    return make_rows(docs, "sid bigint, n int, keys array<bigint>, tokens array<bigint>", make)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, both: int, percent: int) -> bool:
@@ -222,13 +225,16 @@ def _blocks(counts: DataFrame, key: str, size: int) -> DataFrame:
 
 def _groups(sets: DataFrame, percent: int, block: int) -> DataFrame:
     """(sid, comp): groups of linked sets, by least tokens, in blocks, until every group of leaders fits one block."""
-    comp, leaders = None, sets
-    for turn in range(8):
-        key = ("first", "second")[turn % 2]
+    comp, leaders, turns = None, sets, len(_TURNED) + 1
+    for turn in range(3 * turns):
+        key = "key"
+        leaders = leaders.withColumn(key, F.col("keys")[turn % turns])
         counts = stored(leaders.groupBy(key).count().where("count > 1"), "counts")
         n, most = counts.agg(F.count("*"), F.max("count")).first()
-        if not n or (turn > 2 and most <= block):
+        if turn >= turns and (most or 0) <= block:
             break
+        if not n:
+            continue
         keyed = leaders.join(small_or_not(_blocks(counts, key, block), n, MOST_BROADCAST), key).select(key, F.pmod("sid", "blocks").alias("block"), "sid", "tokens")
         keyed = keyed.repartition(key, "block").sortWithinPartitions(key, "block", "sid")
         links = by_group(keyed, 2, "sid bigint, leader bigint", lambda: lambda rows: close([(r[2], r[3]) for r in rows], percent))
@@ -242,13 +248,26 @@ def _groups(sets: DataFrame, percent: int, block: int) -> DataFrame:
     return comp if comp is not None else stored(sets.select("sid", F.col("sid").alias("comp")), "groups")
 
 
+def _meet_leaders(sets: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
+    """(a, b): groups joined because one member that the matrix found links to the other's leader."""
+    one = queries.groupBy("own", "group").agg(F.min("sid").alias("sid"))
+    asked = one.select("group", F.lit(1).alias("query"), "sid", "own")
+    leaders = one.select(F.col("group"), F.lit(0).alias("query"), F.col("group").alias("sid"), F.col("group").alias("own")).distinct()
+    return _compare(leaders.union(asked).withColumn("block", F.col("own") * 0), sets, percent)
+
+
 def _open(sets: DataFrame, comp: DataFrame, queries: DataFrame, percent: int, block: int) -> DataFrame:
     """(a, b): groups joined by a link, from (sid, group) pairs that the matrix found."""
     wanted = queries.select(F.col("group").alias("comp")).distinct()
     size = comp.join(wanted, "comp").groupBy("comp").count()
     members = comp.join(_blocks(size, "comp", block), "comp").select(F.col("comp").alias("group"), F.pmod("sid", "blocks").alias("block"), F.lit(0).alias("query"), "sid", F.col("comp").alias("own"))
     asked = queries.join(_blocks(size, "comp", block).withColumnRenamed("comp", "group"), "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "sid", "own")
-    rows = members.union(asked).join(sets.select("sid", "tokens"), "sid").select("group", "block", "query", "sid", "own", "tokens")
+    return _compare(members.union(asked), sets, percent)
+
+
+def _compare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Stream each group's block: members first, which are held, then queries, each bounded and compared."""
+    rows = rows.join(sets.select("sid", "tokens"), "sid").select("group", "block", "query", "sid", "own", "tokens")
     rows = rows.repartition("group", "block").sortWithinPartitions("group", "block", "query", "sid")
 
     def make():
@@ -313,7 +332,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     probe = probe.where(f"comp < group and (short or any) and {percent} * n <= 100 * most and {percent} * least <= 100 * n")
     bound = probe.groupBy("sid", F.col("comp").alias("own"), "group").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k"))
     queries = stored(bound.select("sid", "own", "group"), "queries")
-    joined = components(stored(_open(sets, comp, queries, percent, block).distinct(), "joined"))
+    # One link joins two groups, so most pairs are settled by a leader; what is left is opened member by member.
+    near = stored(_meet_leaders(sets, queries, percent).distinct(), "met")
+    met = components(near)
+    left = queries.join(met.select(F.col("node").alias("own"), F.col("root").alias("x")), "own", "left").join(met.select(F.col("node").alias("group"), F.col("root").alias("y")), "group", "left")
+    left = stored(left.where(F.coalesce("x", "own") != F.coalesce("y", "group")).select("sid", "own", "group"), "left")
+    joined = components(stored(near.union(_open(sets, comp, left, percent, block).distinct()), "joined"))
 
     root = comp.join(joined, comp.comp == joined.node, "left").select("sid", F.coalesce("root", "comp").alias("root"))
     least = rows.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("low")).join(root, "sid", "left")
