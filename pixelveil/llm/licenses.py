@@ -19,7 +19,7 @@ BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 
 #: Label, keyword that gates the rules, and the expression of the license's name in normalised text.
 NAMES = [
-    ("gpl", "general public", r"(?:gnu )?(?:lesser |library |affero )?general public licen[sc]e"),
+    ("gpl", "general public", r"(?:gnu )?general public licen[sc]e"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[sc]e"),
     ("lgpl", "library general", r"(?:gnu )?library general public licen[sc]e"),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e"),
