@@ -219,6 +219,21 @@ def _needed(n: str):
     return F.least(F.lit(SHARED), F.ceil(F.col(n) * 3 / 4))
 
 
+def _within():
+    """Whether a set of ``n`` may link to a set of a group that has ``every`` of its prefix tokens.
+
+    Of two sets, that whose prefix ends first in the order has all its common tokens but those beyond its prefix,
+    at most 3n/4 - SHARED + 1, counted; 3/7 of both sizes are needed. The excess is convex in the other set's size,
+    so the ends of the range of sizes decide.
+    """
+
+    def at(m):
+        rest = F.greatest(F.lit(0), 21 * F.col("n") - 28 * (SHARED - 1), 21 * m - 28 * (SHARED - 1))
+        return 28 * F.col("every") + rest >= 12 * (F.col("n") + m)
+
+    return at(F.greatest("least", F.floor(F.col("n") * 3 / 4))) | at(F.least("most", F.ceil(F.col("n") * 4 / 3)))
+
+
 def _blocks(counts: DataFrame, key: str, size: int) -> DataFrame:
     return counts.select(key, F.ceil(F.col("count") / size).cast("int").alias("blocks"))
 
@@ -311,13 +326,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     by_token = Window.partitionBy("token")
     found = _postings(base.where("doc_id is not null"), width, shared).select("*", F.min("sid").over(by_token).alias("lo"), F.max("sid").over(by_token).alias("hi"), F.max("short").over(by_token).alias("any"))
-    postings = stored(found.where("lo <> hi and any").select("token", "sid", "n", "short").distinct(), "postings")
+    postings = stored(found.where("lo <> hi").select("token", "sid", "n", "short", "any").distinct(), "postings")
 
     for _ in range(TURNS):
-        enough = postings.groupBy("sid").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k")).select("sid")
-        left = postings.join(enough, "sid")
-        again = left.groupBy("token").agg(F.count("*").alias("k"), F.max("short").alias("any")).where("k > 1 and any").select("token")
-        postings = stored(left.join(again, "token").select("token", "sid", "n", "short"), "postings")
+        enough = postings.groupBy("sid").agg(F.count_if("any").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k")).select("sid")
+        left = postings.drop("any").join(enough, "sid")
+        again = left.groupBy("token").agg(F.count("*").alias("k"), F.max("short").alias("any")).where("k > 1").select("token", "any")
+        postings = stored(left.join(again, "token").select("token", "sid", "n", "short", "any"), "postings")
 
     active = stored(postings.select("sid").distinct().join(rows.where("doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid"), "active")
     texts = base.join(small_or_not(active, active.count(), MOST_BROADCAST), "doc_id").select("doc_id", "sid", "text")
@@ -326,11 +341,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         sets = stored(sets.dropDuplicates(["sid"]), "sets")
 
     comp = _groups(sets, percent, block)
-    matrix = postings.join(comp, "sid")
+    matrix = postings.drop("any").join(comp, "sid")
     row = matrix.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("short").alias("any"))
     probe = matrix.join(row.select(F.col("token"), F.col("comp").alias("group"), "least", "most", "any"), "token")
-    probe = probe.where(f"comp < group and (short or any) and {percent} * n <= 100 * most and {percent} * least <= 100 * n")
-    bound = probe.groupBy("sid", F.col("comp").alias("own"), "group").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k"))
+    probe = probe.where(f"comp < group and {percent} * n <= 100 * most and {percent} * least <= 100 * n")
+    seen = [F.count_if(F.col("short") | F.col("any")).alias("k"), F.count("*").alias("every"), F.min("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")]
+    bound = probe.groupBy("sid", F.col("comp").alias("own"), "group").agg(*seen).where((_needed("n") <= F.col("k")) & _within())
     queries = stored(bound.select("sid", "own", "group"), "queries")
     # One link joins two groups, so most pairs are settled by a leader; what is left is opened member by member.
     near = stored(_meet_leaders(sets, queries, percent).distinct(), "met")
