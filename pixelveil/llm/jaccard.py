@@ -12,8 +12,8 @@ opened and compared member by member.
 3. The remaining sets are grouped by their least token, in blocks of bounded size, and each group is closed
    under links. Group leaders are grouped again by the least token in other orders, until every group fits a block.
 4. The matrix of (token, group) rows meets the sets' prefix tokens; each (query, group) pair is bounded. One link to
-   a group is enough, as its members are connected already: first one query of each pair of groups meets the other's
-   leader, then the pairs that aren't connected yet are opened, in blocks of members.
+   a group is enough, as its members are connected already. Of two groups the smaller one's sets ask, so few sets
+   near a group of thousands ask it once each. Qualifying groups are opened in blocks of members.
 5. Star contraction joins the linked groups.
 """
 
@@ -39,7 +39,7 @@ SHARED, TURNS = 4, 2
 #: Rows of a table of set ids that may be broadcast (8 bytes each).
 MOST_BROADCAST = 2_000_000
 #: Odd factors that give other orders of the tokens; the least token of each order is a grouping key.
-_TURNED = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF) for i in range(7)]
+_TURNED = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF) for i in range(3)]
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -248,14 +248,6 @@ def _groups(sets: DataFrame, percent: int, block: int) -> DataFrame:
     return comp if comp is not None else stored(sets.select("sid", F.col("sid").alias("comp")), "groups")
 
 
-def _meet_leaders(sets: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """(a, b): groups joined because one member that the matrix found links to the other's leader."""
-    one = queries.groupBy("own", "group").agg(F.min("sid").alias("sid"))
-    asked = one.select("group", F.lit(1).alias("query"), "sid", "own")
-    leaders = one.select(F.col("group"), F.lit(0).alias("query"), F.col("group").alias("sid"), F.col("group").alias("own")).distinct()
-    return _compare(leaders.union(asked).withColumn("block", F.col("own") * 0), sets, percent)
-
-
 def _open(sets: DataFrame, comp: DataFrame, queries: DataFrame, percent: int, block: int) -> DataFrame:
     """(a, b): groups joined by a link, from (sid, group) pairs that the matrix found."""
     wanted = queries.select(F.col("group").alias("comp")).distinct()
@@ -326,18 +318,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         sets = stored(sets.dropDuplicates(["sid"]), "sets")
 
     comp = _groups(sets, percent, block)
-    matrix = postings.join(comp, "sid")
-    row = matrix.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("short").alias("any"))
-    probe = matrix.join(row.select(F.col("token"), F.col("comp").alias("group"), "least", "most", "any"), "token")
-    probe = probe.where(f"comp < group and (short or any) and {percent} * n <= 100 * most and {percent} * least <= 100 * n")
+    sizes = comp.groupBy("comp").agg(F.count("*").alias("size"))
+    matrix = postings.join(comp.join(sizes, "comp"), "sid")
+    row = matrix.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("short").alias("any"), F.max("size").alias("large"))
+    probe = matrix.join(row.select(F.col("token"), F.col("comp").alias("group"), "least", "most", "any", "large"), "token")
+    probe = probe.where(f"(size < large or size = large and comp < group) and (short or any) and {percent} * n <= 100 * most and {percent} * least <= 100 * n")
     bound = probe.groupBy("sid", F.col("comp").alias("own"), "group").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k"))
     queries = stored(bound.select("sid", "own", "group"), "queries")
-    # One link joins two groups, so most pairs are settled by a leader; what is left is opened member by member.
-    near = stored(_meet_leaders(sets, queries, percent).distinct(), "met")
-    met = components(near)
-    left = queries.join(met.select(F.col("node").alias("own"), F.col("root").alias("x")), "own", "left").join(met.select(F.col("node").alias("group"), F.col("root").alias("y")), "group", "left")
-    left = stored(left.where(F.coalesce("x", "own") != F.coalesce("y", "group")).select("sid", "own", "group"), "left")
-    joined = components(stored(near.union(_open(sets, comp, left, percent, block).distinct()), "joined"))
+    joined = components(stored(_open(sets, comp, queries, percent, block).distinct(), "joined"))
 
     root = comp.join(joined, comp.comp == joined.node, "left").select("sid", F.coalesce("root", "comp").alias("root"))
     least = rows.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("low")).join(root, "sid", "left")
