@@ -9,12 +9,14 @@ opened and compared member by member.
 2. A set of n tokens has ceil(3n/4) of them in common with any partner, so sets that link share SHARED tokens (or
    as many as that) of their prefixes in this order. Tokens in the prefix of one set only are dropped, then sets
    with too few others, and so on.
-3. The remaining sets are grouped by their least token, in blocks of bounded size, and each group is closed
-   under links. Group leaders are grouped again by the least token in other orders, until every group fits a block.
-4. The matrix of (token, group) rows meets the sets' prefix tokens; each (query, group) pair is bounded. One link to
-   a group is enough, as its members are connected already. Of two groups the smaller one's sets ask, so few sets
-   near a group of thousands ask it once each. Qualifying groups are opened in blocks of members.
-5. Star contraction joins the linked groups.
+3. The remaining sets are put into groups by their least token, in blocks of bounded size: linked sets join, and a
+   set of which much is in a group's first set joins that group without a link. The first sets of all groups are
+   grouped again by the least token in other orders, until what shares a token fits a block.
+4. The matrix of (token, group) rows meets the sets' prefix tokens; each (query, group) pair is bounded. Of two groups
+   the smaller one's sets ask, so few sets near a group of thousands ask it once each. Within a group, every set that
+   isn't linked to its largest part asks. Groups that are asked are opened in blocks of members: an index of the
+   block's tokens gives the overlap with the union, and where that allows a link, the overlap with every member.
+5. Star contraction joins the linked parts.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ BLOCK = 256
 MOST_FREQUENT = 1_000_000
 #: Tokens that the prefixes of linked sets share at least, and turns in which sets and tokens without partners are dropped.
 SHARED, TURNS = 4, 2
+#: Percentage of similarity to a group's first set at which a set joins it without a link; any value gives the same links.
+NEAR = 40
 #: Rows of a table of set ids that may be broadcast (8 bytes each).
 MOST_BROADCAST = 2_000_000
 #: Odd factors that give other orders of the tokens; the least token of each order is a grouping key.
@@ -164,8 +168,8 @@ class Group:
         self.union = np.union1d(self.union, other.union)
 
 
-def close(sets: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """(sid, leader) of every set of a block, closed under links."""
+def close(sets: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int, int]]:
+    """(sid, leader, first) of every set of a block: closed under links; ``first`` is the leader that the leader is near to."""
     groups: list[Group] = []
     mine: list[tuple[int, Group]] = []
     for sid, tokens in sets:
@@ -182,7 +186,33 @@ def close(sets: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, i
         else:
             groups.append(new)
         mine.append((sid, new))
-    return [(s, g.leader) for s, g in mine]
+    tokens, firsts, near = dict(sets), [], {}
+    for leader in sorted(g.leader for g in groups):
+        x = tokens[leader]
+        near[leader] = next((f for f in firsts if _linked(x, tokens[f], _common(x, tokens[f]), NEAR)), leader)
+        if near[leader] == leader:
+            firsts.append(leader)
+    return [(s, g.leader, near[g.leader]) for s, g in mine]
+
+
+class Block:
+    """Members of a group with an index of their tokens."""
+
+    def __init__(self, parts: list[int], members: list[np.ndarray]):
+        self.parts, self.sizes = np.array(parts, np.int64), np.array([len(m) for m in members])
+        tokens = np.concatenate(members)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owners = tokens[order], np.repeat(np.arange(len(members)), self.sizes)[order]
+
+    def open(self, x: np.ndarray, percent: int) -> np.ndarray:
+        """The parts with a member that ``x`` links to; members are compared only if the overlap with the union allows one."""
+        low, high = np.searchsorted(self.tokens, x, "left"), np.searchsorted(self.tokens, x, "right")
+        n = high - low
+        if 100 * np.count_nonzero(n) < percent * len(x):
+            return self.parts[:0]
+        at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        both = np.bincount(self.owners[at], minlength=len(self.parts))
+        return np.unique(self.parts[100 * both >= percent * (len(x) + self.sizes - both)])
 
 
 def by_group(df: DataFrame, keys: int, out: str, make: Callable[[], Callable[[Iterator[list]], Iterator[tuple]]]) -> DataFrame:
@@ -224,8 +254,8 @@ def _blocks(counts: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def _groups(sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """(sid, comp): groups of linked sets, by least tokens, in blocks, until every group of leaders fits one block."""
-    comp, leaders, turns = None, sets, len(_TURNED) + 1
+    """(sid, part, group): parts of linked sets and groups of similar parts, until every key's groups fit one block."""
+    base, leaders, turns = sets.select("sid", F.col("sid").alias("part"), F.col("sid").alias("group")), sets, len(_TURNED) + 1
     for turn in range(3 * turns):
         key = "key"
         leaders = leaders.withColumn(key, F.col("keys")[turn % turns])
@@ -237,44 +267,47 @@ def _groups(sets: DataFrame, percent: int, block: int) -> DataFrame:
             continue
         keyed = leaders.join(small_or_not(_blocks(counts, key, block), n, MOST_BROADCAST), key).select(key, F.pmod("sid", "blocks").alias("block"), "sid", "tokens")
         keyed = keyed.repartition(key, "block").sortWithinPartitions(key, "block", "sid")
-        links = by_group(keyed, 2, "sid bigint, leader bigint", lambda: lambda rows: close([(r[2], r[3]) for r in rows], percent))
-        links = stored(links.where("sid <> leader"), "links")
-        moved = links.count()
+        moves = by_group(keyed, 2, "old bigint, leader bigint, first bigint", lambda: lambda rows: close([(r[2], r[3]) for r in rows], percent))
+        moves = stored(moves.where("old <> first"), "moves")
+        moved = moves.count()
         if moved:
-            link = small_or_not(links.withColumnRenamed("sid", "old").withColumnRenamed("leader", "new"), moved, MOST_BROADCAST)
-            base = comp if comp is not None else sets.select("sid", F.col("sid").alias("comp"))
-            comp = stored(base.join(link, base.comp == F.col("old"), "left").select("sid", F.coalesce("new", "comp").alias("comp")), "groups")
-            leaders = leaders.join(small_or_not(links.select("sid"), moved, MOST_BROADCAST), "sid", "left_anti")
-    return comp if comp is not None else stored(sets.select("sid", F.col("sid").alias("comp")), "groups")
+            base = base.join(small_or_not(moves, moved, MOST_BROADCAST), F.col("group") == F.col("old"), "left")
+            part = F.when(F.col("part") == F.col("old"), F.col("leader")).otherwise(F.col("part"))
+            base = stored(base.select("sid", part.alias("part"), F.coalesce("first", "group").alias("group")), "groups")
+            leaders = leaders.join(small_or_not(moves.select(F.col("old").alias("sid")), moved, MOST_BROADCAST), "sid", "left_anti")
+    return stored(base, "groups")
 
 
-def _open(sets: DataFrame, comp: DataFrame, queries: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b): groups joined by a link, from (sid, group) pairs that the matrix found."""
-    wanted = queries.select(F.col("group").alias("comp")).distinct()
-    size = comp.join(wanted, "comp").groupBy("comp").count()
-    members = comp.join(_blocks(size, "comp", block), "comp").select(F.col("comp").alias("group"), F.pmod("sid", "blocks").alias("block"), F.lit(0).alias("query"), "sid", F.col("comp").alias("own"))
-    asked = queries.join(_blocks(size, "comp", block).withColumnRenamed("comp", "group"), "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "sid", "own")
-    return _compare(members.union(asked), sets, percent)
+def _within(comp: DataFrame) -> DataFrame:
+    """(sid, own, group): sets that ask their own group: those outside its largest part."""
+    parts = comp.groupBy("group", "part").agg(F.count("*").alias("size"))
+    most = parts.groupBy("group").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    return comp.join(most.select("group", F.col("most.part").alias("largest")), "group").where("part <> largest").select("sid", F.col("part").alias("own"), "group")
 
 
-def _compare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Stream each group's block: members first, which are held, then queries, each bounded and compared."""
-    rows = rows.join(sets.select("sid", "tokens"), "sid").select("group", "block", "query", "sid", "own", "tokens")
+def _open(sets: DataFrame, comp: DataFrame, queries: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): parts joined by a link, from (sid, own, group) queries."""
+    size = _blocks(comp.join(queries.select("group").distinct(), "group").groupBy("group").count(), "group", block)
+    members = comp.join(size, "group").select("group", F.pmod("sid", "blocks").alias("block"), F.lit(0).alias("query"), "sid", F.col("part").alias("own"))
+    asked = queries.join(size, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "sid", "own")
+    rows = members.union(asked).join(sets.select("sid", "tokens"), "sid").select("group", "block", "query", "sid", "own", "tokens")
     rows = rows.repartition("group", "block").sortWithinPartitions("group", "block", "query", "sid")
 
     def make():
         def f(rows):
-            held = None
-            for group, _, query, sid, own, tokens in rows:
+            parts, held, index, found = [], [], None, set()
+            for _, _, query, _, own, tokens in rows:
                 if not query:
-                    held = Group(group, tokens) if held is None else held
-                    if held.members[0] is not tokens:
-                        held.members.append(tokens)
-                else:
-                    if held is not None and len(held.members) > 1 and held.union is held.members[0]:
-                        held.union = np.unique(np.concatenate(held.members))
-                    if held is not None and held.open(tokens, percent):
-                        yield own, group
+                    parts.append(own)
+                    held.append(tokens)
+                elif held:
+                    if index is None:
+                        index = Block(parts, held)
+                    for part in index.open(tokens, percent).tolist():
+                        pair = (min(own, part), max(own, part))
+                        if own != part and pair not in found:
+                            found.add(pair)
+                            yield pair
 
         return f
 
@@ -318,16 +351,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         sets = stored(sets.dropDuplicates(["sid"]), "sets")
 
     comp = _groups(sets, percent, block)
-    sizes = comp.groupBy("comp").agg(F.count("*").alias("size"))
-    matrix = postings.join(comp.join(sizes, "comp"), "sid")
-    row = matrix.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("short").alias("any"), F.max("size").alias("large"))
-    probe = matrix.join(row.select(F.col("token"), F.col("comp").alias("group"), "least", "most", "any", "large"), "token")
-    probe = probe.where(f"(size < large or size = large and comp < group) and (short or any) and {percent} * n <= 100 * most and {percent} * least <= 100 * n")
-    bound = probe.groupBy("sid", F.col("comp").alias("own"), "group").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k"))
-    queries = stored(bound.select("sid", "own", "group"), "queries")
+    sizes = comp.groupBy("group").agg(F.count("*").alias("size"))
+    matrix = postings.join(comp.join(sizes, "group").select("sid", "part", F.col("group").alias("home"), "size"), "sid")
+    row = matrix.groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("short").alias("any"), F.max("size").alias("large"))
+    probe = matrix.join(row.select(F.col("token"), F.col("home").alias("group"), "least", "most", "any", "large"), "token")
+    probe = probe.where(f"(size < large or size = large and home < group) and (short or any) and {percent} * n <= 100 * most and {percent} * least <= 100 * n")
+    bound = probe.groupBy("sid", F.col("part").alias("own"), "group").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k"))
+    queries = stored(bound.select("sid", "own", "group").union(_within(comp)), "queries")
     joined = components(stored(_open(sets, comp, queries, percent, block).distinct(), "joined"))
 
-    root = comp.join(joined, comp.comp == joined.node, "left").select("sid", F.coalesce("root", "comp").alias("root"))
+    root = comp.join(joined, comp.part == joined.node, "left").select("sid", F.coalesce("root", "part").alias("root"))
     least = rows.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("low")).join(root, "sid", "left")
     tops = least.where("root is not null").groupBy("root").agg(F.min("low").alias("top"))
     top = least.join(tops, "root", "left").select("sid", F.coalesce("top", "low").alias("component"))
