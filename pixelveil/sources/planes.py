@@ -119,9 +119,10 @@ def frame_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rows of the vectors' plane are one row of colours; alpha is 0 at every seventh pixel."""
-    g = embeddings_plane(spark, sf_dir).where("r < 498").select("img", F.floor(F.col("r") / 3).alias("r"), "c", (F.col("r") % 3).cast("int").alias("ch"), "v")
-    return to_wide(g).withColumn("alpha", F.when((F.col("r") * 64 + F.col("c")) % 7 == 0, 0).otherwise(255))
+    """Three rows of the vectors' plane are one row of colours, those of an incomplete last triple are dropped; alpha is 0 at every seventh pixel."""
+    g = embeddings_plane(spark, sf_dir).select("img", F.floor(F.col("r") / 3).alias("r"), "c", (F.col("r") % 3).cast("int").alias("ch"), "v")
+    whole = to_wide(g).where("red is not null and green is not null and blue is not null")
+    return whole.withColumn("alpha", F.when((F.col("r") * 64 + F.col("c")) % 7 == 0, 0).otherwise(255))
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

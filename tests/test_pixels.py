@@ -129,3 +129,15 @@ def test_names_and_rates(spark):
     with pytest.raises(Exception, match="no extension"):
         spark.createDataFrame([("ab.",)], "p string").select(pixel.with_suffix(F.col("p"), "_W")).collect()
     assert d.select(pixel.frame_rate(F.lit(30000.0), F.lit(1001.0)).alias("x")).first().x == 29.97
+
+
+@pytest.mark.parametrize("n", [7, 501, 2000])
+def test_rgb_plane_holds_every_whole_triple_of_vectors(spark, tmp_path, n):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where(F.col("vec_id") < n)
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = np.array([r.embedding for r in e.orderBy("vec_id").collect()], float)
+    v = np.floor(np.clip(x * 240 + 128, 0, 255))[: n // 3 * 3].reshape(n // 3, 3, 64)
+    got = planes.rgb_plane(spark, str(tmp_path)).orderBy("r", "c").toPandas()
+    assert len(got) == n // 3 * 64
+    for ch, name in enumerate(("red", "green", "blue")):
+        assert np.array_equal(got[name].to_numpy().reshape(n // 3, 64), v[:, ch])
