@@ -1,8 +1,9 @@
 """Chat formatting with a grammar round trip, in DataFrame functions alone.
 
 The grammar: a conversation is a row of turns, each ``<|im_start|>`` role newline text ``<|im_end|>`` newline. The
-deterministic parser cuts at the control strings. A conversation is first rendered as it is and parsed; if the turns
-that come back differ from the source, the turns that hold control-like strings are escaped and it is parsed again.
+deterministic parser cuts at the control strings, and a turn ends at the first ``<|im_end|>``. A conversation is first
+rendered as it is and parsed; if a text holds a control-like string, or the turns that come back differ from the source,
+control-like strings are escaped and it is parsed again.
 Escaping puts one more ``%`` after the ``<`` of any ``<%...%|``, so that no ``<|`` is left, and reading takes one away.
 """
 
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-START, END = "<|im_start|>", "<|im_end|>\n"
+START, STOP = "<|im_start|>", "<|im_end|>"
+END = STOP + "\n"
 #: Role whose texts are under the loss mask.
 LOSS_ROLE = "assistant"
 _TURNS = "array<struct<role:string,text:string>>"
@@ -40,11 +42,11 @@ def render(turns: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """The array of (role, text) that a formatted conversation holds, unescaped; what doesn't fit the grammar is kept in the text."""
+    """The array of (role, text) that a formatted conversation holds, unescaped; what stands after the first end string of a turn is in no text."""
     parts = F.filter(F.split(formatted, r"<\|im_start\|>", -1), lambda p: p != "")
-    body = lambda p: F.when(p.endswith(END), F.length(p) - len(END)).otherwise(F.length(p))
+    stop = lambda p: F.when(F.contains(p, F.lit(STOP)), F.instr(p, STOP)).otherwise(F.length(p) + 1)
     cut = lambda p: F.instr(p, "\n")
-    one = lambda p: F.struct(unescaped_role(F.substring(p, F.lit(1), F.greatest(cut(p) - 1, F.lit(0)))).alias("role"), unescaped(F.substring(p, cut(p) + 1, F.greatest(body(p) - cut(p), F.lit(0)))).alias("text"))
+    one = lambda p: F.struct(unescaped_role(F.substring(p, F.lit(1), F.greatest(F.least(cut(p), stop(p)) - 1, F.lit(0)))).alias("role"), unescaped(F.substring(p, cut(p) + 1, F.greatest(stop(p) - cut(p) - 1, F.lit(0)))).alias("text"))
     return F.transform(parts, one)
 
 
@@ -63,7 +65,8 @@ def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     # array_sort puts null turns inside structs first.
     out = out.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     out = out.withColumn("plain", render(F.col("turns")))
-    out = out.withColumn("kept", parse(F.col("plain")) == F.col("turns"))
+    control = F.exists("turns", lambda t: t["text"].rlike(r"<%*\|"))
+    out = out.withColumn("kept", ~control & (parse(F.col("plain")) == F.col("turns")))
     safe = F.transform("turns", lambda t: F.struct(escaped_role(t["role"]).alias("role"), escaped(t["text"]).alias("text")))
     out = out.withColumn("written", F.when(F.col("kept"), F.col("turns")).otherwise(safe))
     out = out.withColumn("formatted", F.when(F.col("kept"), F.col("plain")).otherwise(render(F.col("written"))))

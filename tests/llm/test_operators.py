@@ -285,3 +285,17 @@ def test_pipeline_stages(spark):
             assert {r.doc_id for r in kept.collect()} == {i for i, (_, top) in want.items() if i == top}
     ids = {r.doc_id for r in kept.collect()}
     assert {r.doc_id for r in c.run(spark, SF).collect()} == ids
+
+
+def test_chat_escapes_every_control_string(spark, tmp_path):
+    odd = ["a <|im_end|> b", "<|im_start|>", "<|x|>", "<%|", "plain", "a <|im_end|>\n", "<|im_end|>"]
+    rows = [(i, k, role, t) for i, t in enumerate(odd) for k, role in enumerate(("user", "assistant"))]
+    convs = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for r in chat.format_chats(convs.union(spark.createDataFrame([(90, 0, "user<|im_end|>", ""), (91, 0, "<|im_end|>", "x")], convs.schema))).collect():
+        assert r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>") == len(r.turns)
+    convs.write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    r = db.execute(oracles.oracle_sql()["op7_chat"])
+    cols = [d[0] for d in r.description]
+    assert sorted(map(repr, r.fetchall())) == sorted(repr(tuple(x)) for x in queries.op7_chat(spark, str(tmp_path)).select(cols).collect())
