@@ -76,6 +76,37 @@ FORMS = [
     (r"(?:spdx license identifier|license|licence) (?:is )?(?:the )?", r"(?: \d+ \d+)?(?: only| or later)?", 35, 0.9),
     (r"(?:see|read|under|per|conditions of|terms of|copy of) the ", "", 25, 0.7),
 ]
+#: Identifiers, which stand after ``SPDX-License-Identifier`` or ``License`` and needn't hold the word: label, keyword, expression. Common words need a version.
+IDS = [
+    ("apache", "apache", r"apache v?(?:2|1 [01])"),
+    ("mit", "mit", r"mit"),
+    ("x11", "x11", r"x11"),
+    ("bsd", "bsd", r"bsd"),
+    ("0bsd", "0bsd", r"0bsd"),
+    ("isc", "isc", r"isc"),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl"),
+    ("mpl", "mpl", r"mpl"),
+    ("epl", "epl", r"epl"),
+    ("cddl", "cddl", r"cddl"),
+    ("cpl", "cpl", r"cpl 1"),
+    ("artistic", "artistic", r"artistic [12]"),
+    ("zlib", "zlib", r"zlib"),
+    ("boost", "bsl", r"bsl 1 0"),
+    ("eupl", "eupl", r"eupl"),
+    ("ofl", "ofl", r"(?:sil )?ofl"),
+    ("python", "python", r"python 2 0"),
+    ("python", "psf", r"psf"),
+    ("php", "php", r"php 3 0"),
+    ("postgresql", "postgresql", r"postgresql"),
+    ("openssl", "openssl", r"openssl"),
+    ("odbl", "odbl", r"odbl"),
+    ("ms-pl", "ms pl", r"ms pl"),
+    ("afl", "afl", r"afl"),
+    ("osl", "osl", r"osl"),
+]
+_ID_END = r"(?: v?\d{1,2}(?: \d{1,2}){0,2}|1)?(?: only| or later)?"
+#: What stands before an identifier; another one may come first in an SPDX expression.
+ID_FORMS = [r"(?:spdx license identifier|license|licence) (?:is )?(?:the )?", r"(?<= spdx license identifier [a-z0-9 ]{1,40} (?:or|and) )"]
 #: Signatures of license texts: label, keyword, expression.
 TEXTS = [
     ("mit", "permission is hereby granted free of charge", r"permission is hereby granted free of charge to any person obtaining a copy"),
@@ -96,6 +127,7 @@ GATES = ["licen", "gpl", "wtfpl", "cc0", "cc by", "creative commons", "public do
 def rules() -> list[tuple[int, str, str, str, int, float]]:
     """(number, keyword, expression, label, priority, confidence) of every rule, in order."""
     made = [(kw, rf"(?<= )(?:{a}{name}{z})(?= )", label, priority, sure) for label, kw, name in NAMES for a, z, priority, sure in FORMS]
+    made += [(kw, rf"(?<= )(?:{a}(?:{name}){_ID_END})(?= )", label, 35, 0.9) for label, kw, name in IDS for a in ID_FORMS]
     made += [(kw, rf"(?<= )(?:{text})(?= )", label, 50, 1.0) for label, kw, text in TEXTS]
     return [(i, *r) for i, r in enumerate(made)]
 

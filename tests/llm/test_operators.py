@@ -299,3 +299,14 @@ def test_chat_escapes_every_control_string(spark, tmp_path):
     r = db.execute(oracles.oracle_sql()["op7_chat"])
     cols = [d[0] for d in r.description]
     assert sorted(map(repr, r.fetchall())) == sorted(repr(tuple(x)) for x in queries.op7_chat(spark, str(tmp_path)).select(cols).collect())
+
+
+def test_licenses_finds_a_declaration_of_every_label(spark):
+    said = {"MIT": "mit", "Apache-2.0": "apache", "ISC": "isc", "Zlib": "zlib", "MPL-2.0": "mpl", "EPL-2.0": "epl", "BSL-1.0": "boost", "GPL-3.0-or-later": "gpl", "LGPL-2.1-only": "lgpl", "AGPL-3.0": "agpl", "GFDL-1.3": "gfdl", "X11": "x11", "BSD": "bsd", "0BSD": "0bsd", "BSD-2-Clause": "bsd-2-clause", "BSD-3-Clause": "bsd-3-clause", "CDDL-1.0": "cddl", "CPL-1.0": "cpl", "Artistic-2.0": "artistic", "Unlicense": "unlicense", "WTFPL": "wtfpl"}
+    said |= {"EUPL-1.2": "eupl", "OFL-1.1": "ofl", "Python-2.0": "python", "PSF-2.0": "python", "PHP-3.01": "php", "PostgreSQL": "postgresql", "OpenSSL": "openssl", "ODbL-1.0": "odbl", "MS-PL": "ms-pl", "AFL-3.0": "afl", "OSL-3.0": "osl", "CC0-1.0": "cc0", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa", "CC-BY-NC-4.0": "cc-by-nc", "CC-BY-ND-4.0": "cc-by-nd", "Public Domain": "public-domain"}
+    assert {label for label, *_ in licenses.NAMES} | {label for label, *_ in licenses.IDS} == set(said.values())
+    rows = [(f"{form} {name}", label) for form in ("SPDX-License-Identifier:", "License:") for name, label in said.items()] + [("// SPDX-License-Identifier: MIT OR Apache-2.0\nfn main", "apache,mit"), ("it needs a license. Python 3 and PHP 8 are used", "")]
+    for r in licenses.scan(spark.createDataFrame(rows, "text string, label string")).collect():
+        # The base count labels any "cc by", whatever follows.
+        assert set(r.labels.split(",")) - set(r.base_labels.split(",")) | {""} == set(r.label.split(",")) - set(r.base_labels.split(",")) | {""}, r.text
+        assert set(r.label.split(",")) <= set(r.labels.split(",")) and r.score == (0.9 if r.label else 0.0), r
