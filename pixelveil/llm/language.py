@@ -43,7 +43,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAM
     """A dictionary per language from a sample of ``docs`` (already without held-out rows), bounded by ``rows`` and ``size``.
 
     The sample of a language is drawn by a hash of the text at a rate that its count sets, so it is the same for
-    any partitioning and no group of rows is gathered. Rows with a null text or language are not learned from.
+    any partitioning and no group of rows is gathered. Every drawn text enters, with an equal share of ``size`` at a
+    place that a hash picks; what short texts leave over goes to the others. Rows with a null text or language are not learned from.
     """
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(F.trim(text)) > 20)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -51,19 +52,23 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAM
         return {}
     rate = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, rows / n))])
     h = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    drawn = known.where(h < rate[F.col("lang")]).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct()
-    by: dict[str, list[str]] = {}
+    place = F.pmod(F.xxhash64("text", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)
+    drawn = known.where(h < rate[F.col("lang")]).select("lang", F.xxhash64("text", F.lit("order")).alias("h"), F.substring(F.col("text"), (place + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).distinct()
+    by: dict[str, list[tuple[int, bytes]]] = {}
     for r in drawn.collect():
-        by.setdefault(r.lang, []).append(r.text)
+        by.setdefault(r.lang, []).append((r.h, _rounded(r.text)))
     out = {}
     for k, texts in by.items():
-        seen, total = [], 0
-        for t in sorted(texts):
-            if total >= size:
-                break
-            seen.append(_rounded(t))
-            total += len(seen[-1])
-        out[k] = b"\n".join(seen)[-size:]
+        left, share = size - len(texts), {}
+        for i, (h, b) in enumerate(sorted(texts, key=lambda x: (len(x[1]), x))):
+            share[h, b] = min(len(b), max(left, 0) // (len(texts) - i))
+            left -= share[h, b]
+        parts = []
+        for h, b in sorted(texts):
+            n = share[h, b]
+            at = h % (len(b) - n + 1)
+            parts.append(b[at : at + n])
+        out[k] = b"\n".join(parts)[-size:]
     for k in set(counts) - set(out):  # a language so rare, or so repeated, that the draw missed it
         r = known.where(F.col("lang") == k).orderBy(F.xxhash64("text"), "text").limit(8).collect()
         out[k] = b"\n".join(_rounded(x.text[:SAMPLE_CHARS]) for x in r)[-size:]

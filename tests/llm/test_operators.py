@@ -310,3 +310,11 @@ def test_licenses_finds_a_declaration_of_every_label(spark):
         # The base count labels any "cc by", whatever follows.
         assert set(r.labels.split(",")) - set(r.base_labels.split(",")) | {""} == set(r.label.split(",")) - set(r.base_labels.split(",")) | {""}, r.text
         assert set(r.label.split(",")) <= set(r.labels.split(",")) and r.score == (0.9 if r.label else 0.0), r
+
+
+def test_language_learns_from_every_drawn_text(spark):
+    rows = [(f"{'a common opening ' * 200 if i % 3 == 0 else 'z '}{' '.join(chr(97 + i // 26) + chr(97 + i % 26) for _ in range(900))}", "en") for i in range(150)]
+    made = language.fit(spark.createDataFrame(rows, "text string, lang string"))["en"]
+    assert len(made) <= language.DICTIONARY_BYTES and made.count(b"\n") == 149
+    assert sum(f" {chr(97 + i // 26)}{chr(97 + i % 26)} ".encode() in made for i in range(150) if i % 3) == 100
+    assert language.fit(spark.createDataFrame(rows[::-1], "text string, lang string").repartition(3))["en"] == made
