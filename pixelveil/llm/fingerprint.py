@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SHINGLE, add_columns, rows_from, shingle_hashes, space_words, with_import_path
+from .common import SHINGLE, add_columns, rows_from, shingle_sets, small_or_not, stored, with_import_path
 
 K = 128
 _TOP = float(1 << 48)
@@ -23,8 +23,12 @@ _TOP = float(1 << 48)
 
 def sketch(text: str | None, k: int = K, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct least hashes, at most ``k``; none for a null or wordless text."""
-    h = np.unique(shingle_hashes(space_words(text), width) >> np.uint64(16)) if text else np.empty(0, np.uint64)
-    return h[:k]
+    return sketches([text], k, width)[0]
+
+
+def sketches(texts: pa.Array | list, k: int = K, width: int = SHINGLE) -> list[np.ndarray]:
+    """``sketch`` of each text."""
+    return [np.unique(h >> np.uint64(16))[:k] for h in shingle_sets(texts, width)]
 
 
 def encode(h: np.ndarray) -> str:
@@ -76,77 +80,72 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K, width: int = S
 
     def make():
         def f(texts):
-            s = [sketch(t, k, width) for t in texts]
+            s = sketches(texts, k, width)
             return [[encode(x) for x in s], [distinct(x, k) for x in s]]
 
         return f
 
-    return add_columns(docs, [text], "fingerprint string, n_distinct double", make)
+    return add_columns(docs, [text], "fingerprint string, n_distinct double", make, arrow=True)
 
 
-#: Characters of text that a bucket of neighbouring documents has on average, and most buckets.
-BUCKET_CHARS, MOST_BUCKETS = 8_000_000, 4096
+#: Characters of text that a bucket of neighbouring documents has on average, most buckets that cuts make, and rows of small tables that may be broadcast.
+BUCKET_CHARS, MOST_BUCKETS, MOST_BROADCAST = 8_000_000, 65_536, 100_000
 #: Stands for a null id, so that nulls come first.
 _NULL = -(1 << 63)
 
 
-def _bucket(c, cuts: list):
-    """How many of the sorted ``cuts`` are at most ``c``, by halving."""
+def _bucket(c, cuts: list[int]):
+    """How many of the sorted ``cuts`` are at most ``c``, by halving; the expression is as large for any number of cuts."""
     if not cuts:
         return F.lit(0)
-    grid = F.lit(cuts).cast("array<bigint>")
+    grid = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
     steps = F.lit([1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)])
     return F.aggregate(steps, F.lit(0), lambda at, k: F.when(F.coalesce(F.try_element_at(grid, at + k) <= c, F.lit(False)), at + k).otherwise(at))
 
 
-def with_next(docs: DataFrame, out: str, make, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, out: str, make, doc_id: str = "doc_id", text: str = "text", bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """Stream documents in order of id, each with the next one's text (the last with the first's), through a function.
 
-    ``make()`` gives a function of (id, text, next text) to a row of ``out``. Rows are dealt once into buckets of
-    neighbouring ids and sorted there; the first row of each bucket is also sent to the one before. Null ids come
-    first; ties go by text, and null texts are empty. A single document is its own next one.
+    ``make()`` gives a function of lists (ids, texts, next texts) to columns of ``out``. Rows are dealt once into buckets of
+    neighbouring ids, about ``bucket_chars`` characters each, and sorted there; the first row of each bucket is also sent to
+    the one before. Null ids come first, null texts are empty. Rows of one id follow by a hash of the text, then by text, and
+    an id with more characters than a bucket (or the null id) has several buckets, by that hash; only rows that are equal in
+    both stay together. A single document is its own next one, an empty table gives no rows. Other columns play no part.
     """
     spark = with_import_path(docs.sparkSession)
-    base = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NULL)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = int(min(MOST_BUCKETS, max(1, total // BUCKET_CHARS)))
-    cuts = base.agg(F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0] if n > 1 else []
-    bucketed = base.withColumn("bucket", _bucket(F.col("id"), sorted(set(cuts or []))))
-    least = [(r.bucket, r.id) for r in bucketed.groupBy("bucket").agg(F.min("id").alias("id")).orderBy("bucket").collect()]  # a pair of numbers per bucket
-    names = [b for b, _ in least]
-    heads = spark.createDataFrame([(i, p) for (_, i), p in zip(least, [*names[-1:], *names[:-1]], strict=True)], "id bigint, bucket int")
-    first = base.join(F.broadcast(heads), "id").groupBy("id", "bucket").agg(F.min("text").alias("text"))
-    rows = bucketed.select("id", "text", "bucket", F.lit(0).alias("after")).union(first.select("id", "text", "bucket", F.lit(1).alias("after")))
-    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "after", "id", "text")
+    base = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NULL)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    sizes = stored(base.groupBy("id").agg(F.sum(F.length("text").cast("bigint")).alias("chars")), "sizes")
+    total = sizes.agg(F.sum("chars")).first()[0] or 0
+    n = int(min(MOST_BUCKETS, max(1, total // bucket_chars)))
+    cuts = sizes.agg(F.percentile_approx("id", [i / n for i in range(1, n)], min(100_000, max(10_000, 4 * n)))).first()[0] if n > 1 else []
+    large = sizes.where(F.col("chars") > bucket_chars).select("id", F.ceil(F.col("chars") / bucket_chars).alias("parts"))
+    alone = [r.id for r in large.collect()]  # at most as many as buckets of that size
+    cuts = sorted({*(cuts or []), *alone, *(i + 1 for i in alone if i < (1 << 63) - 1)})
+    part = F.coalesce(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * F.col("parts")), F.lit(0)).cast("int")
+    dealt = base.join(small_or_not(large, len(alone), MOST_BROADCAST), "id", "left").select("id", "tie", "text", _bucket(F.col("id"), cuts).alias("bucket"), part.alias("part"))
+    least = sorted((r.bucket, r.part, *r.head) for r in dealt.groupBy("bucket", "part").agg(F.min(F.struct("id", "tie")).alias("head")).collect())  # four numbers a bucket
+    before = [x[:2] for x in [*least[-1:], *least[:-1]]]
+    heads = spark.createDataFrame([(i, t, *p) for (_, _, i, t), p in zip(least, before, strict=True)], "id bigint, tie bigint, bucket int, part int")
+    first = base.join(small_or_not(heads, len(least), MOST_BROADCAST), ["id", "tie"]).groupBy("id", "tie", "bucket", "part").agg(F.min("text").alias("text"))
+    columns = ["bucket", "part", "after", "id", "tie", "text"]
+    rows = dealt.withColumn("after", F.lit(0)).select(columns).union(first.withColumn("after", F.lit(1)).select(columns))
+    rows = rows.repartition(max(1, len(least)), "bucket", "part").sortWithinPartitions(*columns).select("after", "id", "text")
     schema = T.StructType.fromDDL(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, held = make(), None
         for b in batches:
             got = []
-            for i, t, _, after in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for after, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held is not None:
-                    got.append(f(*held, t))
+                    got.append((*held, t))
                 held = None if after else (None if i == _NULL else i, t)
             if got:
-                yield rows_from(schema, [list(c) for c in zip(*got, strict=True)])
+                yield rows_from(schema, f(*map(list, zip(*got, strict=True))))
 
     return rows.mapInArrow(run, schema)
 
 
-def _bucket(c, cuts: list):
-    """How many of the sorted ``cuts`` are at most ``c``, as nested comparisons of logarithmic depth."""
-    if not cuts:
-        return F.lit(0)
-    grid = F.array(*[F.lit(x).cast("bigint") for x in cuts]) if len(cuts) <= 64 else F.from_json(F.lit("[" + ",".join(map(str, cuts)) + "]"), "array<bigint>")
-    steps = max(1, (len(cuts)).bit_length())
-    at = F.lit(0)
-    for k in range(steps - 1, -1, -1):
-        ahead = at + F.lit(1 << k)
-        at = F.when((ahead <= len(cuts)) & (F.try_element_at(grid, ahead) <= c), ahead).otherwise(at)
-    return at
-
-
 def edited(text: str, following: str) -> str:
     """The text with its last floor(n/2) code points replaced by the first as many (or all) of the next one."""
     half = len(text) // 2

@@ -4,11 +4,12 @@ Similar documents are put into groups, and for each group the union of its membe
 A query's overlap with a union bounds its overlap with every member, so only groups that reach the threshold are
 opened and compared member by member.
 
-1. One pass hashes every text's shingle set and counts tokens that repeat within a batch. The frequent ones come
-   last in the global token order; any order is right, this one keeps boilerplate out of prefixes.
-2. A set of n tokens has ceil(3n/4) of them in common with any partner, so sets that link share SHARED tokens (or
+1. One pass hashes every text's shingle set and counts tokens that different texts of a task share. The frequent ones
+   come last in the global token order; any order is right, this one keeps boilerplate out of prefixes.
+2. Equal texts count once a task, then once. A set of n tokens has ceil(3n/4) of them in common with any partner, so sets that link share SHARED tokens (or
    as many as that) of their prefixes in this order. Tokens in the prefix of one set only are dropped, then sets
-   with too few others, and so on.
+   with too few others, and so on. Which sets share a token is found by a window over the token; the frequent tokens,
+   which are shared as it is, needn't meet for that and are spread, so no token's rows are many.
 3. The remaining sets are put into groups by their least token, in blocks of bounded size: linked sets join, and a
    set of which much is in a group's first set joins that group without a link. The first sets of all groups are
    grouped again by the least token in other orders, until what shares a token fits a block.
@@ -16,6 +17,7 @@ opened and compared member by member.
    the smaller one's sets ask, so few sets near a group of thousands ask it once each. Within a group, every set that
    isn't linked to its largest part asks. Groups that are asked are opened in blocks of members: an index of the
    block's tokens gives the overlap with the union, and where that allows a link, the overlap with every member.
+   Queries are dealt in blocks too, so no task holds or reads more than a block of each.
 5. Star contraction joins the linked parts.
 """
 
@@ -29,13 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SHINGLE, make_rows, rows_from, shingle_hashes, small_or_not, space_words, stored, with_import_path
+from .common import SHINGLE, make_rows, rows_from, shingle_sets, small_or_not, stored, with_import_path
 from .graph import components
 
-#: Members of a group that one task holds at a time.
-BLOCK = 256
-#: Tokens that texts of one batch share are put last, at most MOST_FREQUENT of them: they only steer the order.
-MOST_FREQUENT = 1_000_000
+#: Sets that are grouped together, and members and queries of a group that meet in one task.
+BLOCK, OPEN = 256, 128
+#: Tokens that texts share within SEEN tokens of a task are put last, at most MOST_FREQUENT of them: they only steer the order.
+SEEN, MOST_FREQUENT = 1_200_000, 1_000_000
 #: Tokens that the prefixes of linked sets share at least, and turns in which sets and tokens without partners are dropped.
 SHARED, TURNS = 4, 2
 #: Percentage of similarity to a group's first set at which a set joins it without a link; any value gives the same links.
@@ -58,82 +60,117 @@ def _sid(h: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, sid) per row, and (token, count) for tokens of several texts of a batch, with n -1."""
+    """(doc_id, n, sid) per row, and with n -1 (token, count) for tokens of several texts of about ``SEEN`` tokens in a row."""
 
     def make():
+        held: dict[int, np.ndarray] = {}
+
+        def shared():
+            tokens, counts = np.unique(np.concatenate([*held.values(), np.empty(0, np.uint64)]), return_counts=True)
+            held.clear()
+            return _signed(tokens[counts > 1]), counts[counts > 1]
+
+        def rows(ids, sizes, sids, full):
+            tokens, counts = shared() if full else (np.empty(0, np.int64), np.empty(0, np.int64))
+            k = len(tokens)
+            return [pa.concat_arrays([ids, pa.nulls(k, pa.int64())]), *(pa.array(np.concatenate(x)) for x in ((sizes, np.full(k, -1, np.int32)), (sids, tokens), (np.zeros(len(sids), np.int64), counts)))]
+
         def f(ids, texts):
-            sets = [shingle_hashes(space_words(t), width) for t in texts]
+            sets = shingle_sets(texts, width)
             sids = [_sid(h) for h in sets]
-            once = {s: h for s, h in zip(sids, sets, strict=True)}
-            tokens, counts = np.unique(np.concatenate([*once.values(), np.empty(0, np.uint64)]), return_counts=True)
-            tokens, counts = _signed(tokens[counts > 1]), counts[counts > 1]
-            k = len(tokens)
-            return [ids + [None] * k, [len(h) for h in sets] + [-1] * k, sids + tokens.tolist(), [0] * len(ids) + counts.tolist()]
+            held.update(zip(sids, sets, strict=True))
+            return rows(ids, np.array([len(h) for h in sets], np.int32), np.array(sids, np.int64), sum(map(len, held.values())) > SEEN)
 
+        f.end = lambda: rows(pa.nulls(0, pa.int64()), np.empty(0, np.int32), np.empty(0, np.int64), True)
         return f
 
-    return make_rows(docs, "doc_id bigint, n int, sid bigint, seen bigint", make)
+    return make_rows(docs, "doc_id bigint, n int, sid bigint, seen bigint", make, arrow=True)
+
+
+def _frequent(seen: DataFrame) -> np.ndarray:
+    """The tokens of (sid, seen) rows that are seen most, at most ``MOST_FREQUENT``, the most frequent last.
+
+    A histogram over eighths of powers of two sets the least number of times; no sort meets in one task.
+    """
+    total = stored(seen.groupBy("sid").agg(F.sum("seen").alias("seen")), "frequent")
+    step = F.floor(F.log2("seen") * 8).cast("int")
+    low, n = 1 << 30, 0
+    for r in sorted(total.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):  # a few hundred rows
+        n += r["count"]
+        if n > MOST_FREQUENT:
+            break
+        low = r.step
+    t = total.where(step >= low).toArrow()
+    tokens, times = t["sid"].to_numpy(), t["seen"].to_numpy()
+    return tokens[np.lexsort((tokens, times))].view(np.uint64).copy()
 
 
 class _Order:
     """The global token order: by hash, but the frequent tokens last, the most frequent of all at the end."""
 
     def __init__(self, frequent: np.ndarray):
-        self.place = np.argsort(frequent, kind="stable")
+        self.place = np.argsort(frequent, kind="stable").astype(np.int32)
         self.sorted = frequent[self.place]
 
-    def __call__(self, h: np.ndarray) -> np.ndarray:
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, int]:
+        """The tokens in order, and how many of them aren't frequent."""
         if not len(self.sorted) or not len(h):
-            return h
+            return h, len(h)
         at = np.searchsorted(self.sorted, h)
         at[at == len(self.sorted)] = 0
         hot = self.sorted[at] == h
         last = h[hot]
-        return np.concatenate([h[~hot], last[np.argsort(self.place[at[hot]], kind="stable")]])
+        return np.concatenate([h[~hot], last[np.argsort(self.place[at[hot]], kind="stable")]]), len(h) - len(last)
 
 
 def _postings(docs: DataFrame, width: int, frequent) -> DataFrame:
-    """Prefix tokens: (token, sid, n, short): short if the token is in the prefix that a partner at least as large needs."""
+    """Prefix tokens: (token, sid, n, short, hot): short if the token is in the prefix that a partner at least as large needs, hot if frequent.
 
-    def make():
-        order = _Order(frequent.value)
+    A task gives each different text once.
+    """
 
-        def f(ids, texts):
-            tokens, sids, ns, shorts = [], [], [], []
-            for t in texts:
-                h = shingle_hashes(space_words(t), width)
-                n = len(h)
-                if n:
+    def make():
+        order, given = _Order(frequent.value), set()
+
+        def f(texts):
+            tokens, sids, ns, shorts, hots = [], [], [], [], []
+            for h in shingle_sets(texts, width):
+                n, sid = len(h), _sid(h)
+                if n and sid not in given:
+                    given.add(sid)
                     k, short = min(n, n - (3 * n + 3) // 4 + SHARED), n - (6 * n + 6) // 7 + SHARED
-                    tokens.append(order(h)[:k])
-                    sids.append(np.full(k, _sid(h), np.int64))
+                    ordered, cold = order(h)
+                    tokens.append(ordered[:k])
+                    sids.append(np.full(k, sid, np.int64))
                     ns.append(np.full(k, n, np.int32))
                     shorts.append(np.arange(k) < short)
+                    hots.append(np.arange(k) >= cold)
             if not tokens:
-                return [[], [], [], []]
-            return [pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(sids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(shorts))]
+                return [[], [], [], [], []]
+            return [pa.array(_signed(np.concatenate(tokens))), *(pa.array(np.concatenate(x)) for x in (sids, ns, shorts, hots))]
 
         return f
 
-    return make_rows(docs, "token bigint, sid bigint, n int, short boolean", make)
+    return make_rows(docs, "token bigint, sid bigint, n int, short boolean, hot boolean", make, arrow=True)
 
 
 def _sets(docs: DataFrame, width: int, frequent) -> DataFrame:
+    """(sid, n, keys, tokens) of the rows (doc_id, sid, text); a row whose text has another sid gives none."""
+
     def make():
         order = _Order(frequent.value)
 
         def f(ids, wanted, texts):
             rows = []
-            for w, t in zip(wanted, texts, strict=True):
-                h = shingle_hashes(space_words(t), width)
+            for w, h in zip(wanted.to_pylist(), shingle_sets(texts, width), strict=True):
                 if _sid(h) == w:
-                    o = order(h)
+                    o, _ = order(h)
                     rows.append((w, len(h), [int(_signed(o[:1])[0])] + [int(_signed((h * m).min(keepdims=True))[0]) for m in _TURNED], np.sort(_signed(h))))
             return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
 
         return f
 
-    return make_rows(docs, "sid bigint, n int, keys array<bigint>, tokens array<bigint>", make)
+    return make_rows(docs, "sid bigint, n int, keys array<bigint>, tokens array<bigint>", make, arrow=True)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, both: int, percent: int) -> bool:
@@ -286,17 +323,19 @@ def _within(comp: DataFrame) -> DataFrame:
 
 
 def _open(sets: DataFrame, comp: DataFrame, queries: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b): parts joined by a link, from (sid, own, group) queries."""
-    size = _blocks(comp.join(queries.select("group").distinct(), "group").groupBy("group").count(), "group", block)
-    members = comp.join(size, "group").select("group", F.pmod("sid", "blocks").alias("block"), F.lit(0).alias("query"), "sid", F.col("part").alias("own"))
-    asked = queries.join(size, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "sid", "own")
-    rows = members.union(asked).join(sets.select("sid", "tokens"), "sid").select("group", "block", "query", "sid", "own", "tokens")
-    rows = rows.repartition("group", "block").sortWithinPartitions("group", "block", "query", "sid")
+    """(a, b): parts joined by a link, from (sid, own, group) queries. Every block of members meets every block of queries."""
+    asking = queries.groupBy("group").count()
+    size = _blocks(comp.join(asking.select("group"), "group").groupBy("group").count(), "group", block).join(_blocks(asking, "group", block).withColumnRenamed("blocks", "askers"), "group")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = comp.join(size, "group").select("group", F.pmod("sid", "blocks").alias("block"), each("askers").alias("asker"), F.lit(0).alias("query"), "sid", F.col("part").alias("own"))
+    asked = queries.join(size, "group").select("group", each("blocks").alias("block"), F.pmod(F.xxhash64("sid"), F.col("askers")).cast("int").alias("asker"), F.lit(1).alias("query"), "sid", "own")
+    rows = members.withColumn("block", F.col("block").cast("int")).union(asked).join(sets.select("sid", "tokens"), "sid").select("group", "block", "asker", "query", "sid", "own", "tokens")
+    rows = rows.repartition("group", "block", "asker").sortWithinPartitions("group", "block", "asker", "query", "sid")
 
     def make():
         def f(rows):
             parts, held, index, found = [], [], None, set()
-            for _, _, query, _, own, tokens in rows:
+            for _, _, _, query, _, own, tokens in rows:
                 if not query:
                     parts.append(own)
                     held.append(tokens)
@@ -311,10 +350,10 @@ def _open(sets: DataFrame, comp: DataFrame, queries: DataFrame, percent: int, bl
 
         return f
 
-    return by_group(rows, 2, "a bigint, b bigint", make)
+    return by_group(rows, 3, "a bigint, b bigint", make)
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = 75, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = 75, block: int = BLOCK, open_block: int = OPEN) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``.
 
     Two texts link when 100 * |A and B| >= ``percent`` * |A or B| over their sets of ``width``-word shingles; the
@@ -330,13 +369,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     both = stored(_signatures(base, width), "signatures")
     rows = both.where("n >= 0").select("doc_id", "n", "sid")
-    hot = both.where("n < 0").groupBy("sid").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "sid").limit(MOST_FREQUENT)
-    frequent = hot.select("sid").toArrow()["sid"].to_numpy().view(np.uint64)[::-1].copy()
-    shared = spark.sparkContext.broadcast(frequent)
+    shared = spark.sparkContext.broadcast(_frequent(both.where("n < 0").select("sid", "seen")))
 
-    by_token = Window.partitionBy("token")
-    found = _postings(base.where("doc_id is not null"), width, shared).select("*", F.min("sid").over(by_token).alias("lo"), F.max("sid").over(by_token).alias("hi"), F.max("short").over(by_token).alias("any"))
-    postings = stored(found.where("lo <> hi and any").select("token", "sid", "n", "short").distinct(), "postings")
+    # A frequent token's rows are spread by set.
+    by_token = Window.partitionBy("hot", "key")
+    every = _postings(base.where("doc_id is not null").select("text"), width, shared).withColumn("key", F.when(F.col("hot"), F.xxhash64("token", "sid")).otherwise(F.col("token")))
+    found = every.select("*", F.min("sid").over(by_token).alias("lo"), F.max("sid").over(by_token).alias("hi"), F.max("short").over(by_token).alias("any"))
+    postings = stored(found.where("hot or lo <> hi and any").select("token", "sid", "n", "short").distinct(), "postings")
 
     for _ in range(TURNS):
         enough = postings.groupBy("sid").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k")).select("sid")
@@ -358,7 +397,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     probe = probe.where(f"(size < large or size = large and home < group) and (short or any) and {percent} * n <= 100 * most and {percent} * least <= 100 * n")
     bound = probe.groupBy("sid", F.col("part").alias("own"), "group").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k"))
     queries = stored(bound.select("sid", "own", "group").union(_within(comp)), "queries")
-    joined = components(stored(_open(sets, comp, queries, percent, block).distinct(), "joined"))
+    joined = components(stored(_open(sets, comp, queries, percent, open_block).distinct(), "joined"))
 
     root = comp.join(joined, comp.part == joined.node, "left").select("sid", F.coalesce("root", "part").alias("root"))
     least = rows.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("low")).join(root, "sid", "left")

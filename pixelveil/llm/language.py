@@ -6,10 +6,10 @@ chunks, so that the dictionary and not the text's own beginning keeps helping.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
+import regex
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ CHUNK = 2048
 #: A prediction is rejected when the second smallest size is not larger by this share.
 MARGIN = 0.005
 LEVEL = 6
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
 
 
 def held_out(doc_id: str = "doc_id"):

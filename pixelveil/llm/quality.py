@@ -135,6 +135,24 @@ def score(df: DataFrame, model: Discriminant | float, threshold: float = THRESHO
     return add_columns(df, ["stats"], "score double, predicted int", make)
 
 
+def score_texts(docs: DataFrame, model: Discriminant | float, text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """Every row with ``stats``, ``score`` and ``predicted`` in one pass; other columns stay, or only those of ``keep``.
+
+    A null text is scored as an empty one. Columns with the names of added ones are replaced. An empty table gives no rows.
+    """
+
+    def make():
+        def f(texts):
+            stats = [statistics(t) for t in texts]
+            x = np.array(stats, float).reshape(-1, len(STATISTICS))
+            s = np.full(len(x), model) if isinstance(model, float) else model.score(x)
+            return [stats, s.tolist(), (s >= threshold).astype(int).tolist()]
+
+        return f
+
+    return add_columns(docs, [text], "stats array<double>, score double, predicted int", make, keep)
+
+
 def learn(narrow: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> Discriminant | float:
     """The model from ``narrow`` (id and ``stats``) and labelled rows that aren't held out; null ids and labels are left out."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("k")).where(F.col("k").isNotNull())
@@ -151,4 +169,4 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     replaced. An empty table gives no rows.
     """
     model = learn(with_statistics(docs.select(doc_id, text), text), labels, doc_id, label)
-    return score(with_statistics(docs, text), model).withColumn("held_out", held_out(doc_id))
+    return score_texts(docs, model, text).withColumn("held_out", held_out(doc_id))

@@ -25,7 +25,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+    out = bpe(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
     return out.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -63,20 +63,13 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make():
         import hashlib
 
-        seen: dict = {}
-
-        def of(text):
-            if text not in seen:
-                while len(seen) > 1:
-                    seen.pop(next(iter(seen)))
-                seen[text] = fingerprint.sketch(text)
-            return seen[text]
-
-        def f(doc_id, text, following):
-            other = fingerprint.edited(text, following)
-            a, b, e = of(text), of(following), fingerprint.sketch(other)
-            sha = hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest()
-            return doc_id, len(text), sha, fingerprint.encode(a), fingerprint.encode(e), fingerprint.resemblance(a, e), fingerprint.resemblance(a, b), fingerprint.distinct(a)
+        def f(ids, texts, nexts):
+            changed = [fingerprint.edited(t, n) for t, n in zip(texts, nexts, strict=True)]
+            every = list(dict.fromkeys([*texts, *nexts, *changed]))
+            of = dict(zip(every, fingerprint.sketches(every), strict=True))
+            a, b, e = ([of[t] for t in x] for x in (texts, nexts, changed))
+            sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]
+            return [ids, [len(t) for t in texts], sha, [fingerprint.encode(x) for x in a], [fingerprint.encode(x) for x in e], list(map(fingerprint.resemblance, a, e)), list(map(fingerprint.resemblance, a, b)), list(map(fingerprint.distinct, a))]
 
         return f
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelveil.llm import chat, decontaminate, fingerprint, jaccard, language, licenses, oracles, quality, queries, sharding, warc
-from pixelveil.llm.bpe import WordBpe, bpe
+from pixelveil.llm.bpe import WordBpe, bpe, build
 from pixelveil.llm.common import alnum_words, space_words
 
 SF = "/root/testdata/sf0.001"
@@ -78,11 +78,12 @@ def test_bpe_equals_the_library(spark, docs):
         want = tk.encode(r.text or "", add_special_tokens=False).ids
         assert np.frombuffer(r.ids_le, "<u4").tolist() == want and r.n_tokens == len(want)
         assert r.decoded == tk.decode(want, skip_special_tokens=False)
-    model, rng = WordBpe(path), random.Random(2)
+    model, rng = WordBpe(build(path)), random.Random(2)
     odd = ["a" * 3000, "ΑΣ ΟΔΟΣ", "x\x1cy", "it's 'LL", "<|endoftext|>a<|startoftext|>", "é Ⱥ İ ß ½², 한국"]
     odd += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x3000), 0x1F600 + rng.randrange(60)])) for _ in range(30)) for _ in range(300)]
-    for t in odd:
-        assert np.frombuffer(model.encode(t), "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, t
+    odd += ["".join(rng.choice("aeinrst") for _ in range(rng.randrange(1, 200))) for _ in range(500)]
+    for t, ids in zip(odd, model.encode(odd), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, t
 
 
 def components(rows):
@@ -116,7 +117,7 @@ def test_jaccard(spark, corpus, docs, block):
         base[rng.randrange(60)] = f"x{i}"
         more.append((100 + i, " ".join(base), None, None, None))
     every = docs.select("doc_id", "text").union(spark.createDataFrame(more, DOCS).select("doc_id", "text"))
-    got = jaccard.jaccard_components(every, block=block).collect()
+    got = jaccard.jaccard_components(every, block=block, open_block=block).collect()
     want = components([(i, t) for i, t, *_ in corpus + more])
     assert len(got) == len(want) + 2
     for r in got:
@@ -194,14 +195,10 @@ def test_chat_round_trip(spark):
 
 def test_fingerprints(spark, corpus):
     table = spark.createDataFrame(corpus, DOCS)
-    got = {r.doc_id: r for r in fingerprint.with_next(table.repartition(3), "doc_id bigint, text string, after string", lambda: lambda i, t, n: (i, t, n)).collect()}
+    got = {r.doc_id: r for r in fingerprint.with_next(table.repartition(3), "doc_id bigint, text string, after string", lambda: lambda *x: x).collect()}
     for (i, t, *_), (_, n, *_) in zip(corpus, corpus[1:] + corpus[:1], strict=True):
         assert (got[i].text, got[i].after) == (t or "", n or "")
-    fingerprint.BUCKET_CHARS = 500
-    try:
-        again = {r.doc_id: r.after for r in fingerprint.with_next(table, "doc_id bigint, text string, after string", lambda: lambda i, t, n: (i, t, n)).collect()}
-    finally:
-        fingerprint.BUCKET_CHARS = 8_000_000
+    again = {r.doc_id: r.after for r in fingerprint.with_next(table, "doc_id bigint, text string, after string", lambda: lambda *x: x, bucket_chars=500).collect()}
     assert again == {i: r.after for i, r in got.items()}
     a, b = words(3000, 1, 10**6), words(3000, 2, 10**6)
     both = fingerprint.sketch(f"{a} {b}")
@@ -258,7 +255,7 @@ def test_empty_tables(spark):
     assert sharding.shard(docs).count() == 0 and licenses.scan(docs).count() == 0
     assert language.identify(docs, language.fit(docs)).count() == 0
     assert quality.classify(docs, spark.createDataFrame([], "doc_id bigint, quality int")).count() == 0
-    assert fingerprint.with_next(docs, "doc_id bigint", lambda: lambda i, t, n: (i,)).count() == 0
+    assert fingerprint.with_next(docs, "doc_id bigint", lambda: lambda i, t, n: [i]).count() == 0
     assert chat.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
     assert warc.read_back(warc.write(warc.plan(spark.createDataFrame([], "page_id bigint, url string, html string")))).count() == 0
 
@@ -273,18 +270,128 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(map(repr, r.fetchall())) == sorted(repr(tuple(x)) for x in queries.queries()[name](spark, SF).select(cols).collect())
 
 
-def test_pipeline_stages(spark):
+def plain_discriminant(rows, labels):
+    """Scores by id, fitted and applied one row at a time with numpy's general functions."""
+    from pixelveil.llm.quality import FLOOR, TEMPER, TO_DIAGONAL, TO_POOLED, statistics
+
+    known = [(statistics(t), labels[i]) for i, t in rows if labels.get(i) in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([k[0] for k in known]), np.array([k[1] for k in known])
+    d, n = x.shape[1], len(x)
+    covs = [np.cov(x[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).sum() * covs[k] for k in (0, 1)) / n
+    scale = np.sqrt(np.maximum(np.diag(pooled), FLOOR))
+    parts = []
+    for k in (0, 1):
+        few = max(TO_POOLED, d / (d + (y == k).sum()))
+        c = ((1 - few) * covs[k] + few * pooled) / np.outer(scale, scale)
+        c = (1 - TO_DIAGONAL) * c + TO_DIAGONAL * np.diag(np.diag(c)) + 0.02 * np.eye(d)
+        parts.append((np.log((y == k).mean()), (x[y == k].mean(0) - x.mean(0)) / scale, np.linalg.inv(c), np.linalg.slogdet(c)[1]))
+    out = []
+    for _, t in rows:
+        z = np.clip((np.array(statistics(t)) - x.mean(0)) / scale, -30, 30)
+        logs = [p - 0.5 * det - 0.5 * (z - m) @ inv @ (z - m) for p, m, inv, det in parts]
+        out.append(1 / (1 + np.exp(-np.clip(TEMPER * (logs[1] - logs[0]), -50, 50))))
+    return out
+
+
+def plain_language(text, dictionaries):
+    """(language, margin) by compressing with each dictionary, chunk by chunk; None without a letter."""
+    import unicodedata
+
+    import zstandard
+
+    if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+        return None
+    b = " ".join("".join(c if ord(c) > 127 or "a" <= c <= "z" else " " for c in text.lower()).split(" ")).encode()
+    b = b" ".join(b.split())
+    chunks = [b[i : i + language.CHUNK] for i in range(0, len(b), language.CHUNK)]
+    sizes = []
+    for k, d in sorted(dictionaries.items()):
+        coder = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append((sum(len(coder.compress(c)) for c in chunks), k))
+    (a, k), (second, _) = sorted(sizes)[:2]
+    return k, second / a - 1
+
+
+def test_quality_equals_a_plain_discriminant(spark):
+    d = "/root/testdata/sf0.01"
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect())
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op9_quality(spark, d).collect()}
+    for (i, _), want in zip(rows, plain_discriminant(rows, labels), strict=True):
+        assert abs(got[i].score - want) < 1e-6 and (got[i].predicted == (want >= 0.3) or abs(want - 0.3) < 1e-6)
+
+
+def test_language_equals_plain_compression(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs.where(~language.held_out("doc_id")))
+    odd = spark.createDataFrame([(-1, "² ½ ① 12"), (-2, "a"), (-3, None), (-4, "ß" * 5000)], "doc_id bigint, text string")
+    for r in language.identify(docs.select("doc_id", "text").union(odd), model).collect():
+        want = plain_language(r.text, model)
+        if want is None:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+        else:
+            assert r.lang_pred == want[0] and abs(r.margin - want[1]) < 1e-9 and r.rejected == (want[1] < language.MARGIN)
+
+
+CLASHING = ["stats", "score", "predicted", "lang_pred", "rejected", "margin", "held_out", "n_words", "n_hit", "hit_spans", "items", "contaminated", "hit__", "item__", "component_id", "n_shingles", "n_tokens", "ids_le", "decoded", "sid", "token"]
+
+
+def pipeline_input(spark, rows):
+    docs = spark.createDataFrame(rows, DOCS)
+    return docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING})
+
+
+def test_pipeline_stages_equal_brute_force_and_keep_all_columns(spark):
+    from collections import Counter
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as c
 
-    docs = kept = spark.read.parquet(f"{SF}/documents.parquet")
+    first = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = first + [(None, first[0][1], None, None, None), (10_000, None, "en", None, None), (10_001, "", None, "s", 0), *[first[5]] * 2]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    windows = {w for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for w in decontaminate.item_windows(r.text)}
+    before = [tuple(r) for r in pipeline_input(spark, rows).collect()]
+    docs = pipeline_input(spark, rows)
     for _, stage in c.STAGES[:-1]:
-        before, kept = kept, spark.createDataFrame(stage(spark, kept, SF).collect(), docs.schema)
-        assert kept.columns == docs.columns and 0 < kept.count() <= before.count()
-        if stage is c.drop_near_duplicates:
-            want = components([(r.doc_id, r.text) for r in before.collect()])
-            assert {r.doc_id for r in kept.collect()} == {i for i, (_, top) in want.items() if i == top}
-    ids = {r.doc_id for r in kept.collect()}
-    assert {r.doc_id for r in c.run(spark, SF).collect()} == ids
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        kept = [tuple(r) for r in got.collect()]
+        ids = [r[:2] for r in before]
+        if stage is c.filter_quality:
+            keep = [s >= 0.3 for s in plain_discriminant(ids, labels)]
+        elif stage is c.filter_language:
+            model = language.fit(docs.where(~language.held_out("doc_id") & F.col("doc_id").isNotNull()))
+            told = [plain_language(t, model) for _, t in ids]
+            keep = [x is not None and x[1] >= language.MARGIN for x in told]
+        elif stage is c.drop_near_duplicates:
+            top = components([x for x in ids if x[0] is not None])
+            keep = [i is None or top[i][1] == i for i, _ in ids]
+        else:
+            of = lambda w: {b" ".join(w[k : k + n]) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10) for k in range(len(w) - n + 1)}
+            keep = [not windows & of(alnum_words(t)) for _, t in ids]
+        want = [r for r, k in zip(before, keep, strict=True) if k]
+        assert Counter(map(repr, kept)) == Counter(map(repr, want)) and 0 < len(want) <= len(before), stage.__name__
+        before, docs = kept, spark.createDataFrame(kept, docs.schema)
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for i, t, *_ in before:
+        e = tk.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(e), hashlib.sha256(np.array(e, "<u4").tobytes()).hexdigest(), hashlib.sha256(tk.decode(e, skip_special_tokens=False).encode()).hexdigest()))
+    assert Counter(tuple(r) for r in c.encode(spark, docs, SF).collect()) == Counter(want)
+
+
+def test_pipeline_runs_and_takes_empty_tables(spark):
+    import corpus_pipeline as c
+
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    ids = {r.doc_id for r in c.run(spark, SF).collect()}
+    assert ids and ids < {r[0] for r in rows}
+    for _, stage in c.STAGES:
+        assert stage(spark, pipeline_input(spark, []), SF).count() == 0
 
 
 def test_chat_escapes_every_control_string(spark, tmp_path):
@@ -318,3 +425,35 @@ def test_language_learns_from_every_drawn_text(spark):
     assert len(made) <= language.DICTIONARY_BYTES and made.count(b"\n") == 149
     assert sum(f" {chr(97 + i // 26)}{chr(97 + i % 26)} ".encode() in made for i in range(150) if i % 3) == 100
     assert language.fit(spark.createDataFrame(rows[::-1], "text string, lang string").repartition(3))["en"] == made
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    rows = [(None, words(40, i)) for i in range(30)] + [(5, words(40, 100 + i)) for i in range(30)] + [(5, "same")] * 3 + [(9, None), (7, "x" * 3000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("tie", F.lit(1)).repartition(4)
+    got = [tuple(r) for r in fingerprint.with_next(table, "doc_id bigint, text string, after string", lambda: lambda *x: x, bucket_chars=400).collect()]
+    assert sorted((str(i), t) for i, t, _ in got) == sorted((str(i), t or "") for i, t in rows)
+    assert sorted(n for *_, n in got) == sorted(t or "" for _, t in rows)  # a cycle: each is the next of one
+    one = fingerprint.with_next(table.where("doc_id = 9"), "doc_id bigint, text string, after string", lambda: lambda *x: x).collect()
+    assert [tuple(r) for r in one] == [(9, "", "")]
+
+
+def test_fingerprint_buckets_plan_fast(spark):
+    import time
+
+    cuts, began = sorted(random.Random(1).sample(range(-(10**12), 10**12), 4095)), time.time()
+    at = [-(10**13), cuts[0], cuts[7], cuts[7] - 1, cuts[-1], 10**13]
+    got = spark.createDataFrame([(x,) for x in at], "id bigint").select("id", fingerprint._bucket(F.col("id"), cuts).alias("b")).collect()
+    assert time.time() - began < 5
+    assert [r.b for r in got] == [sum(c <= x for c in cuts) for x in at]
+
+
+def test_tables_need_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from pixelveil.llm.common import shared_folder
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+    assert shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]"))).startswith("file:")
