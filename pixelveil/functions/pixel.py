@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Luma weights of red, green and blue (fixed values).
 RED, GREEN, BLUE = 0.299, 0.587, 0.114
-#: Seed of the deterministic signal.
+#: Seed of the deterministic signal (fixed value).
 SEED = 28390211
 
 
@@ -62,5 +62,5 @@ def frame_rate(num: Column, den: Column) -> Column:
 
 
 def duration_text(seconds: Column, as_rate: bool) -> Column:
-    """Frames a second with two places, or seconds with six."""
+    """Frames a second with two places, or seconds with six; exact halves are rounded up."""
     return F.format_string("%.2f", 1.0 / F.nullif(seconds, F.lit(0.0))) if as_rate else F.format_string("%.6f", seconds)

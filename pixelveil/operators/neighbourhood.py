@@ -56,18 +56,17 @@ def neighbours(px: DataFrame, p: int = 3, border: str = "zero", value: str = "v"
 
 
 def moments(px: DataFrame, p: int = 3, border: str = "zero") -> DataFrame:
-    """``(img, r, c, total, squares)``: sum and sum of squares over the window, centre included."""
+    """``px`` with ``total`` and ``squares``: sum and sum of squares of v over the window, centre included."""
     pad = check(p, border)
     across, row = _windows("r", "c")
     down, column = _windows("c", "r")
-    both = px.select("img", "r", "c", F.col("v").alias("a"), (F.col("v") * F.col("v")).alias("b"))
+    both = px.select("*", F.col("v").alias("a__"), (F.col("v") * F.col("v")).alias("b__"))
     if border == "zero":
-        near = lambda w: w.rowsBetween(-pad, pad)
-        both = both.select("img", "r", "c", F.sum("a").over(near(across)).alias("a"), F.sum("b").over(near(across)).alias("b"))
-        return both.select("img", "r", "c", F.sum("a").over(near(down)).alias("total"), F.sum("b").over(near(down)).alias("squares"))
-    add = lambda col, over, whole: sum((_shift(col, d, over, whole, border) for d in range(-pad, pad + 1)), F.lit(0))
-    both = both.select("img", "r", "c", add("a", across, row).alias("a"), add("b", across, row).alias("b"))
-    return both.select("img", "r", "c", add("a", down, column).alias("total"), add("b", down, column).alias("squares"))
+        add = lambda col, over, whole: F.sum(col).over(over.rowsBetween(-pad, pad))
+    else:
+        add = lambda col, over, whole: sum((_shift(col, d, over, whole, border) for d in range(-pad, pad + 1)), F.lit(0))
+    both = both.select(*px.columns, add("a__", across, row).alias("a__"), add("b__", across, row).alias("b__"))
+    return both.select(*px.columns, add("a__", down, column).alias("total"), add("b__", down, column).alias("squares"))
 
 
 def nvf_mask(px: DataFrame, p: int = 3, border: str = "zero") -> DataFrame:
@@ -75,6 +74,19 @@ def nvf_mask(px: DataFrame, p: int = 3, border: str = "zero") -> DataFrame:
     return moments(px, p, border).select("img", "r", "c", nvf(F.col("total"), F.col("squares"), p).alias("m"))
 
 
+#: Rows of an image that meet its scalars in one key of a join.
+BAND = 64
+
+
+def with_scalars(px: DataFrame, scalars: DataFrame) -> DataFrame:
+    """Pixels with the columns of one row per image ``(img, rows, ...)``, where ``rows`` is the image's last row.
+
+    The key is (img, band of rows), so the pixels of one large image are spread over tasks, whatever join Spark takes.
+    """
+    bands = scalars.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("rows") / BAND))).alias("band__")).drop("rows")
+    return px.withColumn("band__", F.floor(F.col("r") / BAND)).join(bands, ["img", "band__"]).drop("band__")
+
+
 def sparse_images(px: DataFrame) -> DataFrame:
     """Images whose grid has holes or repeated places, on which row windows would be wrong; empty if all are sound."""
     per = px.groupBy("img").agg(F.count("*").alias("n"), ((F.max("r") + 1) * (F.max("c") + 1)).alias("cells"), F.min("r").alias("r0"), F.min("c").alias("c0"))

@@ -9,14 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbourhood import names, neighbours
+from pixelveil.functions.tables import stored
+
+from .neighbourhood import names, neighbours, with_scalars
 
 #: Pivots below this share of the trace make an image unsolvable.
 TINY = 1e-10
 
 
 def gram(near: DataFrame, p: int = 3) -> DataFrame:
-    """``(img, g, b)`` from neighbour rows: packed lower triangle of the sums x_i x_j, and the sums x_i v.
+    """``(img, rows, g, b)`` from neighbour rows: the last row, packed lower triangle of the sums x_i x_j, and the sums x_i v.
 
     Partial sums are made before the shuffle, which carries one row per image and task.
     """
@@ -24,8 +26,8 @@ def gram(near: DataFrame, p: int = 3) -> DataFrame:
     exact = dict(near.dtypes)["v"] in ("bigint", "int", "smallint")
     total = lambda c: F.sum(c.cast("bigint" if exact else "double"))
     pairs = [(i, j) for i in range(len(x)) for j in range(i + 1)]
-    sums = near.groupBy("img").agg(*[total(F.col(x[i]) * F.col(x[j])).alias(f"g{i}_{j}") for i, j in pairs], *[total(F.col(a) * F.col("v")).alias(f"b{i}") for i, a in enumerate(x)])
-    return sums.select("img", F.array(*[f"g{i}_{j}" for i, j in pairs]).alias("g"), F.array(*[f"b{i}" for i in range(len(x))]).alias("b"))
+    sums = near.groupBy("img").agg(F.max("r").alias("rows"), *[total(F.col(x[i]) * F.col(x[j])).alias(f"g{i}_{j}") for i, j in pairs], *[total(F.col(a) * F.col("v")).alias(f"b{i}") for i, a in enumerate(x)])
+    return sums.select("img", "rows", F.array(*[f"g{i}_{j}" for i, j in pairs]).alias("g"), F.array(*[f"b{i}" for i in range(len(x))]).alias("b"))
 
 
 def gram_cells(packed: DataFrame, p: int = 3) -> DataFrame:
@@ -63,15 +65,15 @@ def unpack(packed: np.ndarray, n: int) -> np.ndarray:
 
 
 def coefficients(packed: DataFrame, p: int = 3) -> DataFrame:
-    """``(img, k)``: the coefficient array, null for an unsolvable image."""
+    """``(img, rows, k)``: the last row and the coefficient array, which is null for an unsolvable image."""
     n = p * p - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             k = solve(unpack(np.array(d["g"].tolist(), float).reshape(len(d), -1), n), np.array(d["b"].tolist(), float).reshape(len(d), n))
-            yield pd.DataFrame({"img": d["img"], "k": [None if np.isnan(x).any() else x.tolist() for x in k]})
+            yield pd.DataFrame({"img": d["img"], "rows": d["rows"], "k": [None if np.isnan(x).any() else x.tolist() for x in k]})
 
-    return packed.mapInPandas(run, "img bigint, k array<double>")
+    return packed.mapInPandas(run, "img bigint, rows bigint, k array<double>")
 
 
 def predicted(p: int = 3):
@@ -81,12 +83,12 @@ def predicted(p: int = 3):
 
 def residual(near: DataFrame, coefs: DataFrame, p: int = 3) -> DataFrame:
     """``near`` with ``k`` and the prediction error ``e``; null where the image is unsolvable."""
-    return near.join(coefs, "img").withColumn("e", F.col("v") - predicted(p))
+    return with_scalars(near, coefs).withColumn("e", F.col("v") - predicted(p))
 
 
 def me_mask(px: DataFrame, p: int = 3, border: str = "zero") -> DataFrame:
-    """``(img, r, c, v, k, e, m)``: prediction error mask abs(e) / max(abs(e)); null where unsolvable or flat."""
+    """``(img, r, c, v, e, m)``: prediction error mask abs(e) / max(abs(e)); null where unsolvable or flat."""
     near = neighbours(px, p, border)
-    err = residual(near, coefficients(gram(near, p), p), p)
-    top = err.groupBy("img").agg(F.max(F.abs("e")).alias("top"))
-    return err.join(top, "img").select("img", "r", "c", "v", "k", "e", (F.abs("e") / F.nullif(F.col("top"), F.lit(0.0))).alias("m"))
+    err = stored(residual(near, coefficients(gram(near, p), p), p).select("img", "r", "c", "v", "e"), "errors")
+    top = err.groupBy("img").agg(F.max("r").alias("rows"), F.max(F.abs("e")).alias("top"))
+    return with_scalars(err, top).select("img", "r", "c", "v", "e", (F.abs("e") / F.nullif(F.col("top"), F.lit(0.0))).alias("m"))

@@ -16,7 +16,7 @@ RGB = (
     + """, rgb as materialized (
   select img, cast(floor(r / 3) as bigint) r, c, max(case when r % 3 = 0 then v end) red, max(case when r % 3 = 1 then v end) green, max(case when r % 3 = 2 then v end) blue,
     cast(max(case when (cast(floor(r / 3) as bigint) * 64 + c) % 7 = 0 then 0 else 255 end) as integer) alpha
-  from px where r < 498 group by img, cast(floor(r / 3) as bigint), c)"""
+  from px where r < (select count(*) // 3 * 3 from embeddings) group by img, cast(floor(r / 3) as bigint), c)"""
 )
 SIGNAL = """sqrt(-2 * ln((1 + (({r} * 7919 + {c} * 104729 + 28390211) * 48271) % 2147483647) / 2147483648.0::double))
   * cos(6.283185307179586::double * ((({r} * 15485863 + {c} * 32452843 + 17) * 16807) % 2147483647) / 2147483647.0::double)"""
@@ -43,20 +43,21 @@ def near(px: str, out: str, p: int, border: str) -> str:
   left join {px} q on q.img = a.img and {at})"""
 
 
-def fitted(px: str, t: str, border: str) -> str:
+def fitted(px: str, t: str, border: str, p: int = 3) -> str:
     """CTEs ``{t}n`` (neighbours), ``{t}k`` (coefficients) and ``{t}e`` (img, r, c, v, e)."""
-    out = [near(px, f"{t}n", 3, border)]
+    n = p * p - 1
+    out = [near(px, f"{t}n", p, border)]
     out.append(f"""{t}m0 as materialized (
-  select a.img, a.k i, case when b.k < 0 then 8 else b.k end j, cast(sum(cast(a.x as double) * b.x) as double) a
+  select a.img, a.k i, case when b.k < 0 then {n} else b.k end j, cast(sum(cast(a.x as double) * b.x) as double) a
   from {t}n a join {t}n b on a.img = b.img and a.r = b.r and a.c = b.c where a.k >= 0 group by all)""")
     out.append(f"{t}t as materialized (select img, sum(a) trace from {t}m0 where i = j group by img)")
-    for s in range(8):
+    for s in range(n):
         out.append(f"""{t}m{s + 1} as materialized (
   select m.img, m.i, m.j, case when m.i = {s} then m.a / p.a else m.a - c.a * w.a / p.a end a
   from {t}m{s} m
   join (select x.img, case when x.a > 0 and x.a >= trace * 1e-10 then x.a end a from {t}m{s} x join {t}t using (img) where i = {s} and j = {s}) p on p.img = m.img
   join {t}m{s} c on c.img = m.img and c.i = m.i and c.j = {s} join {t}m{s} w on w.img = m.img and w.i = {s} and w.j = m.j)""")
-    out.append(f"{t}k as materialized (select img, i, a k from {t}m8 where j = 8)")
+    out.append(f"{t}k as materialized (select img, i, a k from {t}m{n} where j = {n})")
     out.append(f"""{t}e as materialized (
   select n.img, n.r, n.c, any_value(n.v) v, any_value(n.v) - sum(n.x * k.k) e from {t}n n join {t}k k on k.img = n.img and k.i = n.k group by n.img, n.r, n.c)""")
     return ",\n".join(out)
@@ -72,40 +73,48 @@ def _nvf(p: int) -> str:
     return f"{var} / (1 + {var})"
 
 
-def masked(px: str, t: str, mask: str, border: str) -> str:
+def masked(px: str, t: str, mask: str, border: str, p: int = 3, w: str = W) -> str:
     """CTE ``{t}u``: (img, r, c, v, u), mask times signal."""
     if mask == "NVF":
-        head = near(px, f"{t}nb", 3, border) + f", {t}mo as (select img, r, c, any_value(v) v, sum(x) total, sum(x * x) squares from {t}nb group by img, r, c)"
-        return f"{head}, {t}u as materialized (select img, r, c, v, {_nvf(3)} * {W} u from {t}mo)"
-    return f"{fitted(px, t, border)}, {t}u as materialized (select img, r, c, v, abs(e) / nullif(max(abs(e)) over (partition by img), 0) * {W} u from {t}e)"
+        head = near(px, f"{t}nb", p, border) + f", {t}mo as (select img, r, c, any_value(v) v, sum(x) total, sum(x * x) squares from {t}nb group by img, r, c)"
+        return f"{head}, {t}u as materialized (select img, r, c, v, {_nvf(p)} * {w} u from {t}mo)"
+    if mask == "LEVEL":  # a mask of its own: the pixel's level
+        return f"{t}u as materialized (select img, r, c, v, v / 255.0::double * {w} u from {px})"
+    return f"{fitted(px, t, border, p)}, {t}u as materialized (select img, r, c, v, abs(e) / nullif(max(abs(e)) over (partition by img), 0) * {w} u from {t}e)"
 
 
-def marked(px: str, t: str, mask: str, border: str) -> str:
+def marked(px: str, t: str, mask: str, border: str, p: int = 3, w: str = W) -> str:
     """CTEs ``{t}s`` (img, strength) and ``{t}y`` (img, r, c, y)."""
-    return f"""{masked(px, t, mask, border)},
+    return f"""{masked(px, t, mask, border, p, w)},
 {t}s as materialized (select img, {TARGET} / sqrt(nullif(avg(u * u), 0)) strength from {t}u group by img),
 {t}y as materialized (select img, r, c, cast(floor(greatest(0, least(255, v + coalesce(strength * u, 0)))) as bigint) y from {t}u join {t}s using (img))"""
 
 
-def scores(px: str, t: str, mask: str, border: str) -> str:
+def scores(px: str, t: str, mask: str, border: str, p: int = 3, w: str = W) -> str:
     """CTE ``{t}d``: (img, correlation) of the pixels ``px``."""
-    head = fitted(px, t, border)
+    head = fitted(px, t, border, p)
     if mask == "NVF":
-        head += ", " + near(px, f"{t}nb", 3, border) + f", {t}mo as (select img, r, c, sum(x) total, sum(x * x) squares from {t}nb group by img, r, c)"
-        head += f", {t}u as materialized (select img, r, c, {_nvf(3)} * {W} v from {t}mo)"
+        head += ", " + near(px, f"{t}nb", p, border) + f", {t}mo as (select img, r, c, sum(x) total, sum(x * x) squares from {t}nb group by img, r, c)"
+        head += f", {t}u as materialized (select img, r, c, {_nvf(p)} * {w} v from {t}mo)"
+    elif mask == "LEVEL":
+        head += f", {t}u as materialized (select img, r, c, v / 255.0::double * {w} v from {px})"
     else:
-        head += f", {t}u as materialized (select img, r, c, coalesce(abs(e) / nullif(max(abs(e)) over (partition by img), 0), 0) * {W} v from {t}e)"
-    return f"""{head}, {near(f"{t}u", f"{t}un", 3, border)},
+        head += f", {t}u as materialized (select img, r, c, coalesce(abs(e) / nullif(max(abs(e)) over (partition by img), 0), 0) * {w} v from {t}e)"
+    return f"""{head}, {near(f"{t}u", f"{t}un", p, border)},
 {t}f as (select n.img, n.r, n.c, any_value(n.v) - sum(n.x * k.k) e from {t}un n join {t}k k on k.img = n.img and k.i = n.k group by n.img, n.r, n.c),
 {t}d as (select img, coalesce(sum(z.e * f.e) / nullif(sqrt(sum(z.e * z.e) * sum(f.e * f.e)), 0), 0) correlation from {t}e z join {t}f f using (img, r, c) group by img)"""
 
 
-def _detect(mask: str, border: str) -> str:
-    return f"with {PLANE}, {marked('px', 'p', mask, border)}, marked as (select img, r, c, y v from py), {scores('marked', 'b', mask, border)} select img, round(correlation, 6) correlation from bd"
+def _detect(mask: str, border: str, p: int = 3, w: str = W) -> str:
+    return f"with {PLANE}, {marked('px', 'p', mask, border, p, w)}, marked as (select img, r, c, y v from py), {scores('marked', 'b', mask, border, p, w)} select img, round(correlation, 6) correlation from bd"
 
 
-def _embed(mask: str, border: str) -> str:
-    return f"with {PLANE}, {marked('px', 'p', mask, border)} select * from py"
+def _embed(mask: str, border: str, p: int = 3, w: str = W) -> str:
+    return f"with {PLANE}, {marked('px', 'p', mask, border, p, w)} select * from py"
+
+
+def _near_sums(p: int, border: str) -> str:
+    return f"with {PLANE}, {near('px', 'n', p, border)} select img, cast(k as integer) k, cast(sum(x) as bigint) total, cast(sum((r * 64 + c) % 9973 * x) as bigint) mixed from n where k >= 0 group by img, k"
 
 
 def _gram(border: str) -> str:
@@ -146,10 +155,9 @@ def oracle_sql() -> dict[str, str]:
         "stride_compact": f"with {PLANE} select img, r, c, v from px where c < 60",
         "transpose": f"with {PLANE} select img, c r, r c, v from px",
         "row_arrays": f"with {PLANE} select img, r, count(*) n, string_agg(cast(v as varchar), ',' order by c) px from px group by img, r",
-        "text_planes": """select img, max(r) + 1 n_rows, cast(sum(v) as bigint) total, cast(sum((r * 64 + c + 1) * v % 9973) as bigint) mixed from (
-  select doc_id img, cast(floor(pos / 64) as bigint) r, cast(pos % 64 as bigint) c, cast(unicode(ch) as bigint) v
-  from (select doc_id, unnest(range(0, length(t))) pos, unnest(string_split(t, '')) ch
-        from (select doc_id, substring(text, 1, cast(floor(length(text) / 64) as int) * 64) t from documents where length(text) >= 192))) group by img""",
+        "text_planes": """select img, max(n_rows) n_rows, cast(sum(v) as bigint) total, cast(sum((r * 64 + c + 1) * v % 9973) as bigint) mixed from (
+  select doc_id img, n_rows, cast(floor(pos / 64) as bigint) r, cast(pos % 64 as bigint) c, cast(unicode(ch) as bigint) v
+  from (select doc_id, (length(text) + 63) // 64 n_rows, unnest(range(0, length(text))) pos, unnest(string_split(text, '')) ch from documents where length(text) > 0)) group by img""",
         "event_frames": """select cast(0 as bigint) stream_id, cast(floor(event_id / 64) as bigint) frame_no, cast(floor((event_id % 64) / 8) as bigint) r, cast(event_id % 8 as bigint) c, cast(floor(greatest(0, least(255, value))) as bigint) v
 from events where event_id < 64 * floor((select count(*) from events) / 64)""",
         "signal_plane": f"select r, c, round({W}, 6) w from (select unnest(range(0, 200)) r) cross join (select unnest(range(0, 64)) c)",
@@ -189,6 +197,51 @@ from clean join pu using (img, r, c) join ps using (img)""",
         "window_moments_p5_edge": _window(5, "edge"),
         "neighbours_p5_edge": _near(5, "edge"),
     }
+    black_rgb = f"{RGB}, clean as materialized (select img, r, c, {black}, alpha from rgb), gp as materialized (select img, r, c, {gray} v from clean)"
+    seven = SIGNAL.replace("28390211", "7").format(r="r", c="c")
+    single = f"cast({W} as float)::double"
+    flat = "select vec_id img, cast(pos // 8 as bigint) r, cast(pos % 8 as bigint) c, cast(label * 7 as bigint) y, cast(null as double) strength from (select vec_id, label, unnest(range(0, 64)) pos from embeddings)"
+    hex8 = "string_agg(printf('%02X', v), '' order by r, c)"
+    rgb_marked = ", ".join(f"cast(floor(greatest(0, least(255, {x} + coalesce(strength * u, 0)))) as bigint) {x}" for x in ("red", "green", "blue"))
+    interval = q["frame_embed_interval"]
+    q |= {
+        "nvf_mask_p7_edge": _mask(7, "edge"),
+        "embed_nvf_p5": _embed("NVF", "zero", 5),
+        "embed_nvf_p7_edge": _embed("NVF", "edge", 7),
+        "embed_nvf_p9": _embed("NVF", "zero", 9),
+        "embed_me_p5": _embed("ME", "zero", 5),
+        "embed_me_p5_edge": _embed("ME", "edge", 5),
+        "detect_me_p5": _detect("ME", "zero", 5),
+        "detect_nvf_edge": _detect("NVF", "edge"),
+        "embed_nvf_rgb": f"""with {black_rgb}, {marked("gp", "p", "NVF", "zero")} select img, r, c, {rgb_marked}, alpha from clean join pu using (img, r, c) join ps using (img)""",
+        "embed_stored_signal": _embed("ME", "zero", 3, seven),
+        "detect_stored_signal": _detect("NVF", "zero", 3, seven),
+        "signal_file": f"select cast(r as bigint) r, cast(c as bigint) c, round({single}, 6) w from (select unnest(range(0, 60)) r) cross join (select unnest(range(0, 64)) c)",
+        "signal_table": f"select r, c, round({W}, 6) w from (select unnest(range(0, 60)) r) cross join (select unnest(range(0, 64)) c)",
+        "image_files": f"with {RGB} select r, c, {black}, cast(alpha as bigint) alpha from rgb",
+        "embed_custom_mask": _embed("LEVEL", "zero"),
+        "detect_custom_mask": _detect("LEVEL", "zero"),
+        "flat_planes_embed": flat,
+        "flat_planes_detect": "select vec_id img, 0.0::double correlation from embeddings",
+        "strided_frames": f"with {FRAMES} select stream_id, frame_no, r, c, v from fr",
+        "strided_chroma": f"""with {FRAMES} select stream_id, frame_no, cast(8 as integer) linesize, cast(64 as bigint) y_bytes,
+  {hex8.replace("r, c)", "r, c) filter (r < 2)")} u, {hex8.replace("r, c)", "r, c) filter (r >= 2 and r < 4)")} v from fr group by stream_id, frame_no""",
+        "chroma_passes": f"""with {FRAMES} select stream_id, frame_no, cast(8 as integer) width, {hex8.replace("r, c)", "r, c) filter (r < 2)")} u, {hex8.replace("r, c)", "r, c) filter (r >= 2 and r < 4)")} v from fr group by stream_id, frame_no""",
+        "pixel_formats": f"with {FRAMES} select distinct stream_id, frame_no, case when frame_no % 2 = 0 then 'yuv420p' else 'yuvj420p' end pixel_format from fr",
+        "process_embeds": interval,
+        "process_detects": q["frame_detect_interval"],
+        "streamed_embed": interval,
+        "streamed_detect": q["frame_detect_interval"],
+        "packet_filter": """with p as (select user_id source, event_id % 4 stream_index, case when event_id % 4 in (1, 2) then 'video' else 'audio' end type, event_id, event_id % 5 <> 0 accepted from events),
+  f as (select source, min(stream_index) stream_index from p where type = 'video' group by source)
+select p.source, p.stream_index, p.event_id from p join f using (source, stream_index) where accepted""",
+        "report_scores": f"""with {IMAGES}, {marked('px', 'p', 'ME', 'zero')}, {scores('px', 'b', 'ME', 'zero')}
+select img, 'ME' mask, cast(3 as integer) p, 40.0::double psnr, round(strength, 6) strength, round(correlation, 6) correlation, 1.5::double as seconds, '0.750000' as time from bd join ps using (img)""",
+        "duration_texts": "select o_orderkey, printf('%.6f', (o_orderkey % 488 * 2 + 1) / 1009.0::double) as seconds, printf('%.2f', 1.0::double / ((o_orderkey % 488 * 2 + 1) / 1009.0::double)) rate from orders",
+        "settings_values": "select n_name as name, n_regionkey::bigint as section, n_nationkey::bigint as number, n_nationkey / 8.0::double as real, n_nationkey % 2 = 0 as flag from nation",
+    }
+    for p, border in ((5, "zero"), (7, "edge"), (9, "zero"), (9, "edge")):
+        q[f"neighbour_sums_p{p}_{border}"] = _near_sums(p, border)
     for p in (3, 5, 7, 9):
         q[f"window_moments_p{p}"] = _window(p, "zero")
     for border in ("zero", "edge"):

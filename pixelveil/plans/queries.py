@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelveil.functions import pixel
+from pixelveil.functions.tables import new_path, stored
 from pixelveil.operators import marking, neighbourhood, predictor
 from pixelveil.plans.backends import ArrowBackend
-from pixelveil.sources import planes
+from pixelveil.sources import planes, sinks
+from pixelveil.sources.settings import Settings
 from pixelveil.streaming import frames as video
 
 from . import oracles
@@ -50,8 +52,8 @@ def _embedded(s: SparkSession, d: str, mask: str = "ME", border: str = "zero", q
 
 
 def _marked(s: SparkSession, d: str, mask: str, border: str = "zero") -> DataFrame:
-    """The marked plane, kept while it is scanned several times."""
-    return _embedded(s, d, mask, border).select("img", "r", "c", F.col("y").alias("v")).persist()
+    """The marked plane, stored, as it is scanned several times."""
+    return stored(_embedded(s, d, mask, border).select("img", "r", "c", F.col("y").alias("v")), "marked")
 
 
 def _frames(s: SparkSession, d: str) -> DataFrame:
@@ -108,6 +110,185 @@ def dense_check(s, d):
     return neighbourhood.sparse_images(_images(s, d).where("not (r = 3 and c = 3 and img % 5 = 0)"))
 
 
+def _near_sums(p: int, border: str) -> Query:
+    def q(s, d):
+        near = neighbourhood.neighbours(_plane(s, d), p, border)
+        cells = F.array(*[F.struct(F.lit(i).alias("k"), F.col(x).alias("x")) for i, x in enumerate(neighbourhood.names(p))])
+        rows = near.select("img", "r", "c", F.explode(cells).alias("n"))
+        return rows.groupBy("img", "n.k").agg(F.sum("n.x").cast("bigint").alias("total"), F.sum((F.col("r") * 64 + F.col("c")) % 9973 * F.col("n.x")).cast("bigint").alias("mixed"))
+
+    return q
+
+
+def _embedding(mask, p: int, border: str = "zero") -> Query:
+    return lambda s, d: marking.embed(_plane(s, d), None, mask, p, 40.0, border).select("img", "r", "c", "y")
+
+
+def nvf_mask_p7_edge(s, d):
+    return _round(neighbourhood.nvf_mask(_plane(s, d), 7, "edge"), "m")
+
+
+def detect_me_p5(s, d):
+    marked = stored(_embedding("ME", 5)(s, d).withColumnRenamed("y", "v"), "marked")
+    return _round(marking.detect(marked, None, "ME", 5), "correlation")
+
+
+def detect_nvf_edge(s, d):
+    return _detect(s, d, "NVF", "edge")
+
+
+def embed_nvf_rgb(s, d):
+    return marking.embed_rgb(planes.rgb_plane(s, d), mask="NVF").select("img", "r", "c", "red", "green", "blue", "alpha")
+
+
+def _other_signal(s, d):
+    """A signal of the plane's size, as a stored table."""
+    signal = planes.make_signal(s, s.read.parquet(f"{d}/embeddings.parquet").count(), 64, 7)
+    path = new_path(s, "signal")
+    sinks.write_signal(signal, path)
+    return s.read.parquet(path)
+
+
+def embed_stored_signal(s, d):
+    return marking.embed(_plane(s, d), _other_signal(s, d)).select("img", "r", "c", "y")
+
+
+def detect_stored_signal(s, d):
+    signal = _other_signal(s, d)
+    marked = stored(marking.embed(_plane(s, d), signal, "NVF").select("img", "r", "c", F.col("y").alias("v")), "marked")
+    return _round(marking.detect(marked, signal, "NVF"), "correlation")
+
+
+def signal_file(s, d):
+    path = new_path(s, "signal")
+    sinks.write_signal_file(planes.make_signal(s, 60, 64), path)
+    return _round(planes.read_signal(s, path, 60, 64), "w")
+
+
+def signal_table(s, d):
+    path = new_path(s, "signal")
+    sinks.write_signal(planes.make_signal(s, 60, 64), path)
+    return _round(s.read.parquet(path), "w")
+
+
+def image_files(s, d):
+    path = new_path(s, "images")
+    sinks.save_images(planes.rgb_plane(s, d), path, "W_ME")
+    return planes.read_images(s, path).select("r", "c", "red", "green", "blue", "alpha")
+
+
+def _level(px: DataFrame, p: int, border: str) -> DataFrame:
+    """A mask of our own: the pixel's level."""
+    return px.select("img", "r", "c", (F.col("v") / 255.0).alias("m"))
+
+
+def embed_custom_mask(s, d):
+    return _embedding(_level, 3)(s, d)
+
+
+def detect_custom_mask(s, d):
+    marked = stored(_embedding(_level, 3)(s, d).withColumnRenamed("y", "v"), "marked")
+    return _round(marking.detect(marked, None, _level), "correlation")
+
+
+def _flat(s, d):
+    """An 8 x 8 plane of one level per vector."""
+    e = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("img"), (F.col("label") * 7).cast("bigint").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    return e.select("img", F.floor(F.col("i") / 8).alias("r"), (F.col("i") % 8).cast("bigint").alias("c"), "v")
+
+
+def flat_planes_embed(s, d):
+    return marking.embed(_flat(s, d), border="edge")
+
+
+def flat_planes_detect(s, d):
+    return marking.detect(_flat(s, d), border="edge")
+
+
+def _strided(s, d):
+    """Frames whose lines have four bytes of padding, with chroma planes of the frame's first bytes."""
+
+    def pad(batches):
+        for b in batches:
+            b["u"], b["v"] = [y[:16] for y in b["y"]], [y[16:32] for y in b["y"]]
+            b["y"] = [b"".join(y[i : i + 8] + b"\xff" * 4 for i in range(0, 64, 8)) for y in b["y"]]
+            yield b.assign(linesize=12)
+
+    return _frames(s, d).mapInPandas(pad, video.FRAME)
+
+
+def strided_frames(s, d):
+    return video.frames_to_pixels(_strided(s, d))
+
+
+def strided_chroma(s, d):
+    f = video.embed_stream(video.compacted(_strided(s, d)), 10)
+    return f.select("stream_id", "frame_no", "linesize", F.length("y").cast("bigint").alias("y_bytes"), F.hex("u").alias("u"), F.hex("v").alias("v"))
+
+
+def chroma_passes(s, d):
+    return video.embed_stream(_strided(s, d), 10).select("stream_id", "frame_no", "width", F.hex("u").alias("u"), F.hex("v").alias("v"))
+
+
+def pixel_formats(s, d):
+    f = planes.frame_pixels(s, d).select("stream_id", "frame_no").distinct().withColumn("pixel_format", F.when(F.col("frame_no") % 2 == 0, "yuv420p").otherwise("yuvj420p"))
+    return video.supported(f)
+
+
+def process_embeds(s, d):
+    return video.frames_to_pixels(video.process_stream(_frames(s, d), True, True, interval=10))
+
+
+def process_detects(s, d):
+    return _round(video.process_stream(_frames(s, d), False, True, interval=10), "correlation")
+
+
+def _streamed(s, d, what):
+    """What a stream that reads stored frames and ends has written."""
+    source, out, state = new_path(s, "frames"), new_path(s, "out"), new_path(s, "state")
+    sinks.write_frames(_frames(s, d), source)
+    stream = what(video.read_stream(s, f"{source}/batch=0"))
+    video.write_stream(stream, out, state).awaitTermination()
+    return s.read.schema(stream.schema).parquet(out)
+
+
+def streamed_embed(s, d):
+    return video.frames_to_pixels(_streamed(s, d, lambda f: video.embed_stream(f, 10)))
+
+
+def streamed_detect(s, d):
+    return _round(_streamed(s, d, lambda f: video.detect_stream(f, 10)), "correlation")
+
+
+def packet_filter(s, d):
+    kind = F.when((F.col("event_id") % 4).isin(1, 2), "video").otherwise("audio")
+    p = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("source"), (F.col("event_id") % 4).alias("stream_index"), kind.alias("type"), "event_id", (F.col("event_id") % 5 != 0).alias("accepted"))
+    with_video = p.groupBy("source").agg(F.max((F.col("type") == "video").cast("int")).alias("k")).where("k = 1").select("source")
+    return video.video_packets(p, p.join(with_video, "source", "left_semi")).select("source", "stream_index", "event_id")
+
+
+def report_scores(s, d):
+    px = _images(s, d)
+    strengths = marking.strengthened(px, None, "ME", 3, 40.0, "zero").groupBy("img").agg(F.max("strength").alias("strength"))
+    out = sinks.report(marking.detect(px), "ME", 3, 40.0, strengths, 1.5, 2)
+    return _round(out.select("img", "mask", "p", "psnr", "strength", "correlation", "seconds", "time"), "strength", "correlation")
+
+
+def duration_texts(s, d):
+    """Odd numerators, as engines round exact halves differently."""
+    seconds = (F.col("o_orderkey") % 488 * 2 + 1) / F.lit(1009.0)
+    return s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", pixel.duration_text(seconds, False).alias("seconds"), pixel.duration_text(seconds, True).alias("rate"))
+
+
+def settings_values(s, d):
+    """A settings file with a section per region and keys per nation, read back through the getters."""
+    rows = s.read.parquet(f"{d}/nation.parquet").select("n_name", "n_regionkey", "n_nationkey").collect()
+    parts = [f"[R{r}]\n" + "\n".join(f"{n.n_name} number = {hex(n.n_nationkey) if n.n_nationkey % 3 else n.n_nationkey} ; a nation\n{n.n_name} real: {n.n_nationkey / 8}\n{n.n_name} flag = {'Yes' if n.n_nationkey % 2 == 0 else 'off'}" for n in rows if n.n_regionkey == r) for r in sorted({n.n_regionkey for n in rows})]
+    got = Settings("\ufeff" + "\n".join(parts))
+    of = lambda n: f"r{n.n_regionkey}"
+    return s.createDataFrame([(n.n_name, int(n.n_regionkey), got.integer(of(n), f"{n.n_name} NUMBER", -1), got.number(of(n), f"{n.n_name} real", -1.0), got.flag(of(n), f"{n.n_name} flag", False)) for n in rows], "name string, section bigint, number bigint, real double, flag boolean")
+
+
 def _moments(p: int, border: str) -> Query:
     def q(s, d):
         return neighbourhood.moments(_plane(s, d), p, border).select("img", "r", "c", F.col("total").cast("bigint"), F.col("squares").cast("bigint"))
@@ -192,7 +373,7 @@ def detect_me_edge(s, d):
 
 
 def detect_unmarked(s, d):
-    return _round(marking.detect(_plane(s, d).persist(), None, "ME"), "correlation")
+    return _round(marking.detect(_plane(s, d), None, "ME"), "correlation")
 
 
 def arrow_embed(s, d):
@@ -204,7 +385,7 @@ def arrow_detect(s, d):
 
 
 def relational_detect_frames(s, d):
-    return _round(marking.detect(_images(s, d).persist(), None, "ME"), "correlation")
+    return _round(marking.detect(_images(s, d), None, "ME"), "correlation")
 
 
 def frame_sample(s, d):
@@ -220,7 +401,7 @@ def frame_detect_interval(s, d):
 
 
 def frame_count(s, d):
-    return planes.frame_pixels(s, d).select("stream_id", "frame_no").distinct().groupBy("stream_id").agg(F.count("*").alias("frames"))
+    return video.frame_counts(planes.frame_pixels(s, d).select("stream_id", "frame_no").distinct())
 
 
 def frame_numbers(s, d):
@@ -246,6 +427,7 @@ def frame_rate(s, d):
 
 def queries() -> dict[str, Query]:
     plain = [gray_from_rgb, alpha_zero, channel_pivot, channel_unpivot, stride_compact, transpose, row_arrays, text_planes, event_frames, signal_plane, signal_size_check, dense_check, nvf_mask_zero, nvf_mask_edge, nvf_mask_p9_edge, predictor_coefficients, predictor_coefficients_edge, residual, me_mask, me_mask_edge, embed_nvf_gray, embed_me_gray, embed_me_gray_edge, embed_me_rgb, strength, psnr_check, detect_nvf, detect_me, detect_me_edge, detect_unmarked, arrow_embed, arrow_detect, relational_detect_frames, frame_sample, frame_embed_interval, frame_detect_interval, frame_count, frame_numbers, first_video_stream, output_suffix, frame_rate]
+    plain += [nvf_mask_p7_edge, detect_me_p5, detect_nvf_edge, embed_nvf_rgb, embed_stored_signal, detect_stored_signal, signal_file, signal_table, image_files, embed_custom_mask, detect_custom_mask, flat_planes_embed, flat_planes_detect, strided_frames, strided_chroma, chroma_passes, pixel_formats, process_embeds, process_detects, streamed_embed, streamed_detect, packet_filter, report_scores, duration_texts, settings_values]
     out: dict[str, Query] = {f.__name__: f for f in plain}
     for p in (3, 5, 7, 9):
         out[f"window_moments_p{p}"] = _moments(p, "zero")
@@ -253,6 +435,10 @@ def queries() -> dict[str, Query]:
     for border in ("zero", "edge"):
         out[f"neighbours_p3_{border}"] = lambda s, d, b=border: _near_rows(s, d, 3, b)
         out[f"gram_{border}"] = lambda s, d, b=border: _gram(s, d, b)
+    for name, mask, p, border in (("embed_nvf_p5", "NVF", 5, "zero"), ("embed_nvf_p7_edge", "NVF", 7, "edge"), ("embed_nvf_p9", "NVF", 9, "zero"), ("embed_me_p5", "ME", 5, "zero"), ("embed_me_p5_edge", "ME", 5, "edge")):
+        out[name] = _embedding(mask, p, border)
+    for p, border in ((5, "zero"), (7, "edge"), (9, "zero"), (9, "edge")):
+        out[f"neighbour_sums_p{p}_{border}"] = _near_sums(p, border)
     out["neighbours_p5_edge"] = lambda s, d: _near_rows(s, d, 5, "edge")
     return out
 

@@ -103,9 +103,9 @@ def embeddings_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An image per document, 64 characters wide; the ragged last line is dropped."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") >= 192)
-    whole = F.substring("text", F.lit(1), F.floor(F.length("text") / 64).cast("int") * 64)
+    """An image per document that has text, 64 characters wide; the last line is filled with zeros."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") > 0)
+    whole = F.rpad("text", (F.ceil(F.length("text") / 64) * 64).cast("int"), F.lit("\0"))
     at = d.select(F.col("doc_id").alias("img"), F.posexplode(F.split(whole, "")).alias("pos", "ch")).where("ch <> ''")
     return at.select("img", F.floor(F.col("pos") / 64).alias("r"), (F.col("pos") % 64).cast("bigint").alias("c"), F.ascii("ch").cast("bigint").alias("v"))
 

@@ -15,27 +15,36 @@ class Settings:
 
     def __init__(self, text: str):
         self.values: dict[tuple[str, str], str] = {}
-        section = ""
-        for raw in text.splitlines():
-            line = re.sub(r"(^|\s)[;#].*$", "", raw).strip()
-            if line.startswith("[") and line.endswith("]"):
-                section = line[1:-1].strip().lower()
+        section, last = "", None
+        for raw in text.removeprefix("\ufeff").splitlines():
+            line = re.sub(r"(^|\s)[;#].*$", "", raw).rstrip()
+            if last and line[:1] in " \t" and line.strip():  # an indented line goes on with the value before
+                self._put(last, line.strip())
+            elif (line := line.strip()).startswith("[") and line.endswith("]"):
+                section, last = line[1:-1].strip().lower(), None
             elif m := re.match(r"([^=:]+)[=:](.*)", line):
-                at = section, m[1].strip().lower()
-                self.values[at] = f"{self.values[at]}\n{m[2].strip()}" if at in self.values else m[2].strip()
+                last = section, m[1].strip().lower()
+                self._put(last, m[2].strip())
+
+    def _put(self, at: tuple[str, str], value: str) -> None:
+        self.values[at] = f"{self.values[at]}\n{value}" if self.values.get(at) else value
 
     @classmethod
     def load(cls, path: str) -> Settings:
-        with open(path, encoding="utf-8") as f:
+        with open(path, encoding="utf-8-sig") as f:
             return cls(f.read())
 
     def text(self, section: str, key: str, default: str = "") -> str:
         return self.values.get((section.lower(), key.lower()), default)
 
     def integer(self, section: str, key: str, default: int) -> int:
-        """Decimal or hexadecimal (0x)."""
+        """Decimal, hexadecimal (0x) or octal (a leading 0)."""
         m = re.match(r"[+-]?(?:0[xX][0-9a-fA-F]+|\d+)", self.text(section, key))
-        return int(m[0], 16 if "x" in m[0].lower() else 10) if m else default
+        if not m:
+            return default
+        digits = m[0].lstrip("+-")
+        base = 16 if digits[:2] in ("0x", "0X") else 8 if digits[0] == "0" and re.fullmatch("[0-7]+", digits) else 10
+        return int(m[0], base)
 
     def number(self, section: str, key: str, default: float) -> float:
         m = re.match(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", self.text(section, key))
@@ -71,11 +80,20 @@ class Options:
             object.__setattr__(self, "loops", 5)
 
 
-def options(s: Settings, paths: str = "paths", parameters: str = "parameters", video: str = "video") -> Options:
-    """Options from a file's sections; absent keys keep their defaults."""
+def options(s: Settings) -> Options:
+    """Options from a file's sections; absent keys keep their defaults. Sections ``video`` and short keys are read too."""
     d = Options()
+
+    def first(get, default, *places):
+        for section, key in reversed(places):
+            default = get(section, key, default)
+        return default
+
     return Options(
-        p=s.integer(parameters, "p", d.p), psnr=s.number(parameters, "psnr", d.psnr), loops=s.integer(parameters, "loops", d.loops),
-        interval=s.integer(video, "interval", d.interval), encode_to=s.text(video, "encode_to"), detection=s.flag(video, "detection", False),
-        image=s.text(paths, "image"), video=s.text(paths, "video"), signal=s.text(paths, "signal"),
+        p=s.integer("parameters", "p", d.p), psnr=s.number("parameters", "psnr", d.psnr),
+        loops=first(s.integer, d.loops, ("parameters", "loops_for_test"), ("parameters", "loops")),
+        interval=first(s.integer, d.interval, ("parameters_video", "watermark_interval"), ("video", "interval")),
+        encode_to=first(s.text, d.encode_to, ("parameters_video", "encode_watermark_file_path"), ("video", "encode_to")),
+        detection=first(s.flag, d.detection, ("parameters_video", "watermark_detection"), ("video", "detection")),
+        image=s.text("paths", "image"), video=s.text("paths", "video"), signal=first(s.text, d.signal, ("paths", "watermark"), ("paths", "signal")),
     )

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelveil.functions.pixel import duration_text
+from pixelveil.functions.tables import write_file
+
 
 def write_image(rgb: DataFrame, path: str) -> None:
     """Marked pixels, alpha kept, one folder per image; rows of an image stay in order within files."""
@@ -12,10 +20,46 @@ def write_image(rgb: DataFrame, path: str) -> None:
     out.write.mode("overwrite").partitionBy("img").parquet(path)
 
 
+def png(plane: np.ndarray) -> bytes:
+    """A PNG file of rows x columns x 3 or 4 bytes."""
+    h, w, n = plane.shape
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), plane.reshape(h, w * n)], 1).tobytes()
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", w, h, 8, 6 if n == 4 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+def encoded_images(rgb: DataFrame) -> DataFrame:
+    """``(img, content)``: each image, with alpha if there is one, as a PNG file; an image must fit a task, as any file's does."""
+    names = ["red", "green", "blue", *(["alpha"] if "alpha" in rgb.columns else [])]
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        plane = np.zeros((int(d.r.max()) + 1, int(d.c.max()) + 1, len(names)), np.uint8)
+        plane[d.r, d.c] = d[names].to_numpy()
+        return pd.DataFrame({"img": d.img[:1], "content": [png(plane)]})
+
+    return rgb.select("img", "r", "c", *names).groupBy("img").applyInPandas(run, "img bigint, content binary")
+
+
+def save_images(rgb: DataFrame, path: str, suffix: str = "") -> list[str]:
+    """One PNG file per image under ``path``, named by image and ``suffix`` (W_ME, W_NVF); written one at a time by the driver, for a few images."""
+    out = []
+    for r in encoded_images(rgb).toLocalIterator():
+        out.append(f"{path}/{r.img}{'_' * bool(suffix)}{suffix}.png")
+        write_file(rgb.sparkSession, out[-1], [r.content])
+    return out
+
+
 def write_signal(signal: DataFrame, path: str) -> None:
     signal.repartitionByRange("r", "c").sortWithinPartitions("r", "c").write.mode("overwrite").parquet(path)
 
 
+def write_signal_file(signal: DataFrame, path: str) -> None:
+    """The signal as one row-major file of 32-bit floats; the driver holds a line at a time."""
+    lines = signal.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("x")).select("r", F.transform("x", lambda x: x["w"]).alias("w")).orderBy("r")
+    write_file(signal.sparkSession, path, (np.array(r.w, "<f4").tobytes() for r in lines.toLocalIterator()))
+
+
 def write_frames(frames: DataFrame, path: str):
     """The body of a ``foreachBatch``: frames in order within each stream, one folder per batch, so a batch that is run again replaces itself."""
 
@@ -25,6 +69,11 @@ def write_frames(frames: DataFrame, path: str):
     return body(frames, 0) if not frames.isStreaming else frames.writeStream.foreachBatch(body)
 
 
-def report(scores: DataFrame, mask: str, p: int, psnr: float) -> DataFrame:
-    """``(img, mask, p, psnr, correlation)`` with 16 digits' text."""
-    return scores.select("img", F.lit(mask).alias("mask"), F.lit(p).alias("p"), F.lit(psnr).alias("psnr"), "correlation", F.format_string("%.16f", "correlation").alias("text"))
+def report(scores: DataFrame, mask: str, p: int, psnr: float, strengths: DataFrame | None = None, seconds: float | None = None, frames: int | None = None) -> DataFrame:
+    """``(img, mask, p, psnr, strength, correlation, text, seconds, time)``: scores with 16 digits' text.
+
+    ``strengths`` are (img, strength). ``seconds`` of the whole run, and its average for each of ``frames``, as text.
+    """
+    s = scores.join(strengths.select("img", "strength"), "img", "left") if strengths is not None else scores.withColumn("strength", F.lit(None).cast("double"))
+    took = F.lit(seconds).cast("double")
+    return s.select("img", F.lit(mask).alias("mask"), F.lit(p).alias("p"), F.lit(float(psnr)).alias("psnr"), "strength", "correlation", F.format_string("%.16f", "correlation").alias("text"), took.alias("seconds"), duration_text(took / F.lit(frames or 1), False).alias("time"))

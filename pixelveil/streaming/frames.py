@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pixelveil.functions.tables import stored
 from pixelveil.plans.backends import detect_plane, embed_plane
+from pixelveil.sources.planes import first_video
 
 FRAME = "stream_id bigint, frame_no bigint, width int, height int, linesize int, y binary, u binary, v binary"
 FORMATS = ("yuv420p", "yuvj420p")
@@ -104,10 +106,21 @@ def write_stream(frames: DataFrame, path: str, checkpoint: str):
 
 
 def numbered(frames: DataFrame, order: str) -> DataFrame:
-    """Frame numbers from 0 by ``order`` within each stream, for batch tables that have none."""
-    from pyspark.sql import Window
+    """Frame numbers from 0 by ``order`` within each stream, for batch tables that have none.
 
-    return frames.withColumn("frame_no", F.row_number().over(Window.partitionBy("stream_id").orderBy(order)).cast("bigint") - 1)
+    Rows are dealt by ranges of (stream, order) and numbered within a range, to which the counts of the ranges before are
+    added, so a long stream isn't sorted in one task.
+    """
+    dealt = stored(frames.repartitionByRange("stream_id", order).withColumn("part__", F.spark_partition_id()), "frames")
+    before = Window.partitionBy("stream_id").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    offset = dealt.groupBy("stream_id", "part__").count().select("stream_id", "part__", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset__"))
+    at = F.row_number().over(Window.partitionBy("stream_id", "part__").orderBy(order)).cast("bigint") - 1
+    return dealt.withColumn("frame_no", at).join(offset, ["stream_id", "part__"]).withColumn("frame_no", F.col("frame_no") + F.col("offset__")).select(*frames.columns, "frame_no")
+
+
+def video_packets(packets: DataFrame, streams: DataFrame) -> DataFrame:
+    """Packets ``(source, stream_index, accepted, ...)`` of each source's first video stream that the decoder accepted."""
+    return packets.where("accepted").join(first_video(streams), ["source", "stream_index"], "left_semi")
 
 
 def pixels_to_frames(px: DataFrame) -> DataFrame:
@@ -124,8 +137,16 @@ def pixels_to_frames(px: DataFrame) -> DataFrame:
 
 
 def frames_to_pixels(frames: DataFrame) -> DataFrame:
-    """``(stream_id, frame_no, r, c, v)`` of the luma planes, in built-in functions."""
-    at = frames.select("stream_id", "frame_no", "width", "linesize", F.hex("y").alias("h"), F.explode(F.sequence(F.lit(0), F.length("y") - 1)).alias("i"))
-    v = F.conv(F.substring("h", F.col("i") * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
-    px = at.select("stream_id", "frame_no", F.floor(F.col("i") / F.col("linesize")).alias("r"), (F.col("i") % F.col("linesize")).cast("bigint").alias("c"), v.alias("v"), "width")
-    return px.where("c < width").drop("width")
+    """``(stream_id, frame_no, r, c, v)`` of the luma planes, without padding."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for x in d.itertuples():
+                plane = luma(x.y, x.width, x.height, x.linesize)
+                for top in range(0, x.height, 256):
+                    part = plane[top : top + 256]
+                    r, c = np.divmod(np.arange(part.size), x.width)
+                    yield pd.DataFrame({"stream_id": x.stream_id, "frame_no": x.frame_no, "r": r + top, "c": c, "v": part.reshape(-1).astype("int64")})
+
+    planes = frames.select("stream_id", "frame_no", "width", "height", "linesize", "y")
+    return planes.mapInPandas(run, "stream_id bigint, frame_no bigint, r bigint, c bigint, v bigint")

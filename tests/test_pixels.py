@@ -141,3 +141,53 @@ def test_rgb_plane_holds_every_whole_triple_of_vectors(spark, tmp_path, n):
     assert len(got) == n // 3 * 64
     for ch, name in enumerate(("red", "green", "blue")):
         assert np.array_equal(got[name].to_numpy().reshape(n // 3, 64), v[:, ch])
+
+
+@pytest.mark.parametrize("name", ["embed_me_gray", "embed_me_rgb", "embed_nvf_gray", "detect_me", "detect_nvf"])
+def test_plans_have_few_scans_and_no_products(spark, name):
+    from pixelveil.plans.queries import queries
+
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("FileScan") <= 2, plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_signal_of_another_size_is_refused(spark):
+    px = table(spark, smooth(5, 5))
+    for run in (marking.embed, marking.detect):
+        with pytest.raises(ValueError, match="5 x 5 pixels, the signal 5 x 4"):
+            run(px, planes.make_signal(spark, 5, 4))
+    with pytest.raises(ValueError, match="mask must be"):
+        marking.detect(px, mask="other")
+
+
+def test_a_large_frame_becomes_pixels(spark):
+    y = np.arange(520 * 300, dtype=np.int64) % 251
+    d = spark.createDataFrame([(1, 2, 300, 520, 300, bytearray(y.astype(np.uint8).tobytes()), bytearray(), bytearray())], video.FRAME)
+    got = video.frames_to_pixels(d).orderBy("r", "c").toPandas()
+    assert len(got) == 520 * 300 and np.array_equal(got.v, y) and set(got.frame_no) == {2}
+
+
+def test_settings_lines_go_on_and_numbers_have_bases():
+    s = Settings("\ufeff[paths]\nimage =\n  a.png\n  b.png\n[parameters]\np = 010\npsnr = 1e1\nloops_for_test = 0x2\n[parameters_video]\nwatermark_interval = 7\nencode_watermark_file_path = out.mp4\nwatermark_detection = on")
+    assert s.text("paths", "image") == "a.png\nb.png" and s.integer("parameters", "p", 3) == 8
+    o = options(Settings("[parameters]\np = 5\nloops_for_test = 4\n[parameters_video]\nwatermark_interval = 7\nencode_watermark_file_path = out.mp4\nwatermark_detection = on\n[paths]\nwatermark = w.dat"))
+    assert (o.p, o.loops, o.interval, o.encode_to, o.detection, o.signal) == (5, 4, 7, "out.mp4", True, "w.dat")
+
+
+def test_unsupported_formats_and_gray_files_are_refused(spark, tmp_path):
+    from pixelveil.sources import sinks
+
+    with pytest.raises(Exception, match="unsupported pixel format"):
+        video.supported(spark.createDataFrame([("rgb24",)], "pixel_format string")).collect()
+    rgb = spark.createDataFrame([(7, i, j, 10 * i, j, 200) for i in range(3) for j in range(2)], "img bigint, r bigint, c bigint, red bigint, green bigint, blue bigint")
+    assert sinks.save_images(rgb, f"file://{tmp_path}", "W_NVF") == [f"file://{tmp_path}/7_W_NVF.png"]
+    got = planes.read_images(spark, str(tmp_path)).orderBy("r", "c").collect()
+    assert [(x.r, x.c, x.red, x.green, x.blue, x.alpha) for x in got] == [(i, j, 10 * i, j, 200, None) for i in range(3) for j in range(2)]
+
+
+def test_numbering_a_long_stream(spark):
+    rows = [(i % 2, (i * 7919) % 10_007) for i in range(3000)]
+    got = video.numbered(spark.createDataFrame(rows, "stream_id int, at int").repartition(5), "at").collect()
+    for stream in (0, 1):
+        assert [r.frame_no for r in sorted((r for r in got if r.stream_id == stream), key=lambda r: r["at"])] == list(range(1500))
