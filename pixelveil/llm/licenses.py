@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame functions alone.
 
-A text is normalised to lower-case words between single spaces. Hundreds of expressions, made from license names
-and the sentence forms that name them, are each gated by a keyword: only those whose keyword occurs are run.
+A text is normalised to lower-case words between single spaces. Hundreds of expressions, each written for a notice,
+tag or name of one license, are gated by a keyword of their own: only those whose keyword occurs are run.
 Overlapping detections are resolved by priority: one contained in another of higher priority, or in a longer one
 of the same, is dropped.
 """
@@ -17,119 +17,346 @@ from pyspark.sql import functions as F
 #: Fixed phrases and labels of the base count.
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
-#: Label, keyword that gates the rules, and the expression of the license's name in normalised text.
-NAMES = [
-    ("gpl", "general public", r"(?:gnu )?general public licen[sc]e"),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[sc]e"),
-    ("lgpl", "library general", r"(?:gnu )?library general public licen[sc]e"),
-    ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e"),
-    ("gpl", "gpl", r"(?:gnu )?gpl(?:v?[123])?"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?:v?[23])?"),
-    ("agpl", "agpl", r"(?:gnu )?agpl(?:v?3)?"),
-    ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e"),
-    ("apache", "apache", r"apache (?:software )?licen[sc]e"),
-    ("mit", "mit", r"(?:the )?mit licen[sc]e"),
-    ("mit", "expat", r"expat licen[sc]e"),
-    ("x11", "x11", r"x11 licen[sc]e"),
-    ("bsd", "bsd", r"bsd (?:style )?licen[sc]e"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2|2 clause bsd|two clause bsd)(?: clause)?(?: licen[sc]e)?"),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3|3 clause bsd|three clause bsd)(?: clause)?(?: licen[sc]e)?"),
-    ("isc", "isc", r"isc licen[sc]e"),
-    ("mpl", "mozilla", r"mozilla public licen[sc]e"),
-    ("epl", "eclipse", r"eclipse public licen[sc]e"),
-    ("cddl", "development and distribution", r"common development and distribution licen[sc]e"),
-    ("cpl", "common public", r"common public licen[sc]e"),
-    ("artistic", "artistic", r"artistic licen[sc]e"),
-    ("zlib", "zlib", r"zlib (?:libpng )?licen[sc]e"),
-    ("boost", "boost", r"boost software licen[sc]e"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("eupl", "european union public", r"european union public licen[sc]e"),
-    ("ofl", "open font", r"(?:sil )?open font licen[sc]e"),
-    ("python", "python", r"python (?:software foundation )?licen[sc]e"),
-    ("php", "php", r"php licen[sc]e"),
-    ("postgresql", "postgresql", r"postgresql licen[sc]e"),
-    ("openssl", "openssl", r"openssl licen[sc]e"),
-    ("odbl", "open database", r"open (?:data commons )?(?:open )?database licen[sc]e"),
-    ("ms-pl", "microsoft public", r"microsoft public licen[sc]e"),
-    ("afl", "academic free", r"academic free licen[sc]e"),
-    ("osl", "open software", r"open software licen[sc]e"),
-    ("cc0", "cc0", r"(?:creative commons )?cc0"),
-    ("cc0", "creative commons zero", r"creative commons zero"),
-    ("cc-by", "creative commons", r"creative commons attribution(?: \d \d)?(?: international| unported| generic)? licen[sc]e"),
-    ("cc-by-sa", "sharealike", r"creative commons attribution sharealike"),
-    ("cc-by-sa", "share alike", r"creative commons attribution share alike"),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution noncommercial"),
-    ("cc-by-nd", "noderiv", r"creative commons attribution noderiv(?:s|atives)"),
-    ("cc-by", "cc by", r"cc by"),
-    ("cc-by-sa", "cc by sa", r"cc by sa"),
-    ("cc-by-nc", "cc by nc", r"cc by nc"),
-    ("cc-by-nd", "cc by nd", r"cc by nd"),
-    ("public-domain", "public domain", r"public domain"),
-]
-#: Sentence forms: expression before and after the name, priority, confidence. The more a form says, the higher it ranks.
-FORMS = [
-    ("", "", 10, 0.6),
-    ("", r"(?: as published by the [a-z ]{1,40}?)?(?: licen[sc]e)?(?: either)? (?:v|version|ver) ?\d+(?: \d+)?(?: (?:of the licen[sc]e )?(?:or|and) (?:\(at your option\) )?(?:any )?(?:later|newer)(?: version)?)?", 20, 0.8),
-    (r"(?:is |are |was |be )?(?:licensed|released|distributed|published|available|redistributed|provided|covered) (?:under|by)(?: the)?(?: terms of)?(?: the)?(?: conditions of)?(?: the)? ", "", 30, 0.9),
-    (r"(?:is |are |was |be )?(?:licensed|released|distributed|published|available|redistributed|provided|covered) (?:under|by)(?: the)?(?: terms of)?(?: the)?(?: conditions of)?(?: the)? ", r"(?: licen[sc]e)? (?:v|version|ver) ?\d+(?: \d+)?(?: or (?:any )?later(?: version)?)?", 40, 0.95),
-    (r"(?:spdx license identifier|license|licence) (?:is )?(?:the )?", r"(?: \d+ \d+)?(?: only| or later)?", 35, 0.9),
-    (r"(?:see|read|under|per|conditions of|terms of|copy of) the ", "", 25, 0.7),
-]
-#: Identifiers, which stand after ``SPDX-License-Identifier`` or ``License`` and needn't hold the word: label, keyword, expression. Common words need a version.
-IDS = [
-    ("apache", "apache", r"apache v?(?:2|1 [01])"),
-    ("mit", "mit", r"mit"),
-    ("x11", "x11", r"x11"),
-    ("bsd", "bsd", r"bsd"),
-    ("0bsd", "0bsd", r"0bsd"),
-    ("isc", "isc", r"isc"),
-    ("gfdl", "gfdl", r"(?:gnu )?gfdl"),
-    ("mpl", "mpl", r"mpl"),
-    ("epl", "epl", r"epl"),
-    ("cddl", "cddl", r"cddl"),
-    ("cpl", "cpl", r"cpl 1"),
-    ("artistic", "artistic", r"artistic [12]"),
-    ("zlib", "zlib", r"zlib"),
-    ("boost", "bsl", r"bsl 1 0"),
-    ("eupl", "eupl", r"eupl"),
-    ("ofl", "ofl", r"(?:sil )?ofl"),
-    ("python", "python", r"python 2 0"),
-    ("python", "psf", r"psf"),
-    ("php", "php", r"php 3 0"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("openssl", "openssl", r"openssl"),
-    ("odbl", "odbl", r"odbl"),
-    ("ms-pl", "ms pl", r"ms pl"),
-    ("afl", "afl", r"afl"),
-    ("osl", "osl", r"osl"),
-]
-_ID_END = r"(?: v?\d{1,2}(?: \d{1,2}){0,2}|1)?(?: only| or later)?"
-#: What stands before an identifier; another one may come first in an SPDX expression.
-ID_FORMS = [r"(?:spdx license identifier|license|licence) (?:is )?(?:the )?", r"(?<= spdx license identifier [a-z0-9 ]{1,40} (?:or|and) )"]
-#: Signatures of license texts: label, keyword, expression.
-TEXTS = [
-    ("mit", "permission is hereby granted free of charge", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission to use copy modify and", r"permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution and use in source", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "neither the name of", r"neither the name of [a-z0-9 ]{1,60}? may be used to endorse or promote products"),
-    ("gpl", "free software you can redistribute", r"(?:this program|this library|it) is free software you can redistribute it and or modify it"),
-    ("zlib", "provided as is without any express", r"this software is provided as is without any express or implied warranty in no event"),
-    ("wtfpl", "do what the fuck", r"do what the fuck you want to"),
-    ("unlicense", "released into the public domain", r"this is free and unencumbered software released into the public domain"),
-    ("proprietary", "all rights reserved", r"all rights reserved"),
-    ("proprietary", "proprietary", r"proprietary and confidential"),
-]
-#: Words of which every expression's match holds at least one.
-GATES = ["licen", "gpl", "wtfpl", "cc0", "cc by", "creative commons", "public domain", "permission", "redistribut", "neither the name", "proprietary", "all rights reserved", "do what the", "provided as is", "bsd", "public", "expat"]
+#: What an expression may abbreviate: words before an identifier, another identifier before it in an SPDX expression, words
+#: that grant a licence, words that point to one, and what may follow an identifier or a name.
+SHORT = {
+    "{tag}": r"(?:spdx license identifier|license|licence) (?:is )?(?:the )?",
+    "{also}": r"(?<= spdx license identifier [a-z0-9 ]{1,40} (?:or|and) )",
+    "{by}": r"(?:licensed|released|distributed|published|available|redistributed|provided|covered|issued) (?:under|by)(?: the)?(?: terms(?: and conditions)? of)?(?: the)? ",
+    "{see}": r"(?:see|read|under|per|conditions of|terms of|copy of) the ",
+    "{id}": r"(?: v?\d{1,2}(?: \d{1,2}){0,2})?(?: only| or later)?",
+    "{v}": r" ?(?:licen[sc]e )?(?:v|version|ver|release) ?\d+(?: \d+)?(?: of the licen[sc]e)?",
+    "{later}": r"(?: or(?: at your option)?(?: any)? (?:later|newer)(?: version)?)?",
+    "{L}": r"licen[sc]e",
+}
+#: Confidence by priority: names, pointers, versions, grants, tags, grants with a version, sentences of licence texts and notices.
+SURE = {10: 0.6, 15: 0.7, 20: 0.8, 30: 0.9, 35: 0.9, 40: 0.95, 50: 1.0}
+#: The rules in order: label, priority, keyword, and expression over normalised text. Of equal detections the first rule's stays.
+RULES = r"""
+gpl; 50; free software; (?:this program|this library|this file|it) is free software you can redistribute it and or modify it under the terms of the gnu general public {L}
+gpl; 50; general public; you should have received a copy of the gnu general public {L}
+gpl; 50; general public; either version \d(?: \d)? of the gnu general public {L}
+gpl; 50; general public; everyone is permitted to copy and distribute verbatim copies (?:[a-z0-9]+ ){0,30}?general public {L}
+lgpl; 50; lesser general; you should have received a copy of the gnu lesser general public {L}
+lgpl; 50; lesser general; it under the terms of the gnu lesser general public {L}
+lgpl; 50; library general; it under the terms of the gnu library general public {L}
+agpl; 50; affero; it under the terms of the gnu affero general public {L}
+agpl; 50; affero; you should have received a copy of the gnu affero general public {L}
+gfdl; 50; permission is granted to copy; permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation {L}
+apache; 50; licensed under the apache; licensed under the apache {L} version 2 0 the {L} you may not use this file except in compliance
+apache; 50; unless required by applicable law; unless required by applicable law or agreed to in writing software distributed under the {L} is distributed on an as is basis
+apache; 50; licensed to the apache; licensed to the apache software foundation asf under one or more contributor {L} agreements
+apache; 50; this product includes software developed; this product includes software developed (?:at|by) the apache software foundation
+mit; 50; permission is hereby granted; permission is hereby granted free of charge to any person obtaining a copy
+mit; 50; the above copyright notice; the above copyright notice and this permission notice shall be included in all copies or substantial portions
+x11; 50; except as contained in this notice; except as contained in this notice the name of (?:[a-z0-9]+ ){1,9}?shall not be used in advertising
+isc; 50; permission to use; permission to use copy modify and or distribute this software for any purpose
+0bsd; 50; permission to use; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided
+hpnd; 50; permission to use; permission to use copy modify and distribute this software and its documentation for any purpose
+bsd; 50; redistribution and use; redistribution and use in source and binary forms with or without modification are permitted
+bsd-3-clause; 50; neither the name of; neither the name of [a-z0-9 ]{1,60}? may be used to endorse or promote products
+bsd-4-clause; 50; all advertising materials; all advertising materials mentioning features or use of this software must display
+zlib; 50; this software is provided as is without any express; this software is provided as is without any express or implied warranty in no event
+zlib; 50; altered source versions; altered source versions must be plainly marked as such
+boost; 50; permission is hereby granted; permission is hereby granted free of charge to any person or organization obtaining a copy
+mpl; 50; this source code form; this source code form is subject to the terms of the mozilla public {L}
+mpl; 50; mozilla public; the contents of this file are subject to the mozilla public {L}
+epl; 50; this program and the accompanying materials; this program and the accompanying materials are made available under the terms of the eclipse public {L}
+cddl; 50; common development; the contents of this file are subject to the terms of the common development and distribution {L}
+cpl; 50; common public; are made available under the terms of the common public {L}
+artistic; 50; the intent of this document; the intent of this document is to state the conditions under which a package may be copied
+artistic; 50; same terms as perl; (?:redistribute|redistribution) (?:it )?and or modify it under the same terms as perl itself
+unlicense; 50; this is free and unencumbered; this is free and unencumbered software released into the public domain
+wtfpl; 50; you just do what; you just do what the fuck you want to
+wtfpl; 50; do what the fuck; do what the fuck you want to public {L}
+cc0; 50; has waived all copyright; has waived all copyright and related (?:or|and) neighbo(?:u)?ring rights
+cc0; 50; to the extent possible under law; to the extent possible under law (?:[a-z0-9]+ ){1,12}?has waived all copyright
+ofl; 50; this font software; this font software is licensed under the sil open font {L}
+openssl; 50; this product includes software developed; this product includes software developed by the openssl project
+python; 50; psf is making; psf is making python available to licensee on an as is basis
+php; 50; this product includes php; this product includes php software freely available from
+postgresql; 50; in no event shall; in no event shall the university of california be liable to any party for direct indirect special
+eupl; 50; licensed under the eupl; licensed under the eupl (?:v|version) ?1 ?\d? ?or as soon they will be approved
+ncsa; 50; redistributions of source code; redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers
+beerware; 50; beer ware; the beer ware {L}
+json; 50; the software shall be used for good; the software shall be used for good not evil
+public-domain; 50; hereby placed; (?:is|has been) hereby placed in the public domain
+public-domain; 50; the author disclaims; the author disclaims copyright to this source code
+sqlite; 50; may you do good; may you do good and not evil
+proprietary; 50; all rights reserved; all rights reserved
+proprietary; 50; proprietary and confidential; proprietary and confidential
+proprietary; 50; unauthorized copying; unauthorized copying of this file via any medium is strictly prohibited
+proprietary; 50; confidential and proprietary; confidential and proprietary information
+gpl; 40; general public; {by}(?:gnu )?general public {L}{v}{later}
+gpl; 40; gpl; {by}(?:gnu )?gpl(?: ?v?[123])?{v}{later}
+lgpl; 40; lesser general; {by}(?:gnu )?lesser general public {L}{v}{later}
+lgpl; 40; library general; {by}(?:gnu )?library general public {L}{v}{later}
+lgpl; 40; lgpl; {by}(?:gnu )?lgpl{v}{later}
+agpl; 40; affero; {by}(?:gnu )?affero general public {L}{v}{later}
+agpl; 40; agpl; {by}(?:gnu )?agpl{v}{later}
+gfdl; 40; free documentation; {by}(?:gnu )?free documentation {L}{v}{later}
+apache; 40; apache; {by}apache (?:software )?{L}{v}
+mpl; 40; mozilla public; {by}mozilla public {L}{v}
+epl; 40; eclipse public; {by}eclipse public {L}{v}
+cddl; 40; common development; {by}common development and distribution {L}{v}
+artistic; 40; artistic; {by}artistic {L}{v}
+boost; 40; boost software; {by}boost software {L}{v}
+eupl; 40; european union public; {by}european union public {L}{v}
+ofl; 40; open font; {by}(?:sil )?open font {L}{v}
+cc-by; 40; creative commons attribution; {by}creative commons attribution(?: \d \d)?(?: international| unported| generic)? {L}
+cc-by-sa; 40; creative commons attribution; {by}creative commons attribution share ?alike(?: \d \d)?(?: international| unported| generic)? {L}
+cc-by-nc; 40; creative commons attribution; {by}creative commons attribution non ?commercial(?: \d \d)?(?: international| unported| generic)? {L}
+cc-by-nc-sa; 40; creative commons attribution; {by}creative commons attribution non ?commercial share ?alike(?: \d \d)?(?: international| unported| generic)? {L}
+cc-by-nd; 40; creative commons attribution; {by}creative commons attribution no ?deriv(?:s|atives)(?: \d \d)?(?: international| unported| generic)? {L}
+cc-by-nc-nd; 40; creative commons attribution; {by}creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: \d \d)?(?: international| unported| generic)? {L}
+cc0; 40; creative commons zero; {by}creative commons zero{v}
+gpl; 35; gpl; {tag}(?:gnu )?gpl{id}
+gpl; 35; gpl; {also}gpl{id}
+gpl; 35; gplv; {tag}(?:gnu )?gplv[123]
+lgpl; 35; lgpl; {tag}(?:gnu )?lgpl{id}
+lgpl; 35; lgpl; {also}lgpl{id}
+agpl; 35; agpl; {tag}(?:gnu )?agpl{id}
+agpl; 35; agpl; {also}agpl{id}
+gfdl; 35; gfdl; {tag}(?:gnu )?gfdl{id}
+apache; 35; apache; {tag}apache v?(?:2|1 [01])(?: 0)?
+apache; 35; apache; {also}apache (?:2|1)(?: [01])?
+apache; 35; asl; {tag}asl (?:2|1)(?: [01])?
+mit; 35; mit; {tag}mit
+mit; 35; mit; {also}mit
+mit-0; 35; mit 0; {tag}mit 0
+mit; 35; expat; {tag}expat
+x11; 35; x11; {tag}x11
+bsd; 35; bsd; {tag}bsd
+bsd; 35; bsd; {also}bsd
+bsd-2-clause; 35; bsd 2 clause; {tag}bsd 2 clause(?: freebsd| netbsd| patent)?
+bsd-2-clause; 35; bsd 2 clause; {also}bsd 2 clause
+bsd-3-clause; 35; bsd 3 clause; {tag}bsd 3 clause(?: clear| lbnl)?
+bsd-3-clause; 35; bsd 3 clause; {also}bsd 3 clause
+bsd-4-clause; 35; bsd 4 clause; {tag}bsd 4 clause
+0bsd; 35; 0bsd; {tag}0bsd
+isc; 35; isc; {tag}isc
+isc; 35; isc; {also}isc
+mpl; 35; mpl; {tag}mpl{id}
+mpl; 35; mpl; {also}mpl{id}
+epl; 35; epl; {tag}epl{id}
+epl; 35; epl; {also}epl{id}
+cddl; 35; cddl; {tag}cddl{id}
+cpl; 35; cpl; {tag}cpl 1(?: 0)?
+ipl; 35; ipl; {tag}ipl 1(?: 0)?
+artistic; 35; artistic; {tag}artistic [12](?: 0)?(?: perl)?
+zlib; 35; zlib; {tag}zlib
+libpng; 35; libpng; {tag}libpng(?: 2 0)?
+boost; 35; bsl; {tag}bsl 1 0
+boost; 35; bsl; {also}bsl 1 0
+busl; 35; busl; {tag}busl 1 1
+unlicense; 35; unlicense; {tag}unlicense
+wtfpl; 35; wtfpl; {tag}wtfpl
+eupl; 35; eupl; {tag}eupl{id}
+ofl; 35; ofl; {tag}(?:sil )?ofl{id}
+python; 35; python; {tag}python 2 0(?: 1)?
+python; 35; psf; {tag}psf 2 0
+php; 35; php; {tag}php 3 0(?: ?1)?
+postgresql; 35; postgresql; {tag}postgresql
+openssl; 35; openssl; {tag}openssl
+odbl; 35; odbl; {tag}odbl{id}
+odc-by; 35; odc by; {tag}odc by(?: 1 0)?
+pddl; 35; pddl; {tag}pddl(?: 1 0)?
+ms-pl; 35; ms pl; {tag}ms pl
+ms-rl; 35; ms rl; {tag}ms rl
+afl; 35; afl; {tag}afl{id}
+osl; 35; osl; {tag}osl{id}
+ecl; 35; ecl; {tag}ecl{id}
+ncsa; 35; ncsa; {tag}ncsa
+upl; 35; upl; {tag}upl 1 0
+blueoak; 35; blueoak; {tag}blueoak 1 0 0
+mulan; 35; mulanpsl; {tag}mulanpsl [12](?: 0)?
+cecill; 35; cecill; {tag}cecill(?: b| c)?{id}
+w3c; 35; w3c; {tag}w3c(?: \d{8})?
+json; 35; json; {tag}json license
+vim; 35; vim; {tag}vim license
+ruby; 35; ruby; {tag}ruby license
+qpl; 35; qpl; {tag}qpl 1 0
+sleepycat; 35; sleepycat; {tag}sleepycat
+curl; 35; curl; {tag}curl license
+ftl; 35; ftl; {tag}ftl
+ijg; 35; ijg; {tag}ijg
+unicode; 35; unicode; {tag}unicode (?:dfs|tou|3 0)
+ntp; 35; ntp; {tag}ntp license
+hpnd; 35; hpnd; {tag}hpnd
+sspl; 35; sspl; {tag}sspl 1 0
+elastic; 35; elastic; {tag}elastic 2 0
+cpal; 35; cpal; {tag}cpal 1 0
+watcom; 35; watcom; {tag}watcom 1 0
+nasa; 35; nasa; {tag}nasa 1 3
+ogl; 35; ogl uk; {tag}ogl uk [123] 0
+etalab; 35; etalab; {tag}etalab 2 0
+cc0; 35; cc0; {tag}cc0{id}
+cc0; 35; cc0; {also}cc0{id}
+cc-by; 35; cc by; {tag}cc by{id}
+cc-by-sa; 35; cc by sa; {tag}cc by sa{id}
+cc-by-nc; 35; cc by nc; {tag}cc by nc{id}
+cc-by-nd; 35; cc by nd; {tag}cc by nd{id}
+cc-by-nc-sa; 35; cc by nc sa; {tag}cc by nc sa{id}
+cc-by-nc-nd; 35; cc by nc nd; {tag}cc by nc nd{id}
+public-domain; 35; public domain; {tag}public domain
+proprietary; 35; proprietary; {tag}proprietary
+proprietary; 35; licenseref; spdx license identifier licenseref proprietary
+proprietary; 35; unlicensed; {tag}unlicensed
+gpl; 30; general public; {by}(?:gnu )?general public {L}
+gpl; 30; gpl; {by}(?:gnu )?gpl
+lgpl; 30; lesser general; {by}(?:gnu )?lesser general public {L}
+lgpl; 30; lgpl; {by}(?:gnu )?lgpl
+agpl; 30; affero; {by}(?:gnu )?affero general public {L}
+agpl; 30; agpl; {by}(?:gnu )?agpl
+gfdl; 30; free documentation; {by}(?:gnu )?free documentation {L}
+apache; 30; apache; {by}apache (?:software )?{L}
+mit; 30; mit; {by}(?:the )?mit (?:style )?{L}
+mit; 30; expat; {by}expat {L}
+x11; 30; x11; {by}x11 {L}
+bsd; 30; bsd; {by}(?:modified |new |revised |simplified )?bsd (?:style )?{L}
+bsd-2-clause; 30; bsd 2 clause; {by}bsd 2 clause(?: {L})?
+bsd-2-clause; 30; 2 clause bsd; {by}2 clause bsd(?: {L})?
+bsd-3-clause; 30; bsd 3 clause; {by}bsd 3 clause(?: {L})?
+bsd-3-clause; 30; 3 clause bsd; {by}3 clause bsd(?: {L})?
+isc; 30; isc; {by}isc {L}
+mpl; 30; mozilla public; {by}mozilla public {L}
+epl; 30; eclipse public; {by}eclipse public {L}
+cddl; 30; common development; {by}common development and distribution {L}
+cpl; 30; common public; {by}common public {L}
+ipl; 30; ibm public; {by}ibm public {L}
+artistic; 30; artistic; {by}artistic {L}
+zlib; 30; zlib; {by}zlib (?:libpng )?{L}
+boost; 30; boost software; {by}boost software {L}
+busl; 30; business source; {by}business source {L}
+unlicense; 30; unlicense; {by}unlicense
+wtfpl; 30; wtfpl; {by}wtfpl
+eupl; 30; european union public; {by}european union public {L}
+ofl; 30; open font; {by}(?:sil )?open font {L}
+python; 30; python; {by}python (?:software foundation )?{L}
+php; 30; php; {by}php {L}
+postgresql; 30; postgresql; {by}postgresql {L}
+openssl; 30; openssl; {by}(?:dual )?openssl (?:and ssleay )?{L}
+odbl; 30; open; {by}open (?:data commons open )?database {L}
+odc-by; 30; open data commons attribution; {by}open data commons attribution {L}
+ms-pl; 30; microsoft public; {by}microsoft public {L}
+ms-rl; 30; microsoft reciprocal; {by}microsoft reciprocal {L}
+afl; 30; academic free; {by}academic free {L}
+osl; 30; open software; {by}open software {L}
+ecl; 30; educational community; {by}educational community {L}
+ncsa; 30; university of illinois; {by}university of illinois ncsa open source {L}
+cc0; 30; cc0; {by}(?:creative commons )?cc0
+cc-by; 30; cc by; {by}cc by
+cc-by-sa; 30; cc by sa; {by}cc by sa
+cc-by-nc; 30; cc by nc; {by}cc by nc
+cc-by-nd; 30; cc by nd; {by}cc by nd
+cc-by-nc-sa; 30; cc by nc sa; {by}cc by nc sa
+public-domain; 30; public domain; (?:released|dedicated|donated|placed) (?:in|into|to) the public domain
+proprietary; 30; proprietary; {by}proprietary {L}
+gpl; 20; general public; (?:gnu )?general public {L}{v}{later}
+gpl; 20; gpl; (?:gnu )?gpl{v}{later}
+lgpl; 20; lesser general; (?:gnu )?lesser general public {L}{v}{later}
+lgpl; 20; library general; (?:gnu )?library general public {L}{v}{later}
+lgpl; 20; lgpl; (?:gnu )?lgpl{v}{later}
+agpl; 20; affero; (?:gnu )?affero general public {L}{v}{later}
+agpl; 20; agpl; (?:gnu )?agpl{v}{later}
+gfdl; 20; free documentation; (?:gnu )?free documentation {L}{v}{later}
+apache; 20; apache; apache (?:software )?{L}{v}
+mpl; 20; mozilla public; mozilla public {L}{v}
+epl; 20; eclipse public; eclipse public {L}{v}
+cddl; 20; common development; common development and distribution {L}{v}
+artistic; 20; artistic; artistic {L}{v}
+eupl; 20; european union public; european union public {L}{v}
+ofl; 20; open font; (?:sil )?open font {L}{v}
+gpl; 15; general public; {see}(?:gnu )?general public {L}
+lgpl; 15; lesser general; {see}(?:gnu )?lesser general public {L}
+agpl; 15; affero; {see}(?:gnu )?affero general public {L}
+apache; 15; apache; {see}apache (?:software )?{L}
+mit; 15; mit; {see}mit {L}
+bsd; 15; bsd; {see}bsd {L}
+mpl; 15; mozilla public; {see}mozilla public {L}
+epl; 15; eclipse public; {see}eclipse public {L}
+isc; 15; isc; {see}isc {L}
+gpl; 10; general public; (?:gnu )?general public {L}
+gpl; 10; gpl; (?:gnu )?gpl
+gpl; 10; gplv; (?:gnu )?gplv[123]
+lgpl; 10; lesser general; (?:gnu )?lesser general public {L}
+lgpl; 10; library general; (?:gnu )?library general public {L}
+lgpl; 10; lgpl; (?:gnu )?lgpl(?:v[23])?
+agpl; 10; affero; (?:gnu )?affero general public {L}
+agpl; 10; agpl; (?:gnu )?agpl(?:v3)?
+gfdl; 10; free documentation; (?:gnu )?free documentation {L}
+apache; 10; apache; apache (?:software )?{L}
+mit; 10; mit; (?:the )?mit {L}
+mit; 10; expat; expat {L}
+x11; 10; x11; x11 {L}
+bsd; 10; bsd; bsd (?:style )?{L}
+bsd-2-clause; 10; bsd 2 clause; bsd 2 clause
+bsd-2-clause; 10; two clause bsd; two clause bsd
+bsd-3-clause; 10; bsd 3 clause; bsd 3 clause
+bsd-3-clause; 10; three clause bsd; three clause bsd
+isc; 10; isc; isc {L}
+mpl; 10; mozilla public; mozilla public {L}
+epl; 10; eclipse public; eclipse public {L}
+cddl; 10; common development; common development and distribution {L}
+cpl; 10; common public; common public {L}
+ipl; 10; ibm public; ibm public {L}
+artistic; 10; artistic; artistic {L}
+zlib; 10; zlib; zlib (?:libpng )?{L}
+boost; 10; boost software; boost software {L}
+busl; 10; business source; business source {L}
+unlicense; 10; unlicense; (?:the )?unlicense
+wtfpl; 10; wtfpl; wtfpl
+eupl; 10; european union public; european union public {L}
+ofl; 10; open font; (?:sil )?open font {L}
+python; 10; python; python (?:software foundation )?{L}
+php; 10; php; php {L}
+postgresql; 10; postgresql; postgresql {L}
+openssl; 10; openssl; openssl {L}
+odbl; 10; open database; open database {L}
+odbl; 10; open data commons; open data commons (?:open )?database {L}
+odc-by; 10; open data commons; open data commons attribution {L}
+pddl; 10; open data commons; open data commons public domain dedication and {L}
+ms-pl; 10; microsoft public; microsoft public {L}
+ms-rl; 10; microsoft reciprocal; microsoft reciprocal {L}
+afl; 10; academic free; academic free {L}
+osl; 10; open software; open software {L}
+ecl; 10; educational community; educational community {L}
+upl; 10; universal permissive; universal permissive {L}
+mulan; 10; mulan permissive; mulan permissive software {L}
+cecill; 10; cecill; cecill {L}
+sspl; 10; server side public; server side public {L}
+elastic; 10; elastic; elastic {L}
+watcom; 10; sybase open watcom; sybase open watcom public {L}
+nasa; 10; nasa open source; nasa open source agreement
+ogl; 10; open government; open government {L}
+cc0; 10; cc0; (?:creative commons )?cc0
+cc0; 10; creative commons zero; creative commons zero
+cc-by; 10; creative commons attribution; creative commons attribution(?: \d \d)?(?: international| unported| generic)? {L}
+cc-by-sa; 10; creative commons attribution; creative commons attribution share ?alike
+cc-by-nc; 10; creative commons attribution; creative commons attribution non ?commercial
+cc-by-nc-sa; 10; creative commons attribution; creative commons attribution non ?commercial share ?alike
+cc-by-nd; 10; creative commons attribution; creative commons attribution no ?deriv(?:s|atives)
+cc-by; 10; cc by; cc by
+cc-by-sa; 10; cc by sa; cc by sa
+cc-by-nc; 10; cc by nc; cc by nc
+cc-by-nd; 10; cc by nd; cc by nd
+cc-by-nc-sa; 10; cc by nc sa; cc by nc sa
+cc-by-nc-nd; 10; cc by nc nd; cc by nc nd
+public-domain; 10; public domain; public domain
+"""
+#: Strings of which every expression's match holds at least one.
+GATES = ["licen", "gpl", "wtfpl", "cc0", "cc by", "creative commons", "public domain", "permission", "redistribut", "neither the name", "proprietary", "all rights reserved", "what the fuck", "provided as is", "bsd", "copyright", "advertising", "altered source", "copied", "this product includes", "making python", "in no event shall", "software shall be used", "good and not evil", "unauthorized copying", "nasa open source"]
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
     """(number, keyword, expression, label, priority, confidence) of every rule, in order."""
-    made = [(kw, rf"(?<= )(?:{a}{name}{z})(?= )", label, priority, sure) for label, kw, name in NAMES for a, z, priority, sure in FORMS]
-    made += [(kw, rf"(?<= )(?:{a}(?:{name}){_ID_END})(?= )", label, 35, 0.9) for label, kw, name in IDS for a in ID_FORMS]
-    made += [(kw, rf"(?<= )(?:{text})(?= )", label, 50, 1.0) for label, kw, text in TEXTS]
-    return [(i, *r) for i, r in enumerate(made)]
+    out = []
+    for i, line in enumerate(RULES.strip().split("\n")):
+        label, priority, keyword, expression = line.split("; ", 3)
+        for short, long in SHORT.items():
+            expression = expression.replace(short, long)
+        out.append((i, f" {keyword}", rf"(?<= )(?:{expression})(?= )", label, int(priority), SURE[int(priority)]))
+    return out
 
 
 def normalised(text: Column) -> Column:
