@@ -19,17 +19,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_from, with_import_path
+from .common import rows_from, small_or_not, stored, with_import_path
 
 #: Payloads from this many bytes on are recorded once.
 LEAST_SHARED = 100
 #: Record bytes in an archive, the bytes of its dictionary, and the record bytes that the dictionary is built from.
 ARCHIVE_BYTES, DICTIONARY_BYTES, TRAINING_BYTES = 4_000_000, 1 << 15, 1_500_000
+#: Bytes of a record that may enter the dictionary; records themselves are whole.
+SAMPLE_BYTES = 20_000
 LEVEL = 3
 #: Skippable frame that holds a dictionary, and a frame's own number.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 DATE = "1970-01-01T00:00:00Z"
-SALTS = 32
+#: Shared digests that may be broadcast (about 100 bytes each), and keys over which a common one is dealt in a join.
+MOST_BROADCAST, SALTS = 200_000, 32
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -61,10 +64,10 @@ def record(page_id, copy: int, url: str | None, payload: bytes, digest: str, ref
 
 
 def build(records: list[bytes]) -> bytes:
-    """An archive of the given records."""
+    """An archive of the given records. Its dictionary is built from about ``TRAINING_BYTES`` of them, evenly spaced; all are written whole."""
     samples, total = [], 0
     for r in records[:: max(1, sum(map(len, records)) // TRAINING_BYTES)]:
-        samples.append(r[:20_000])
+        samples.append(r[:SAMPLE_BYTES])
         total += len(samples[-1])
     try:
         content = zstd.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 10)), samples, k=64, d=8).as_bytes() if len(samples) >= 8 else b""
@@ -114,23 +117,36 @@ def read(content: bytes):
         yield h, rest[:n]
 
 
-def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_SHARED) -> DataFrame:
+def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_SHARED, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``page_id, url, html, digest, copy, refers_to``: which row records a payload and which refer to it.
 
     Payloads below ``least`` bytes are always recorded. Of others that are equal, the row with the smallest page id
     records (null ids only if there is no other, and then they refer to nothing); of repeated rows with that id,
-    the first by url does, and the others refer to it. Only digests cross the network to find who shares; a very
-    common payload is dealt over ``SALTS`` keys.
+    the first by url does, and the others refer to it. Other columns play no part; an empty table gives no rows.
+
+    Who shares is found by digests alone. If at most ``most_broadcast`` payloads are shared, pages aren't shuffled; else they
+    meet the shared digests in a join, in which a very common payload is dealt over ``SALTS`` keys. Only repeated rows of
+    one id and payload are numbered by a window.
     """
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("long", F.octet_length("html") >= least)
-    shared = rows.where("long and page_id is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = shared.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    # Rows of one id meet, and so are numbered, in the partitioning of the join.
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    met = rows.join(shared.hint("merge"), ["digest", "salt"], "left")
-    copy = Window.partitionBy("digest", "salt", "page_id").orderBy(F.col("url").asc_nulls_first())
-    met = met.withColumn("copy", F.row_number().over(copy) - 1)
+    keys = stored(rows.groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.max("long").alias("long")), "digests")
+    shared = keys.where("long and page_id is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("n")).where("n > 1").select("digest", "first")
+    if shared.count() <= most_broadcast:
+        met = rows.join(F.broadcast(shared), "digest", "left")
+    else:
+        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["digest", "salt"], "left")
+    met = met.select("page_id", "url", "html", "digest", "first")
+    twice = keys.where("n > 1").select(F.col("digest").alias("same"), F.col("page_id").alias("id"))
+    n = twice.count()
+    if n:
+        again = (F.col("digest") == F.col("same")) & F.col("page_id").eqNullSafe(F.col("id"))
+        twice = small_or_not(twice, n, most_broadcast)
+        number = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy(F.col("url").asc_nulls_first())) - 1
+        met = met.join(twice, again, "left_anti").withColumn("copy", F.lit(0)).union(met.join(twice, again, "left_semi").withColumn("copy", number))
+    else:
+        met = met.withColumn("copy", F.lit(0))
     other = F.col("first").isNotNull() & F.col("page_id").isNotNull() & ((F.col("page_id") != F.col("first")) | (F.col("copy") > 0))
     return met.select("page_id", "url", "html", "digest", "copy", F.when(other, F.col("first")).alias("refers_to"))
 
@@ -138,7 +154,8 @@ def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str
 def write(planned: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """``archive, content, records``: archives of about ``archive_bytes`` record bytes from the rows of ``plan``.
 
-    A task holds one archive at a time. An archive's name is the hash of its content.
+    A task holds one archive at a time, or one longer record. An archive's name is the hash of its content. An empty
+    table gives no archives.
     """
     with_import_path(planned.sparkSession)
     schema = T.StructType.fromDDL("archive string, content binary, records bigint")
@@ -166,7 +183,8 @@ def read_back(archives: DataFrame, content: str = "content") -> DataFrame:
     """``page_id, url, payload, payload_digest, payload_bytes, record_type, refers_to`` of every record.
 
     The digest of a response is computed from its payload and must equal its header's; a revisit has a null payload, and
-    digest and length from its headers.
+    digest and length from its headers. A null url comes back as an empty one, control characters in a url as %XX. An
+    empty table gives no rows.
     """
     with_import_path(archives.sparkSession)
     schema = T.StructType.fromDDL("page_id bigint, url string, payload binary, payload_digest string, payload_bytes bigint, record_type string, refers_to bigint")
