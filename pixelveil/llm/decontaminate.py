@@ -61,6 +61,18 @@ class WuManber:
         return out
 
 
+_KEPT: dict[object, list] = {}
+
+
+def _searches(tables) -> list[WuManber]:
+    """The searches of a broadcast's patterns, built once in a worker; those of another broadcast go."""
+    key = getattr(tables, "_path", None) or id(tables)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = [WuManber(m, p) for m, p in sorted(tables.value.items())]
+    return _KEPT[key]
+
+
 def _windows(benchmark: DataFrame, item: str, text: str, width: int) -> DataFrame:
     def make():
         def f(items, texts):
@@ -79,7 +91,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     windows count once; an item without words never occurs. An empty benchmark hits nothing, an empty ``docs``
     gives no rows. Other columns stay; one that has the name of an added column is replaced. The benchmark goes
     to the executors in sets of ``block_windows`` windows, split by hash, so each broadcast is bounded whatever
-    its size; the documents aren't shuffled.
+    its size; the documents aren't shuffled. With more than one set, the documents are stored between passes.
     """
     spark = docs.sparkSession
     windows = stored(_windows(benchmark, item, item_text, width), "windows")
@@ -94,7 +106,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         tables = spark.sparkContext.broadcast({m: {k: tuple(v) for k, v in p.items()} for m, p in by_length.items()})
 
         def make(tables=tables):
-            searches = [WuManber(m, p) for m, p in sorted(tables.value.items())]
+            searches = _searches(tables)
 
             def one(t, hit, items):
                 words = alnum_words(t)
@@ -115,6 +127,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
             return lambda texts, hits, items: [list(c) for c in zip(*map(one, texts, hits, items), strict=True)]
 
         out = add_columns(out, [text, "hit__", "item__"], "n_words bigint, hit__ array<int>, item__ array<string>", make)
+        if b < blocks - 1:  # so that a worker never holds the tables of two passes
+            out = stored(out, "searched")
     spans = F.expr("transform(sequence(0, cast(size(hit__) / 2 as int)), i -> named_struct('start', try_element_at(hit__, 2 * i + 1), 'end', try_element_at(hit__, 2 * i + 2)))")
     out = out.withColumn("hit_spans", F.filter(spans, lambda s: s["start"].isNotNull()))
     out = out.withColumn("n_hit", F.expr("aggregate(hit_spans, 0L, (a, s) -> a + s.end - s.start)"))
