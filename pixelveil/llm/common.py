@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from pixelveil.functions.tables import shared_folder, small_or_not, stored  # noqa: F401  for the operators
+
 #: Upper-case A-Z become lower case, other bytes stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The same, and every ASCII byte that is neither digit nor letter becomes a space.
@@ -183,54 +181,3 @@ def make_rows(df: DataFrame, out: str, make: Callable[[], Callable[..., list]],
             yield rows_from(schema, f.end())
 
     return df.mapInArrow(run, schema)
-
-
-_OWN: list[str] = []
-_MADE: list[tuple] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset and Spark runs in this process, as in tests, one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="pixelveil-"))
-        folder = "file://" + _OWN[0]
-    return folder.rstrip("/")
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended, and the table's folder with it
-        return
-
-
-def _drop_all() -> None:
-    import shutil
-
-    for spark, path in _MADE:
-        if getattr(spark.sparkContext, "_jsc", None) is not None:
-            _drop(spark, path)
-    for d in _OWN:
-        shutil.rmtree(d, ignore_errors=True)
-
-
-atexit.register(_drop_all)
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write a table once to the shared folder and read it from there: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_or_not(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """A broadcast hint for a side whose counted rows are at most ``most``; else Spark shuffles both sides."""
-    return F.broadcast(df) if rows <= most else df

@@ -22,8 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links every node's larger neighbours to its least neighbour, then its smaller neighbours to the
     least; the number of rounds follows the logarithm of the number of nodes. Tables are written to the shared
-    folder between rounds, and only a count and a hash reach the driver.
+    folder between rounds, and only a count and a hash reach the driver. Repeated edges count once, an edge of a node with
+    itself makes a component of its own, rows with a null end aren't edges, and an empty table gives no rows.
     """
+    edges = edges.where("a is not null and b is not null").select("a", "b")
     nodes = _two_ways(edges).select(F.col("a").alias("node")).distinct()
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _digest(e)

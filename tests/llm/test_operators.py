@@ -411,7 +411,7 @@ def test_chat_escapes_every_control_string(spark, tmp_path):
 def test_licenses_finds_a_declaration_of_every_label(spark):
     said = {"MIT": "mit", "Apache-2.0": "apache", "ISC": "isc", "Zlib": "zlib", "MPL-2.0": "mpl", "EPL-2.0": "epl", "BSL-1.0": "boost", "GPL-3.0-or-later": "gpl", "LGPL-2.1-only": "lgpl", "AGPL-3.0": "agpl", "GFDL-1.3": "gfdl", "X11": "x11", "BSD": "bsd", "0BSD": "0bsd", "BSD-2-Clause": "bsd-2-clause", "BSD-3-Clause": "bsd-3-clause", "CDDL-1.0": "cddl", "CPL-1.0": "cpl", "Artistic-2.0": "artistic", "Unlicense": "unlicense", "WTFPL": "wtfpl"}
     said |= {"EUPL-1.2": "eupl", "OFL-1.1": "ofl", "Python-2.0": "python", "PSF-2.0": "python", "PHP-3.01": "php", "PostgreSQL": "postgresql", "OpenSSL": "openssl", "ODbL-1.0": "odbl", "MS-PL": "ms-pl", "AFL-3.0": "afl", "OSL-3.0": "osl", "CC0-1.0": "cc0", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa", "CC-BY-NC-4.0": "cc-by-nc", "CC-BY-ND-4.0": "cc-by-nd", "Public Domain": "public-domain"}
-    assert {label for label, *_ in licenses.NAMES} | {label for label, *_ in licenses.IDS} == set(said.values())
+    assert set(said.values()) <= {label for *_, label, _, _ in licenses.rules()}
     rows = [(f"{form} {name}", label) for form in ("SPDX-License-Identifier:", "License:") for name, label in said.items()] + [("// SPDX-License-Identifier: MIT OR Apache-2.0\nfn main", "apache,mit"), ("it needs a license. Python 3 and PHP 8 are used", "")]
     for r in licenses.scan(spark.createDataFrame(rows, "text string, label string")).collect():
         # The base count labels any "cc by", whatever follows.
@@ -457,3 +457,76 @@ def test_tables_need_a_shared_folder_on_a_cluster(spark):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
     assert shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]"))).startswith("file:")
+
+
+def plain_detections(text):
+    """(start, end, label, priority, confidence, rule) of all rules without a gate, less those that another one suppresses."""
+    import re
+
+    w = [x.decode() for x in alnum_words(text)]
+    norm = " " + "".join(f"{x} " for x in w)
+    found = []
+    for rule, _, expression, label, priority, sure in licenses.rules():
+        # Python's look-behind has a fixed width: another identifier before is looked for by hand.
+        also = licenses.SHORT["{also}"]
+        for m in re.finditer(expression.replace(also, ""), norm):
+            if also not in expression or re.search(r" spdx license identifier [a-z0-9 ]{1,40} (?:or|and) $", norm[: m.start()]):
+                found.append((norm[: m.start()].count(" ") - 1, norm[: m.end()].count(" "), label, priority, sure, rule))
+    over = lambda s, o: o[0] <= s[0] and o[1] >= s[1] and (o[3], o[1] - o[0], -o[5]) > (s[3], s[1] - s[0], -s[5])
+    return sorted(s for s in found if not any(over(s, o) for o in found))
+
+
+def test_license_rules_equal_plain_expressions(spark):
+    texts = ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with it", "GPL v2 or later, see the MIT License; dual: CC BY-SA 4.0, cc by 3", "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", "open data commons database license"]
+    texts += ["Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the X may be used to endorse or promote products", "released into the public domain. All rights reserved. all rights reserved", "licence: lgpl-2.1+ license gplv3, GNU Affero General Public License version 3 or any later version", "", "no words of that kind here"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if "icens" in r.text][:60]
+    got = {r.text: r for r in licenses.scan(spark.createDataFrame([(t,) for t in set(texts)], "text string")).collect()}
+    for t in texts:
+        want = plain_detections(t)
+        assert sorted((d.start, d.end, d.label, d.priority, d.confidence, d.rule) for d in got[t].detections) == want, t
+        base = {x for x in got[t].base_labels.split(",") if x}
+        assert got[t].labels == ",".join(sorted(base | {d[2] for d in want}))
+        assert got[t].score == max([d[4] for d in want] + [0.5 if base else 0.0])
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_every_license_rule_needs_its_keyword():
+    import re
+
+    from hypothesis import strategies as st
+
+    assert len(licenses.rules()) >= 250
+    for _, keyword, expression, *_ in licenses.rules():
+        body = expression.removeprefix("(?<= )").removesuffix("(?= )").replace(licenses.SHORT["{also}"], "")
+        sample = f" {st.from_regex(re.compile(body, re.ASCII), fullmatch=True).example()} "
+        assert keyword in sample and (any(g in sample for g in licenses.GATES) or licenses.SHORT["{also}"] in expression), (expression, sample)
+
+
+def test_warc_plan_beyond_the_broadcast_bound_and_of_repeated_rows(spark):
+    long = ["x" * 150, "y" * 150, "z" * 150]
+    rows = [(i, f"u{i}", long[i % 2]) for i in range(1, 9)] + [(3, "a", long[1]), (None, "n", long[0]), (None, "m", long[0]), (20, "v", long[2]), (21, "w", "short"), (21, "w", "short")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("digest", F.lit("clash")).repartition(3)
+    wide, narrow = ([tuple(r)[:2] + tuple(r)[3:] for r in warc.plan(pages, most_broadcast=n).collect()] for n in (100, 0))
+    assert sorted(map(repr, wide)) == sorted(map(repr, narrow)) and len(wide) == len(rows)
+    refers = {(p, u): r for p, u, _, _, r in wide}
+    assert refers[5, "u5"] == 1 and refers[1, "u1"] is None and refers[4, "u4"] == 2 and refers[None, "n"] is None and refers[20, "v"] is None and refers[21, "w"] is None
+    assert sorted(c for p, _, _, c, _ in wide if p == 3) == sorted(c for p, _, _, c, _ in wide if p == 21) == [0, 1]
+    archives = warc.write(warc.plan(pages))
+    assert len({h["WARC-Record-ID"] for r in archives.collect() for h, _ in warc.read(r.content)}) == len(rows)
+
+
+def test_warc_files_and_long_payloads(spark, tmp_path):
+    rows = [(1, "u", "é" * 3_000_000), (2, None, None), (3, "w", "<p>" + words(50, 3))]
+    archives = warc.write(warc.plan(spark.createDataFrame(rows, "page_id bigint, url string, html string")))
+    assert len(warc.save_files(archives, f"file://{tmp_path}")) == archives.count()
+    back = {r.page_id: r for r in warc.read_back(warc.read_files(spark, str(tmp_path))).collect()}
+    assert {i: bytes(r.payload) for i, r in back.items()} == {i: (h or "").encode() for i, _, h in rows}
+
+
+@pytest.mark.parametrize("size", [3, 1000])
+def test_decontamination_in_several_passes(spark, corpus, size):
+    items = spark.createDataFrame([("a", words(30, 1)), ("b", words(25, 9)), ("c", "one two"), (None, "cc by"), ("d", None)], "item_id string, text string")
+    docs = spark.createDataFrame(corpus, DOCS).withColumn("items", F.lit("clash"))
+    got = {r.doc_id: (r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.decontaminate(docs, items, block_windows=size).collect()}
+    one = {r.doc_id: (r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == one and got[5][1] == 2 and got[5][2] == ("c",)
