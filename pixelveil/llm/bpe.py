@@ -24,11 +24,11 @@ from tokenizers import Tokenizer
 from .common import add_columns
 
 #: Words that a worker keeps from one batch to the next; it steers only speed.
-CACHE = 120_000
+CACHE = 200_000
 #: Longer pieces are walked alone.
 LONG_PIECE = 96
 #: Characters of texts that are split at a time, and words whose prefixes are walked together.
-CHUNK, TOGETHER = 400_000, 8_192
+CHUNK, TOGETHER = 1_000_000, 16_384
 #: Pairs of tokens whose compatibility is kept.
 PAIRS = 1 << 17
 #: Below this code point, where Unicode versions agree, words are split with Python's expressions.
@@ -215,6 +215,9 @@ class WordBpe:
         self.table = np.array(tables.strings, object)
         self._library: Tokenizer | None = None
         self.words: dict[str, bytes] = {}
+        #: Words of chunks since words were last dropped, and those of more than one.
+        self.once: set = set()
+        self.twice: set = set()
         self.moves: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
         self.pair_keys, self.pair_fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
@@ -395,8 +398,12 @@ class WordBpe:
         known.update(self._learn([w for w in here if isinstance(w, str)]))
         known.update((w, w) for w in here if not isinstance(w, str))  # ids of special tokens
         out = [b"".join(map(known.__getitem__, x)) for x in parts]
+        self.twice |= self.once & words
+        self.once |= words
         if len(known) > CACHE:
-            self.words = {w: known[w] for w in words} if len(words) < CACHE else {}
+            stay = self.twice if len(self.twice) < CACHE // 2 else words
+            self.words = {w: known[w] for w in stay if w in known}
+            self.once, self.twice = set(self.words), set()
         return out
 
     def _has_special(self, text: str | None) -> bool:
