@@ -315,17 +315,23 @@ def _groups(sets: DataFrame, percent: int, block: int) -> DataFrame:
     return stored(base, "groups")
 
 
+def _sized(df: DataFrame, what: str) -> DataFrame:
+    """A stored table of one row per group, which may be broadcast if it is small: rows of a large group then don't meet."""
+    df = stored(df, what)
+    return small_or_not(df, df.count(), MOST_BROADCAST // 4)
+
+
 def _within(comp: DataFrame) -> DataFrame:
     """(sid, own, group): sets that ask their own group: those outside its largest part."""
     parts = comp.groupBy("group", "part").agg(F.count("*").alias("size"))
     most = parts.groupBy("group").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    return comp.join(most.select("group", F.col("most.part").alias("largest")), "group").where("part <> largest").select("sid", F.col("part").alias("own"), "group")
+    return comp.join(_sized(most.select("group", F.col("most.part").alias("largest")), "largest"), "group").where("part <> largest").select("sid", F.col("part").alias("own"), "group")
 
 
 def _open(sets: DataFrame, comp: DataFrame, queries: DataFrame, percent: int, block: int) -> DataFrame:
     """(a, b): parts joined by a link, from (sid, own, group) queries. Every block of members meets every block of queries."""
-    asking = queries.groupBy("group").count()
-    size = _blocks(comp.join(asking.select("group"), "group").groupBy("group").count(), "group", block).join(_blocks(asking, "group", block).withColumnRenamed("blocks", "askers"), "group")
+    askers = _blocks(queries.groupBy("group").count(), "group", block).withColumnRenamed("blocks", "askers")
+    size = _sized(_blocks(comp.groupBy("group").count(), "group", block).join(askers, "group"), "blocks")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = comp.join(size, "group").select("group", F.pmod("sid", "blocks").alias("block"), each("askers").alias("asker"), F.lit(0).alias("query"), "sid", F.col("part").alias("own"))
     asked = queries.join(size, "group").select("group", each("blocks").alias("block"), F.pmod(F.xxhash64("sid"), F.col("askers")).cast("int").alias("asker"), F.lit(1).alias("query"), "sid", "own")
@@ -390,7 +396,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         sets = stored(sets.dropDuplicates(["sid"]), "sets")
 
     comp = _groups(sets, percent, block)
-    sizes = comp.groupBy("group").agg(F.count("*").alias("size"))
+    sizes = _sized(comp.groupBy("group").agg(F.count("*").alias("size")), "sizes")
     matrix = postings.join(comp.join(sizes, "group").select("sid", "part", F.col("group").alias("home"), "size"), "sid")
     row = matrix.groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("short").alias("any"), F.max("size").alias("large"))
     probe = matrix.join(row.select(F.col("token"), F.col("home").alias("group"), "least", "most", "any", "large"), "token")
