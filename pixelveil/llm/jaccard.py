@@ -124,8 +124,9 @@ class _Order:
 
 
 def _postings(docs: DataFrame, width: int, frequent) -> DataFrame:
-    """Prefix tokens: (token, sid, n, short, hot): short if the token is in the prefix that a partner at least as large needs, hot if frequent.
+    """Prefix tokens: (key, sid, n, short, token): short if the token is in the prefix that a partner at least as large needs.
 
+    The key is the token, and ``token`` null; of a frequent token, ``token`` is it and the key a mix of it and the set.
     A task gives each different text once.
     """
 
@@ -147,11 +148,13 @@ def _postings(docs: DataFrame, width: int, frequent) -> DataFrame:
                     hots.append(np.arange(k) >= cold)
             if not tokens:
                 return [[], [], [], [], []]
-            return [pa.array(_signed(np.concatenate(tokens))), *(pa.array(np.concatenate(x)) for x in (sids, ns, shorts, hots))]
+            tokens, sids, ns, shorts, hots = (np.concatenate(x) for x in (tokens, sids, ns, shorts, hots))
+            keys = np.where(hots, (tokens ^ sids.view(np.uint64)) * _TURNED[0], tokens)
+            return [pa.array(_signed(keys)), pa.array(sids), pa.array(ns), pa.array(shorts), pa.array(_signed(tokens), mask=~hots)]
 
         return f
 
-    return make_rows(docs, "token bigint, sid bigint, n int, short boolean, hot boolean", make, arrow=True)
+    return make_rows(docs, "key bigint, sid bigint, n int, short boolean, token bigint", make, arrow=True)
 
 
 def _sets(docs: DataFrame, width: int, frequent) -> DataFrame:
@@ -378,10 +381,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shared = spark.sparkContext.broadcast(_frequent(both.where("n < 0").select("sid", "seen")))
 
     # A frequent token's rows are spread by set.
-    by_token = Window.partitionBy("hot", "key")
-    every = _postings(base.where("doc_id is not null").select("text"), width, shared).withColumn("key", F.when(F.col("hot"), F.xxhash64("token", "sid")).otherwise(F.col("token")))
+    by_token = Window.partitionBy("key", "token")
+    every = _postings(base.where("doc_id is not null").select("text"), width, shared)
     found = every.select("*", F.min("sid").over(by_token).alias("lo"), F.max("sid").over(by_token).alias("hi"), F.max("short").over(by_token).alias("any"))
-    postings = stored(found.where("hot or lo <> hi and any").select("token", "sid", "n", "short").distinct(), "postings")
+    found = found.where("token is not null or lo <> hi and any")
+    postings = stored(found.select(F.coalesce("token", "key").alias("token"), "sid", "n", "short").distinct(), "postings")
 
     for _ in range(TURNS):
         enough = postings.groupBy("sid").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k")).select("sid")
