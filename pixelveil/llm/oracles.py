@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .sharding import BUCKET_ROWS, BUCKETS, FACTORS, MODULUS, ROUNDS, key
+
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -42,6 +44,41 @@ select d.doc_id, coalesce(n.n, 0) n_shingles, c.component_id
 from d left join n using (doc_id) join (select node doc_id, min(root) component_id from reach group by node) c using (doc_id)
 """
 
+#: CRC-32 of four bits, for each value of the four: eight bits are two steps.
+_NIBBLES = []
+for _c in range(16):
+    for _ in range(4):
+        _c = _c >> 1 ^ (0xEDB88320 if _c & 1 else 0)
+    _NIBBLES.append(_c)
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, of each the lower four bits first."""
+    digits = f"list_transform(regexp_extract_all(regexp_replace(hex({text}), '(.)(.)', '\\2\\1', 'g'), '.'), lambda x: instr('0123456789ABCDEF', x) - 1)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {digits}::bigint[]), lambda c, x: xor(({_NIBBLES}::bigint[])[(xor(c, x) & 15) + 1], c >> 4)), 4294967295)"
+
+
+OP6 = f"""
+with recursive d as (select doc_id, cast(strlen(coalesce(text, '')) + 16 as bigint) size, {_crc32("coalesce(text, '')")} crc from documents),
+n as (select count(*) n, cast(ceil(sqrt(count(*))) as bigint) a from d),
+p as (select n, a, (n + a - 1) // a b, greatest({BUCKETS}, (n + {BUCKET_ROWS - 1}) // {BUCKET_ROWS}) buckets from n),
+num as (
+  select doc_id, size, crc, n, a, b, row_number() over (order by spot % buckets, doc_id nulls first, size, crc) - 1 x
+  from (select *, {_crc32("concat_ws('|', doc_id, size, crc)")} spot from d), p),
+walk as (
+  select x, n, a, b, x // b l, x % b r, 0 t from num
+  union all
+  select x, n, a, b, case when t % 2 = 0 then (l + xor(w, w >> 13) % a) % a else l end, case when t % 2 = 1 then (r + xor(w, w >> 13) % b) % b else r end, t + 1
+  from (
+    select *, (xor(v, v >> 15) * {FACTORS[1]} + k) % {MODULUS} w
+    from (
+      select *, (case when t % 2 = 0 then r else l end * {FACTORS[0]} + k) % {MODULUS} v
+      from (select *, ({[key(20, t) for t in range(2 * ROUNDS)]}::bigint[])[t % {2 * ROUNDS} + 1] k from walk)))
+  where t = 0 or t % {2 * ROUNDS} <> 0 or l * b + r >= n)
+select doc_id, size, crc text_crc32, x row_number, l * b + r position, 'rows' law, cast((l * b + r) % 40 as int) shard, (l * b + r) // 40 slot, cast(null as int) grown_shard
+from (select doc_id, size, crc, x from num) join (select x, l, r, b from walk where t > 0 and t % {2 * ROUNDS} = 0 and l * b + r < n) w using (x)
+"""
+
 _ESC = r"regexp_replace({0}, '<(%*)\|', '<%\1|', 'g')"
 OP7 = rf"""
 with c as (
@@ -67,4 +104,4 @@ from q join f using (payload_digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op3_jaccard": OP3, "op7_chat": OP7, "op10_warc": OP10}
+    return {"op1_decontaminate": OP1, "op3_jaccard": OP3, "op6_sharding": OP6, "op7_chat": OP7, "op10_warc": OP10}
