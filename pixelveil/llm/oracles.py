@@ -102,6 +102,64 @@ select page_id, payload_bytes, payload_digest,
 from q join f using (payload_digest)
 """
 
+#: Grammar states of the repair: 0 nothing yet, 1 after s, 2 after u, 3 after a; each a struct of cost, audit and text, null if not reached.
+_INTO = {"u": "[{0}0, {0}1, {0}3]", "a": "[{0}2]"}
+
+
+def _put(states: str, label: str, cost: str, line: str) -> str:
+    return f"list_transform({states}, lambda x: case when x is not null then {{'c': x.c + {cost}, 'a': x.a || '{label}', 'o': x.o || {line}}} end)"
+
+
+def _best(*lists: str) -> str:
+    return f"list_sort(list_filter(list_concat({', '.join(lists)}), lambda x: x is not null))[1]"
+
+
+def _inserted(rows: str) -> str:
+    """``rows`` with what one user, or one user and one assistant turn, put before the next row reach."""
+    user = f"select *, {_best('[q2]', _put(_INTO['u'].format('q'), 'I', '2', repr('user:') + ' || chr(10)'))} p2 from ({rows})"
+    return f"select *, q0 p0, q1 p1, {_best('[q3]', _put('[p2]', 'I', '2', repr('assistant:') + ' || chr(10)'))} p3 from ({user})"
+
+
+_LINE = "role || ':' || txt || chr(10)"
+_DEL = [_put(f"[p{s}]", "D", "3", "''") for s in range(4)]
+
+
+def _taken(initial: str) -> str:
+    """The states before a row that keep it, if its initial is ``initial``, or give it another role."""
+    kept = f"case when fault in (1, 2) or initial <> '{initial}' then [] else {_put(_INTO[initial].format('p'), 'K', 'add', _LINE)} end"
+    name = {"u": "user", "a": "assistant"}[initial]
+    other = f"case when fault in (1, 2) then [] else {_put(_INTO[initial].format('p'), 'R', '2 + add', f'{name + chr(58)!r} || txt || chr(10)')} end"
+    return f"{kept}, {other}"
+
+
+_SYSTEM = f"case when fault in (1, 2) or initial <> 's' then [] else {_put('[p0]', 'K', 'add', _LINE)} end"
+OP11 = f"""
+with recursive raw as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') txt, {_crc32("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 kind from conversations),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end role, case when kind = 1 then '' when kind = 2 then translate(txt, '.!?', '') else txt end txt, unnest(range(0, case when kind = 3 then 2 else 1 end)) copy
+  from raw where kind <> 0),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, txt) k from damaged),
+placed as (select *, row_number() over (partition by conv_id, role, txt order by k) nth, regexp_extract(txt, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) tail from numbered),
+r as materialized (
+  select conv_id, turn, role, txt, k, substr(role, 1, 1) initial, case when tail = '' then 1 when nth > 1 then 2 when tail not in ('.', '!', '?') then 3 else 0 end fault,
+    case when fault = 3 then 1 else 0 end add, coalesce(lag(substr(role, 1, 1)) over (partition by conv_id order by k) || substr(role, 1, 1), 'su') pair
+  from placed),
+sums as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, sum(case when fault = 1 then 1 else 0 end) blank, sum(case when fault = 2 then 1 else 0 end) duplicate,
+    sum(case when fault = 3 then 1 else 0 end) truncated, sum(case when pair in ('su', 'ua', 'au') then 0 else 1 end) illegal, max(k) n from r group by conv_id),
+walk as (
+  select conv_id, cast(0 as bigint) k, {{'c': 0, 'a': '', 'o': ''}} q0, cast(null as struct(c integer, a varchar, o varchar)) q1, cast(null as struct(c integer, a varchar, o varchar)) q2, cast(null as struct(c integer, a varchar, o varchar)) q3 from sums
+  union all
+  select conv_id, k + 1, {_best(_DEL[0])} q0, {_best(_DEL[1], _SYSTEM)} q1, {_best(_DEL[2], _taken("u"))} q2, {_best(_DEL[3], _taken("a"))} q3
+  from (select w.*, r.role, r.txt, r.initial, r.fault, r.add from ({_inserted("select * from walk")}) w join r on r.conv_id is not distinct from w.conv_id and r.k = w.k + 1)),
+ends as (
+  select conv_id, {_best("[p0, p3]")} z from (select p.* from ({_inserted("select * from walk")}) p join sums s on s.conv_id is not distinct from p.conv_id and s.n = p.k))
+select o.conv_id, cast(coalesce(gaps, 0) as bigint) gaps, cast(coalesce(blank, 0) as bigint) blank, cast(coalesce(duplicate, 0) as bigint) duplicate, cast(coalesce(truncated, 0) as bigint) truncated,
+  cast(coalesce(illegal, 0) as bigint) illegal, cast(coalesce(z.c, 0) as bigint) cost, coalesce(z.a, '') audit, sha256(coalesce(left(z.o, greatest(length(z.o) - 1, 0)), '')) repaired_sha256
+from (select distinct conv_id from conversations) o left join sums s on s.conv_id is not distinct from o.conv_id left join ends e on e.conv_id is not distinct from o.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op3_jaccard": OP3, "op6_sharding": OP6, "op7_chat": OP7, "op10_warc": OP10}
+    return {"op1_decontaminate": OP1, "op3_jaccard": OP3, "op6_sharding": OP6, "op7_chat": OP7, "op10_warc": OP10, "op11_repair": OP11}

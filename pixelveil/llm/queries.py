@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, jaccard, language, licenses, quality, sharding, warc
+from . import chat, decontaminate, fingerprint, jaccard, language, licenses, quality, repair, sharding, warc
 from .bpe import bpe
 from .common import stored, with_import_path
 
@@ -89,8 +89,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    turns, audit, repaired = repair.repair(repair.damage(every))
+    seen = turns.select("conv", "turn").distinct().groupBy("conv").agg((F.max("turn") - F.min("turn") + 1 - F.count("turn")).alias("gaps"))
+    out = every.select("conv_id").distinct().withColumn("conv", repair.conv_key())
+    for part in (audit, seen, repair.digests(repaired)):
+        out = out.join(part, "conv", "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_jaccard, op4_language, op5_licenses, op6_sharding, op7_chat, op8_fingerprint, op9_quality, op10_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_jaccard, op4_language, op5_licenses, op6_sharding, op7_chat, op8_fingerprint, op9_quality, op10_warc, op11_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
