@@ -160,6 +160,19 @@ select o.conv_id, cast(coalesce(gaps, 0) as bigint) gaps, cast(coalesce(blank, 0
 from (select distinct conv_id from conversations) o left join sums s on s.conv_id is not distinct from o.conv_id left join ends e on e.conv_id is not distinct from o.conv_id
 """
 
+OP12 = """
+with e as (
+  select row_number() over () rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (
+  select a.rid, a.vec_id anchor_id, a.label own, e.vec_id other, e.label, cast(list_dot_product(a.v, e.v) as bigint) score
+  from e a join e on a.rid <> e.rid where a.vec_id % 100 = 0),
+pos as (select rid, anchor_id, other positive_id, score positive_score, row_number() over (partition by rid order by score desc, other) nth from s where label = own qualify nth <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.rid, nth order by score desc, other) as integer) as rank, other negative_id, positive_score, score negative_score
+from pos p join s using (rid) where label <> own and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op3_jaccard": OP3, "op6_sharding": OP6, "op7_chat": OP7, "op10_warc": OP10, "op11_repair": OP11}
+    return {"op1_decontaminate": OP1, "op3_jaccard": OP3, "op6_sharding": OP6, "op7_chat": OP7, "op10_warc": OP10, "op11_repair": OP11, "op12_negatives": OP12}

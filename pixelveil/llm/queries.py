@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, jaccard, language, licenses, quality, repair, sharding, warc
+from . import chat, decontaminate, fingerprint, jaccard, language, licenses, negatives, quality, repair, sharding, simhash, warc
 from .bpe import bpe
 from .common import stored, with_import_path
 
@@ -100,8 +100,20 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.prepared(e.select("vec_id", "embedding", label.alias("label")))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_jaccard, op4_language, op5_licenses, op6_sharding, op7_chat, op8_fingerprint, op9_quality, op10_warc, op11_repair)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_jaccard, op4_language, op5_licenses, op6_sharding, op7_chat, op8_fingerprint, op9_quality, op10_warc, op11_repair, op12_negatives, op13_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
