@@ -222,7 +222,7 @@ def repaired(rows: DataFrame, audit: DataFrame) -> DataFrame:
     put = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.struct(F.lit("I").alias("edit"), name(x).alias("role"), F.lit("").alias("text")))
     role = F.when(F.col("edit") == "R", name(F.col("initial"))).otherwise(F.col("role"))
     own = F.filter(F.array(F.struct(F.col("edit").alias("edit"), role.alias("role"), F.col("text").alias("text"))), lambda x: x["edit"] != "D")
-    both = rows.select("conv", "seq", "role", "text").join(_edits(audit), "seq")
+    both = rows.select("conv", "seq", "role", "text").join(_edits(audit).hint("merge"), "seq")  # label strings pack well: their table's size says little of the rows
     return both.select("conv", "seq", F.posexplode(F.concat(put("before"), own, put("behind"))).alias("place", "t")).select("conv", "seq", "place", "t.edit", "t.role", "t.text")
 
 
