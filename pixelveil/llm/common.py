@@ -151,7 +151,7 @@ def add_columns(df: DataFrame, reads: list[str], adds: str, make: Callable[[], C
     new = fields(adds)
     names = {f.name.lower() for f in new}
     stay = [f.name for f in df.schema.fields if f.name.lower() not in names and (keep is None or f.name in keep)]
-    df = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*stay, *reads])])
+    df = df.select(*[F.col(f"`{c.replace('`', '``')}`") for c in dict.fromkeys([*stay, *reads])])
     schema = T.StructType([df.schema[c] for c in stay] + new)
     spots = [df.columns.index(c) for c in reads]
 

@@ -44,9 +44,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAM
 
     The sample of a language is drawn by a hash of the text at a rate that its count sets, so it is the same for
     any partitioning and no group of rows is gathered. Every drawn text enters, with an equal share of ``size`` at a
-    place that a hash picks; what short texts leave over goes to the others. Rows with a null text or language are not learned from.
+    place that a hash picks; what short texts leave over goes to the others. Rows with a null language, and those whose
+    text is null or has no letter, are not learned from; texts of any other length are.
     """
-    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(F.trim(text)) > 20)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return {}

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, add_columns
+from .common import LOWER, add_columns, small_or_not, stored
 
 STATISTICS = ["chars", "words", "word_length", "upper", "digits", "symbols", "marks", "spaces", "distinct_words", "repeated_lines", "line_length", "long_words", "symbol_words", "no_letters"]
 #: Shrinkage towards the pooled covariance and towards the diagonal, and a floor for variances.
@@ -21,6 +21,8 @@ TO_POOLED, TO_DIAGONAL, FLOOR = 0.1, 0.1, 1e-4
 #: Tempering of the log-density difference, which features that depend on each other exaggerate.
 TEMPER = 0.5
 THRESHOLD = 0.3
+#: Labelled ids that may be broadcast (12 bytes each).
+MOST_BROADCAST = 2_000_000
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -160,6 +162,14 @@ def learn(narrow: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: s
     return fit(rows.join(known, "id"), "k")
 
 
+def learn_from_texts(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Discriminant | float:
+    """``learn``, but statistics are made of labelled texts alone, which meet their ids by broadcast where these are few."""
+    known = stored(labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("k")).where(F.col("k").isNotNull() & F.col("id").isNotNull()), "labels")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(~held_out("id"))
+    met = rows.join(small_or_not(known, known.count(), MOST_BROADCAST), "id")
+    return fit(with_statistics(met).select("stats", "k"), "k")
+
+
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """Every row of ``docs`` with ``stats``, ``held_out``, ``score`` and ``predicted``.
 
@@ -168,5 +178,5 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     no labels or one class only, the score is the share of label 1. Columns with the names of added ones are
     replaced. An empty table gives no rows.
     """
-    model = learn(with_statistics(docs.select(doc_id, text), text), labels, doc_id, label)
+    model = learn_from_texts(docs, labels, doc_id, text, label)
     return score_texts(docs, model, text).withColumn("held_out", held_out(doc_id))

@@ -36,8 +36,9 @@ MOST_BROADCAST, SALTS = 200_000, 32
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id, copy: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{copy}')}>"
+def record_id(page_id, digest: str, copy: int) -> str:
+    """One for each row: ``copy`` numbers the rows of one id and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{copy}')}>"
 
 
 def _line(s: str | None) -> str:
@@ -51,14 +52,14 @@ def record(page_id, copy: int, url: str | None, payload: bytes, digest: str, ref
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id, copy)}",
+        f"WARC-Record-ID: {record_id(page_id, digest, copy)}",
         f"WARC-Target-URI: {_line(url)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers_to, 0)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers_to, digest, 0)}", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 

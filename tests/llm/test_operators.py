@@ -248,6 +248,21 @@ def test_warc(spark):
             assert hashlib.sha256(r.payload).hexdigest() == r.payload_digest
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_warc_record_ids_are_unique_and_references_resolve(spark, most):
+    a, b = "a" * 150, "b" * 150
+    rows = [(3, "u", a), (3, "v", b), (None, "w", a), (None, "x", b), (None, "x", "short"), (None, "y", "short"), (3, "u", "short"), (3, "u", a), (8, "z", b), (8, "z", b), (8, "q", None), (8, "q", "")]
+    archives = warc.write(warc.plan(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3), most_broadcast=most))
+    heads = [h for r in archives.collect() for h, _ in warc.read(bytes(r.content))]
+    by_id = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(heads) == len(rows) == len(by_id)
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            to = by_id[h["WARC-Refers-To"]]
+            assert (to["WARC-Type"], to["WARC-Payload-Digest"], to["X-Page-ID"]) == ("response", h["WARC-Payload-Digest"], h["X-Refers-To-Page-ID"])
+    assert sorted((h["X-Page-ID"], h["WARC-Type"]) for h in heads if h["WARC-Payload-Digest"][7:] == hashlib.sha256(b.encode()).hexdigest()) == [("", "response"), ("3", "response"), ("8", "revisit"), ("8", "revisit")]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     assert jaccard.jaccard_components(docs).count() == 0
@@ -334,12 +349,12 @@ def test_language_equals_plain_compression(spark):
             assert r.lang_pred == want[0] and abs(r.margin - want[1]) < 1e-9 and r.rejected == (want[1] < language.MARGIN)
 
 
-CLASHING = ["stats", "score", "predicted", "lang_pred", "rejected", "margin", "held_out", "n_words", "n_hit", "hit_spans", "items", "contaminated", "hit__", "item__", "component_id", "n_shingles", "n_tokens", "ids_le", "decoded", "sid", "token"]
+CLASHING = ["stats", "score", "predicted", "lang_pred", "rejected", "margin", "held_out", "n_words", "n_hit", "hit_spans", "items", "contaminated", "hit__", "item__", "component_id", "n_shingles", "n_tokens", "ids_le", "decoded", "sid", "token", "a.b", "c`d e"]
 
 
 def pipeline_input(spark, rows):
     docs = spark.createDataFrame(rows, DOCS)
-    return docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING})
+    return docs.select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHING])
 
 
 def test_pipeline_stages_equal_brute_force_and_keep_all_columns(spark):
@@ -530,3 +545,68 @@ def test_decontamination_in_several_passes(spark, corpus, size):
     got = {r.doc_id: (r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.decontaminate(docs, items, block_windows=size).collect()}
     one = {r.doc_id: (r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.decontaminate(docs, items).collect()}
     assert got == one and got[5][1] == 2 and got[5][2] == ("c",)
+
+
+def test_language_learns_from_short_texts(spark):
+    short = ["hello my friend", "good morning all", "see you then", "that is fine", "who are they"]
+    long = "bonjour mon ami, comment allez vous aujourd'hui dans cette belle ville avec les enfants"
+    rows = [(i, f"{short[i % 5]} {short[i // 5 % 5]}"[:19], "en") for i in range(50)] + [(100 + i, f"{long} {words(3, i)}", "fr") for i in range(50)] + [(200, "12 34", "xx"), (201, None, "xx"), (202, "no language", None)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert sorted(model) == ["en", "fr"] and b"hello my friend" in model["en"]
+    told = language.identify(spark.createDataFrame([("hello my friend",), ("comment allez vous mon ami",)], "text string"), model).collect()
+    assert [r.lang_pred for r in told] == ["en", "fr"]
+
+
+def test_fingerprint_likeness_is_near_the_exact_one(spark):
+    d = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    got = {r.doc_id: r for r in queries.op8_fingerprint(spark, SF).collect()}
+
+    def grams(t):
+        w = space_words(t)
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    def exact(a, b):
+        return len(a & b) / len(a | b) if a and b else float(not a and not b)
+
+    off = []
+    for (i, t), (_, n) in zip(d, d[1:] + d[:1], strict=True):
+        half = len(t) // 2
+        for near, other in ((got[i].near_edited, t[: len(t) - half] + n[:half]), (got[i].near_next, n)):
+            a, b = grams(t), grams(other)
+            j = exact(a, b)
+            few = len(a) < fingerprint.K and len(b) < fingerprint.K and len(a | b) <= fingerprint.K
+            assert abs(near - j) <= (1e-9 if few else 5 * np.sqrt(max(j * (1 - j), 0.01) / fingerprint.K)), (i, near, j)
+            off.append(near - j)
+        assert abs(got[i].n_distinct - len(grams(t))) <= max(1e-9, 0.5 * len(grams(t)) * (len(grams(t)) >= fingerprint.K))
+    assert abs(np.mean(off)) < 0.01
+
+
+def test_fingerprints_of_tables_and_merged_parts(spark, docs):
+    got = fingerprint.fingerprints(docs.withColumn("fingerprint", F.lit("clash"))).collect()
+    assert len(got) == docs.count() and all(r.n_words == "clash" for r in got)
+    for r in got:
+        assert r.fingerprint == fingerprint.encode(fingerprint.sketch(r.text)) and r.n_distinct == fingerprint.distinct(fingerprint.sketch(r.text))
+    a, b = words(900, 5, 10**5), words(700, 6, 10**5)
+    parts = fingerprint.merge(fingerprint.sketch(a), fingerprint.sketch(b))
+    hashes = np.union1d(*(h >> np.uint64(16) for h in fingerprint.shingle_sets([a, b])))
+    assert np.array_equal(parts, hashes[: fingerprint.K])
+
+
+def test_components_of_graphs(spark):
+    from pixelveil.llm.graph import components as joined
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(90)] + [(2000, 2001 + i) for i in range(50)] + [(5, 5), (7000, 7000), (1, 2), (2, 1)]
+    top = {x: x for e in edges for x in e}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for x, y in edges:
+        x, y = sorted((find(x), find(y)))
+        top[y] = x
+    got = joined(spark.createDataFrame([*edges, (None, 3), (4, None)], "a bigint, b bigint").repartition(3))
+    assert {r.node: r.root for r in got.collect()} == {x: find(x) for x in top}
+    assert joined(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
