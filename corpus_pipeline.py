@@ -19,13 +19,17 @@ from pixelveil.llm.common import small_or_not, stored, with_import_path
 MOST_BROADCAST = 2_000_000
 
 
+def _named(column: str) -> Column:
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def _kept(docs: DataFrame, decide: Callable[[DataFrame, list[str]], DataFrame], condition: Column) -> DataFrame:
     """The rows of ``docs``, all columns as they are, for which ``condition`` holds on what ``decide`` adds.
 
     ``decide`` sees the text, and in one struct, whose name no operator adds, the other columns, so none is overwritten.
     """
     box = "row__"
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias(box))
+    rows = docs.select("text", F.struct(*[_named(c) for c in docs.columns if c != "text"]).alias(box))
     out = decide(rows, ["text", box]).where(condition)
     return out.select(*[F.col("text") if c == "text" else F.col(box)[c].alias(c) for c in docs.columns])
 
@@ -38,7 +42,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     columns stay as they are, whatever their names.
     """
     labels = with_import_path(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.learn(quality.with_statistics(docs.select("doc_id", "text")).select("doc_id", "stats"), labels)
+    model = quality.learn_from_texts(docs, labels)
     return _kept(docs, lambda rows, keep: quality.score_texts(rows, model, keep=keep), F.col("predicted") == 1)
 
 
@@ -59,7 +63,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = stored(jaccard.jaccard_components(docs.select("doc_id", "text")), "components")
     gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(small_or_not(gone, gone.count(), MOST_BROADCAST), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small_or_not(gone, gone.count(), MOST_BROADCAST), "doc_id", "left_anti").select(*map(_named, docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
