@@ -50,6 +50,24 @@ def signal_value(r: Column, c: Column, seed: int = SEED) -> Column:
     return F.sqrt(F.ln((a + 1) / F.lit(2147483648.0)) * -2.0) * F.cos(b * 6.283185307179586 / F.lit(2147483647.0))
 
 
+#: Scales of the parts of an exact sum: whole 1024ths, and two remainders of 30 bits each.
+_WHOLE, _BITS = 1024.0, float(1 << 30)
+
+
+def exact_sum(value: Column) -> Column:
+    """An aggregate: the sum of doubles below 2^53 in size, the same to the last bit in any order and partitioning.
+
+    Each value is cut into three whole numbers (1/2^10, then 1/2^40 and 1/2^70), whose sums are exact; what is below 1/2^70 is
+    dropped. The sum of sizes may reach 2^53, of up to 2^33 values.
+    """
+    scaled = value.cast("double") * _WHOLE
+    first = F.floor(scaled)
+    rest = (scaled - first) * _BITS
+    second = F.floor(rest)
+    third = F.floor((rest - second) * _BITS)
+    return (F.sum(first) + F.sum(second) / _BITS + F.sum(third) / (_BITS * _BITS)) / _WHOLE
+
+
 def with_suffix(path: Column, suffix: str) -> Column:
     """A file name with ``suffix`` before its extension; fails without an extension."""
     ok = path.rlike(r"\.[^./\\]+$")
