@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pixelveil.functions.tables import shared_folder, small_or_not, stored  # noqa: F401  for the operators
+from pixelveil.functions.tables import shared_folder, small_or_not, stored, with_import_path  # noqa: F401  for the operators
 
 #: Upper-case A-Z become lower case, other bytes stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -21,8 +20,6 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in LOWER)
 #: The number of words in a shingle, unless a caller says otherwise.
 SHINGLE = 5
-#: Bytes of an Arrow batch, and what Spark has if nothing is set.
-BATCH_BYTES, _UNBOUNDED = 2 << 20, str(2**31 - 1)
 
 
 def alnum_words(text: str | None) -> list[bytes]:
@@ -114,21 +111,6 @@ def shingle_sets(texts: pa.Array | list, width: int = SHINGLE) -> list[np.ndarra
     return out
 
 
-def with_import_path(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver found it, as tests and notebooks need.
-
-    On a cluster the package is installed or sent with ``--py-files``. Arrow batches, of which a worker holds one, are
-    also bounded by bytes, unless the session has a bound of its own: rows may hold long texts.
-    """
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", _UNBOUNDED) == _UNBOUNDED:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if top not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), top) if x)
-    return spark
-
-
 def fields(spec: str) -> list[T.StructField]:
     """``name type`` pairs of a DDL string as fields."""
     return T.StructType.fromDDL(spec).fields
