@@ -43,15 +43,6 @@ def file_system(spark: SparkSession, path: str) -> tuple:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def write_file(spark: SparkSession, path: str, parts) -> None:
-    """Write one file of any file system from an iterable of bytes, at the driver."""
-    fs, p = file_system(spark, path)
-    f = fs.create(p, True)
-    for part in parts:
-        f.write(bytearray(part))
-    f.close()
-
-
 def _drop_all() -> None:
     for spark, path in _MADE:
         if getattr(spark.sparkContext, "_jsc", None) is not None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelveil.functions.pixel import clamp, gray, nvf, signal_value, target_rms, to_byte, visible
+from pixelveil.functions.pixel import clamp, exact_sum, gray, nvf, signal_value, target_rms, to_byte, visible
 from pixelveil.functions.tables import stored
 
 from .neighbourhood import moments, names, neighbours, with_scalars
@@ -56,7 +56,7 @@ def strengthened(px: DataFrame, signal: DataFrame | None, mask: Mask, p: int, ps
         raw = _custom(px, mask, p, border)
     raw = stored(_with_signal(raw, px, signal).select(*columns, "m", (F.col("m") * F.col("w")).alias("u")), "masks")
     top = F.nullif(F.max("m"), F.lit(0.0)) if mask == "ME" else F.lit(1.0)
-    scale = raw.groupBy("img").agg(F.max("r").alias("rows"), top.alias("top"), F.sqrt(F.nullif(F.avg(F.col("u") * F.col("u")), F.lit(0.0))).alias("rms"))
+    scale = raw.groupBy("img").agg(F.max("r").alias("rows"), top.alias("top"), F.sqrt(F.nullif(exact_sum(F.col("u") * F.col("u")) / F.count("*"), F.lit(0.0))).alias("rms"))
     scale = scale.select("img", "rows", "top", (F.lit(target_rms(psnr)) * F.col("top") / F.col("rms")).alias("strength"))
     return with_scalars(raw, scale).select(*columns, (F.col("u") / F.col("top")).alias("u"), "strength")
 
@@ -91,7 +91,7 @@ def embed_rgb(rgb: DataFrame, signal: DataFrame | None = None, mask: Mask = "ME"
 def detect(px: DataFrame, signal: DataFrame | None = None, mask: Mask = "ME", p: int = 3, border: str = "zero") -> DataFrame:
     """``(img, correlation)`` of images with pixels ``v``: 0 where an image is unsolvable or a norm is 0.
 
-    The score doesn't change with the scale of the mask, so the largest error isn't looked for. Coefficients and masked
+    Sums are exact, so no partitioning changes a score. The score doesn't change with the scale of the mask, so the largest error isn't looked for. Coefficients and masked
     signals are stored once.
     """
     near = neighbours(px, p, border)
@@ -107,7 +107,7 @@ def detect(px: DataFrame, signal: DataFrame | None = None, mask: Mask = "ME", p:
     u = _with_signal(z.select("img", "r", "c", "m", F.col("e").alias("ez")), px, signal)
     u = stored(u.select("img", "r", "c", "ez", (F.coalesce(F.col("m"), F.lit(0.0)) * F.col("w")).alias("v")), "masked")
     e = with_scalars(neighbours(u, p, border), coefs).withColumn("eu", F.col("v") - predicted(p))
-    sums = e.groupBy("img").agg(F.sum(F.col("ez") * F.col("eu")).alias("dot"), F.sum(F.col("ez") * F.col("ez")).alias("z"), F.sum(F.col("eu") * F.col("eu")).alias("u"))
+    sums = e.groupBy("img").agg(exact_sum(F.col("ez") * F.col("eu")).alias("dot"), exact_sum(F.col("ez") * F.col("ez")).alias("z"), exact_sum(F.col("eu") * F.col("eu")).alias("u"))
     return sums.select("img", F.coalesce(F.col("dot") / F.nullif(F.sqrt(F.col("z") * F.col("u")), F.lit(0.0)), F.lit(0.0)).alias("correlation"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelveil.functions.pixel import nvf
+from pixelveil.functions.tables import small_or_not, stored
 
 WINDOWS, BORDERS = (3, 5, 7, 9), ("zero", "edge")
 
@@ -74,8 +75,8 @@ def nvf_mask(px: DataFrame, p: int = 3, border: str = "zero") -> DataFrame:
     return moments(px, p, border).select("img", "r", "c", nvf(F.col("total"), F.col("squares"), p).alias("m"))
 
 
-#: Rows of an image that meet its scalars in one key of a join.
-BAND = 64
+#: Rows of an image that meet its scalars in one key of a join, and image numbers that may be broadcast.
+BAND, MOST_BROADCAST = 64, 1_000_000
 
 
 def with_scalars(px: DataFrame, scalars: DataFrame) -> DataFrame:
@@ -91,3 +92,40 @@ def sparse_images(px: DataFrame) -> DataFrame:
     """Images whose grid has holes or repeated places, on which row windows would be wrong; empty if all are sound."""
     per = px.groupBy("img").agg(F.count("*").alias("n"), ((F.max("r") + 1) * (F.max("c") + 1)).alias("cells"), F.min("r").alias("r0"), F.min("c").alias("c0"))
     return per.where("n <> cells or r0 <> 0 or c0 <> 0").select("img", "n", "cells")
+
+
+def neighbours_by_join(px: DataFrame, p: int = 3, border: str = "zero", value: str = "v") -> DataFrame:
+    """``neighbours`` of grids with holes, by equal places: a missing neighbour is 0, also where a border is its own neighbour.
+
+    Every pixel goes to all places that see it, and one aggregate by place gathers what came; of repeated places one stays. With
+    ``edge``, a pixel of the border, the last row or column that an image has, also goes where a window reaches beyond it.
+    """
+    pad = check(p, border)
+    size = px.groupBy("img").agg(F.max("r").alias("rows"), F.max("r").alias("last_r"), F.max("c").alias("last_c"))
+    both = with_scalars(px.select("img", "r", "c", value), size)
+
+    def seen_from(x: str) -> Column:
+        """(place, offset) of the lines from which this line is seen ``offset`` on."""
+        here, last = F.col(x), F.col(f"last_{x}")
+        plain = [F.struct((here - d).alias("at"), F.lit(d).alias("d")) for d in range(-pad, pad + 1)]
+        if border == "zero":
+            return F.array(*plain)
+        beyond = [F.when(here == last, F.struct((last - i).alias("at"), F.lit(d).alias("d"))) for d in range(1, pad + 1) for i in range(d)]
+        beyond += [F.when(here == 0, F.struct(F.lit(i).cast("bigint").alias("at"), F.lit(-d).alias("d"))) for d in range(1, pad + 1) for i in range(d)]
+        return F.filter(F.array(*plain, *beyond), lambda t: t.isNotNull())
+
+    sent = both.select("img", F.explode(seen_from("r")).alias("y"), F.col("c"), "last_c", F.col(value).alias("x__"), F.col("last_r"))
+    sent = sent.where((F.col("y.at") >= 0) & (F.col("y.at") <= F.col("last_r"))).select("img", F.col("y.at").alias("r"), F.col("y.d").alias("dr"), F.explode(seen_from("c")).alias("z"), "last_c", "x__")
+    sent = sent.where((F.col("z.at") >= 0) & (F.col("z.at") <= F.col("last_c"))).select("img", "r", F.col("z.at").alias("c"), (F.col("dr") * p + F.col("z.d")).alias("k"), "x__")
+    cells = [(dr, dc) for dr in range(-pad, pad + 1) for dc in range(-pad, pad + 1) if dr or dc]
+    own = F.max(F.when(F.col("k") == 0, F.col("x__")))
+    met = sent.groupBy("img", "r", "c").agg(own.alias(value), *[F.coalesce(F.max(F.when(F.col("k") == dr * p + dc, F.col("x__"))), F.lit(0)).alias(n) for n, (dr, dc) in zip(names(p), cells, strict=True)])
+    return met.where(F.col(value).isNotNull())
+
+
+def neighbours_of_any(px: DataFrame, p: int = 3, border: str = "zero") -> DataFrame:
+    """``neighbours`` of (img, r, c, v), by windows for dense images and by equal places for those with holes, after a check of which is which."""
+    sparse = stored(sparse_images(px).select("img"), "sparse")
+    sparse = small_or_not(sparse, sparse.count(), MOST_BROADCAST)
+    dense = neighbours(px.join(sparse, "img", "left_anti").select("img", "r", "c", "v"), p, border)
+    return dense.unionByName(neighbours_by_join(px.join(sparse, "img", "left_semi"), p, border).select(dense.columns))

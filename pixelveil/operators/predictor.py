@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelveil.functions.tables import stored
+from pixelveil.functions.tables import stored, with_import_path
 
 from .neighbourhood import names, neighbours, with_scalars
 
@@ -32,10 +32,12 @@ def gram(near: DataFrame, p: int = 3) -> DataFrame:
 
 def gram_cells(packed: DataFrame, p: int = 3) -> DataFrame:
     """``(img, i, j, g)``: the packed triangle by place, j up to i; and j = p*p - 1 for the cross terms."""
-    pairs = [(i, j) for i in range(p * p - 1) for j in range(i + 1)]
-    cell = lambda i, j, v: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("g"))
-    cells = [cell(i, j, F.col("g")[k]) for k, (i, j) in enumerate(pairs)] + [cell(i, p * p - 1, F.col("b")[i]) for i in range(p * p - 1)]
-    return packed.select("img", F.explode(F.array(*cells)).alias("x")).select("img", "x.i", "x.j", "x.g")
+    n = p * p - 1
+    size = n * (n + 1) // 2
+    cells = packed.select("img", F.posexplode(F.concat("g", "b")).alias("at", "g"))
+    i = F.when(F.col("at") < size, F.floor((F.sqrt(F.col("at") * 8 + 1) - 1) / 2)).otherwise(F.col("at") - size).cast("int")
+    j = F.when(F.col("at") < size, F.col("at") - F.floor(F.col("i") * (F.col("i") + 1) / 2)).otherwise(n).cast("int")
+    return cells.withColumn("i", i).select("img", "i", j.alias("j"), "g")
 
 
 def solve(g: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,9 +75,27 @@ def coefficients(packed: DataFrame, p: int = 3) -> DataFrame:
             k = solve(unpack(np.array(d["g"].tolist(), float).reshape(len(d), -1), n), np.array(d["b"].tolist(), float).reshape(len(d), n))
             yield pd.DataFrame({"img": d["img"], "rows": d["rows"], "k": [None if np.isnan(x).any() else x.tolist() for x in k]})
 
+    with_import_path(packed.sparkSession)
     return packed.mapInPandas(run, "img bigint, rows bigint, k array<double>")
 
 
+def coefficients_in_sql(packed: DataFrame, p: int = 3) -> DataFrame:
+    """``coefficients`` by elimination in array functions, for all images in the JVM: no Python is needed.
+
+    The system of n unknowns is one array of n rows of n + 1, and each step makes the next array; a pivot that is not at least
+    ``TINY`` of the trace is null, and so are all coefficients then.
+    """
+    n = p * p - 1
+    at = f"if(i div {n + 1} >= i % {n + 1}, (i div {n + 1}) * (i div {n + 1} + 1) div 2 + i % {n + 1}, (i % {n + 1}) * (i % {n + 1} + 1) div 2 + i div {n + 1})"
+    whole = packed.select("img", "rows", F.expr(f"transform(sequence(0, {n * (n + 1) - 1}), i -> cast(if(i % {n + 1} = {n}, b[i div {n + 1}], g[if(i % {n + 1} = {n}, 0, {at})]) as double))").alias("m"))
+    whole = whole.withColumn("least", F.expr(f"aggregate(sequence(0, {n - 1}), 0D, (s, i) -> s + m[i * {n + 2}]) * {TINY}D"))
+    pivot = f"if(m[k * {n + 2}] > 0 and m[k * {n + 2}] >= least, m[k * {n + 2}], cast(null as double))"
+    step = f"transform(m, (x, i) -> if(i div {n + 1} = k, x / pivot, x - m[(i div {n + 1}) * {n + 1} + k] * (m[k * {n + 1} + i % {n + 1}] / pivot)))"
+    solved = whole.select("img", "rows", F.expr(f"aggregate(sequence(0, {n - 1}), m, (m, k) -> transform(array({pivot}), pivot -> {step})[0])").alias("m"))
+    k = F.expr(f"transform(sequence(0, {n - 1}), i -> m[i * {n + 1} + {n}])")
+    return solved.select("img", "rows", F.when(F.forall(k, lambda x: x.isNotNull()), k).alias("k"))
+
+
 def predicted(p: int = 3):
     """The sum of k_i x_i, with ``k`` and the neighbours as columns."""
     return sum((F.col("k")[i] * F.col(x) for i, x in enumerate(names(p))), F.lit(0.0))

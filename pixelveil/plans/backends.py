@@ -1,7 +1,8 @@
-"""Two ways to run the same operators: relational windows, or one Arrow kernel per image.
+"""Three ways to run the same operators: relational windows, halo tiles, or one Arrow kernel per image.
 
-The relational form spreads an image of any size over tasks; the kernel form is faster for images that fit a task, such as
-video frames, and is the only one that streams.
+Windows and tiles spread an image of any size over tasks. Windows hold a line of an image and stay in the JVM; tiles hold a bounded
+square, are shuffled once for any window size, and take many small images at a time. The kernel form needs images that fit a
+task, such as video frames, and is the only one that streams.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from pixelveil.functions.pixel import SEED, target_rms
-from pixelveil.operators import marking, predictor
+from pixelveil.functions.tables import with_import_path
+from pixelveil.operators import marking, predictor, tiles
 from pixelveil.operators.neighbourhood import check
 
 
@@ -29,6 +31,13 @@ class RelationalBackend:
     detect = staticmethod(marking.detect)
 
 
+class TileBackend:
+    """Tiles with a halo."""
+
+    embed = staticmethod(tiles.embed)
+    detect = staticmethod(tiles.detect)
+
+
 def signal_array(rows: int, cols: int, seed: int = SEED) -> np.ndarray:
     """The deterministic signal of a whole plane."""
     r, c = np.arange(rows, dtype=np.int64)[:, None], np.arange(cols, dtype=np.int64)[None, :]
@@ -119,6 +128,7 @@ class ArrowBackend:
             out = y[d.r, d.c]
             return pd.DataFrame({"img": d.img, "r": d.r, "c": d.c, "y": np.floor(out).astype("int64") if quantize else out, "strength": a})
 
+        with_import_path(px.sparkSession)
         return px.groupBy("img").applyInPandas(run, f"img bigint, r bigint, c bigint, y {'bigint' if quantize else 'double'}, strength double")
 
     @classmethod
@@ -126,4 +136,5 @@ class ArrowBackend:
         def run(d: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"img": d.img[:1], "correlation": [detect_plane(cls._plane(d), **options)]})
 
+        with_import_path(px.sparkSession)
         return px.groupBy("img").applyInPandas(run, "img bigint, correlation double")

@@ -117,9 +117,9 @@ def _near_sums(p: int, border: str) -> str:
     return f"with {PLANE}, {near('px', 'n', p, border)} select img, cast(k as integer) k, cast(sum(x) as bigint) total, cast(sum((r * 64 + c) % 9973 * x) as bigint) mixed from n where k >= 0 group by img, k"
 
 
-def _gram(border: str) -> str:
-    return f"""with {PLANE}, {near("px", "n", 3, border)}
-select a.img, cast(a.k as integer) i, cast(case when b.k < 0 then 8 else b.k end as integer) j, cast(sum(a.x * b.x) as bigint) g
+def _gram(border: str, p: int = 3) -> str:
+    return f"""with {PLANE}, {near("px", "n", p, border)}
+select a.img, cast(a.k as integer) i, cast(case when b.k < 0 then {p * p - 1} else b.k end as integer) j, cast(sum(a.x * b.x) as bigint) g
 from n a join n b on a.img = b.img and a.r = b.r and a.c = b.c where a.k >= 0 and b.k <= a.k group by all"""
 
 
@@ -160,7 +160,7 @@ def oracle_sql() -> dict[str, str]:
   from (select doc_id, (length(text) + 63) // 64 n_rows, unnest(range(0, length(text))) pos, unnest(string_split(text, '')) ch from documents where length(text) > 0)) group by img""",
         "event_frames": """select cast(0 as bigint) stream_id, cast(floor(event_id / 64) as bigint) frame_no, cast(floor((event_id % 64) / 8) as bigint) r, cast(event_id % 8 as bigint) c, cast(floor(greatest(0, least(255, value))) as bigint) v
 from events where event_id < 64 * floor((select count(*) from events) / 64)""",
-        "signal_plane": f"select r, c, round({W}, 6) w from (select unnest(range(0, 200)) r) cross join (select unnest(range(0, 64)) c)",
+        "signal_plane": f"with {PLANE} select r, c, round({W}, 6) w from px",
         "signal_size_check": f"with {IMAGES} select img, max(r) + 1 as rows, max(c) + 1 cols, cast(8 as bigint) signal_rows, cast(9 as bigint) signal_cols from px group by img having max(r) + 1 <> 8 or max(c) + 1 <> 9",
         "dense_check": f"with {IMAGES} select img, count(*) n, (max(r) + 1) * (max(c) + 1) cells from px where not (r = 3 and c = 3 and img % 5 = 0) group by img having count(*) <> (max(r) + 1) * (max(c) + 1)",
         "nvf_mask_zero": _mask(3, "zero"),
@@ -216,9 +216,9 @@ from clean join pu using (img, r, c) join ps using (img)""",
         "embed_nvf_rgb": f"""with {black_rgb}, {marked("gp", "p", "NVF", "zero")} select img, r, c, {rgb_marked}, alpha from clean join pu using (img, r, c) join ps using (img)""",
         "embed_stored_signal": _embed("ME", "zero", 3, seven),
         "detect_stored_signal": _detect("NVF", "zero", 3, seven),
-        "signal_file": f"select cast(r as bigint) r, cast(c as bigint) c, round({single}, 6) w from (select unnest(range(0, 60)) r) cross join (select unnest(range(0, 64)) c)",
-        "signal_table": f"select r, c, round({W}, 6) w from (select unnest(range(0, 60)) r) cross join (select unnest(range(0, 64)) c)",
-        "image_files": f"with {RGB} select r, c, {black}, cast(alpha as bigint) alpha from rgb",
+        "signal_file": f"with {PLANE} select r, c, round({single}, 6) w from px",
+        "signal_table": f"with {PLANE} select r, c, round({W}, 6) w from px",
+        "image_files": f"with {RGB} select r img, cast(c // 8 as bigint) r, cast(c % 8 as bigint) c, {black}, cast(alpha as bigint) alpha from rgb",
         "embed_custom_mask": _embed("LEVEL", "zero"),
         "detect_custom_mask": _detect("LEVEL", "zero"),
         "flat_planes_embed": flat,
@@ -238,8 +238,30 @@ select p.source, p.stream_index, p.event_id from p join f using (source, stream_
         "report_scores": f"""with {IMAGES}, {marked('px', 'p', 'ME', 'zero')}, {scores('px', 'b', 'ME', 'zero')}
 select img, 'ME' mask, cast(3 as integer) p, 40.0::double psnr, round(strength, 6) strength, round(correlation, 6) correlation, 1.5::double as seconds, '0.750000' as time from bd join ps using (img)""",
         "duration_texts": "select o_orderkey, printf('%.6f', (o_orderkey % 488 * 2 + 1) / 1009.0::double) as seconds, printf('%.2f', 1.0::double / ((o_orderkey % 488 * 2 + 1) / 1009.0::double)) rate from orders",
-        "settings_values": "select n_name as name, n_regionkey::bigint as section, n_nationkey::bigint as number, n_nationkey / 8.0::double as real, n_nationkey % 2 = 0 as flag from nation",
+        "settings_values": "select cast(n_regionkey as varchar) as source, lower(n_name) as section, n_nationkey::bigint as number, n_nationkey / 8.0::double as real, n_nationkey % 2 = 0 as flag, 'a #' || n_nationkey || '.png' || chr(10) || n_name as name from nation",
+        "tiled_embed_frames": q["arrow_embed"],
+        "tiled_detect_frames": q["arrow_detect"],
+        "tiled_stored_signal": _embed("ME", "zero", 3, seven),
+        "strided_marked": f"""with m as ({interval}), l as (select stream_id, frame_no, r, string_agg(printf('%02X', v), '' order by c) x from m group by all)
+select stream_id, frame_no, string_agg(x || 'FFFFFFFF', '' order by r) padded, string_agg(x, '' order by r) written from l group by stream_id, frame_no""",
+        "streamed_numbers": q["frame_numbers"],
+        "video_segments": f"""with m as ({interval}), f as (select stream_id, frame_no, string_agg(printf('%02X', v), '' order by r, c) || repeat('80', 32) x from m group by all),
+  s as (select stream_id, frame_no // 16 * 16 as first, string_agg(x, '' order by frame_no) x, count(*) * 96 length from f group by all)
+select stream_id, printf('%012d.yuv', first) as name, cast(coalesce(sum(length) over (partition by stream_id order by first rows between unbounded preceding and 1 preceding), 0) as bigint) as position, length, sha256(unhex(x)) sha256 from s""",
+        "report_run": f"with d as ({q['frame_detect_interval']}) select stream_id * 1000000 + frame img, 'ME' mask, cast(3 as integer) p, 40.0::double psnr, correlation, count(*) over () frames, true timed from d",
     }
+    q["streamed_packets"] = q["packet_filter"]
+    holes = f"with {IMAGES}, hp as materialized (select * from px where not (r = 3 and c = 3 and img % 5 = 0)), "
+    for border in ("zero", "edge"):
+        q[f"sparse_neighbours_{border}"] = f"{holes}{near('hp', 'n', 3, border)} select img, r, c, cast(k as integer) k, x from n where k >= 0"
+        q[f"coefficients_in_sql_{border}"] = f"with {IMAGES}, {fitted('px', 'p', border)} select img, cast(i as integer) i, round(k, 6) k from pk"
+        each = [f"select img, r, c, cast({p} as integer) p, cast(sum(x) as bigint) total, cast(sum(x * x) as bigint) squares from n{p} group by img, r, c" for p in (3, 5, 7, 9)]
+        q[f"tiled_moments_{border}"] = f"with {PLANE}, {', '.join(near('px', f'n{p}', p, border) for p in (3, 5, 7, 9))} {' union all '.join(each)}"
+    for p, border in ((3, "zero"), (5, "edge"), (9, "zero"), (9, "edge")):
+        q[f"tiled_sums_p{p}_{border}"] = _near_sums(p, border)
+    q |= {"tiled_gram_p3_edge": _gram("edge"), "tiled_gram_p7": _gram("zero", 7), "tiled_gram_p9": _gram("zero", 9)}
+    q |= {"embed_me_p7": _embed("ME", "zero", 7), "embed_me_p9": _embed("ME", "zero", 9), "tiled_embed_nvf_p9_edge": _embed("NVF", "edge", 9), "tiled_embed_me_edge": _embed("ME", "edge")}
+    q |= {"detect_me_p7": _detect("ME", "zero", 7), "detect_me_p9": _detect("ME", "zero", 9), "tiled_detect_nvf_edge": _detect("NVF", "edge"), "tiled_detect_me": _detect("ME", "zero")}
     for p, border in ((5, "zero"), (7, "edge"), (9, "zero"), (9, "edge")):
         q[f"neighbour_sums_p{p}_{border}"] = _near_sums(p, border)
     for p in (3, 5, 7, 9):

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from pixelveil.functions import pixel
 from pixelveil.functions.tables import new_path, stored
-from pixelveil.operators import marking, neighbourhood, predictor
+from pixelveil.operators import marking, neighbourhood, predictor, tiles
 from pixelveil.plans.backends import ArrowBackend
 from pixelveil.sources import planes, sinks
-from pixelveil.sources.settings import Settings
+from pixelveil.sources.settings import as_flag, as_integer, read_settings
 from pixelveil.streaming import frames as video
 
 from . import oracles
@@ -98,8 +98,13 @@ def event_frames(s, d):
     return planes.event_frames(s, d)
 
 
+def _signal(s, d):
+    """The signal of the vectors' plane."""
+    return planes.make_signal(s, s.read.parquet(f"{d}/embeddings.parquet").count(), 64)
+
+
 def signal_plane(s, d):
-    return _round(planes.make_signal(s, 200, 64), "w")
+    return _round(_signal(s, d), "w")
 
 
 def signal_size_check(s, d):
@@ -110,14 +115,14 @@ def dense_check(s, d):
     return neighbourhood.sparse_images(_images(s, d).where("not (r = 3 and c = 3 and img % 5 = 0)"))
 
 
-def _near_sums(p: int, border: str) -> Query:
-    def q(s, d):
-        near = neighbourhood.neighbours(_plane(s, d), p, border)
-        cells = F.array(*[F.struct(F.lit(i).alias("k"), F.col(x).alias("x")) for i, x in enumerate(neighbourhood.names(p))])
-        rows = near.select("img", "r", "c", F.explode(cells).alias("n"))
-        return rows.groupBy("img", "n.k").agg(F.sum("n.x").cast("bigint").alias("total"), F.sum((F.col("r") * 64 + F.col("c")) % 9973 * F.col("n.x")).cast("bigint").alias("mixed"))
+def _cell_sums(near: DataFrame, p: int) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(i).alias("k"), F.col(x).alias("x")) for i, x in enumerate(neighbourhood.names(p))])
+    rows = near.select("img", "r", "c", F.explode(cells).alias("n"))
+    return rows.groupBy("img", "n.k").agg(F.sum("n.x").cast("bigint").alias("total"), F.sum((F.col("r") * 64 + F.col("c")) % 9973 * F.col("n.x")).cast("bigint").alias("mixed"))
 
-    return q
+
+def _near_sums(p: int, border: str) -> Query:
+    return lambda s, d: _cell_sums(neighbourhood.neighbours(_plane(s, d), p, border), p)
 
 
 def _embedding(mask, p: int, border: str = "zero") -> Query:
@@ -160,21 +165,27 @@ def detect_stored_signal(s, d):
 
 
 def signal_file(s, d):
-    path = new_path(s, "signal")
-    sinks.write_signal_file(planes.make_signal(s, 60, 64), path)
-    return _round(planes.read_signal(s, path, 60, 64), "w")
+    path, signal = new_path(s, "signal"), stored(_signal(s, d), "signal")
+    sinks.write_signal_file(signal, path)
+    return _round(planes.read_signal(s, path, signal.select("r").distinct().count(), 64), "w")
 
 
 def signal_table(s, d):
     path = new_path(s, "signal")
-    sinks.write_signal(planes.make_signal(s, 60, 64), path)
+    sinks.write_signal(_signal(s, d), path)
     return _round(s.read.parquet(path), "w")
 
 
+def _colour_frames(s, d):
+    """An 8 x 8 image of every three vectors, with alpha 0 at every seventh pixel."""
+    rgb = planes.rgb_plane(s, d)
+    return rgb.select(F.col("r").alias("img"), F.floor(F.col("c") / 8).alias("r"), (F.col("c") % 8).alias("c"), "red", "green", "blue", "alpha")
+
+
 def image_files(s, d):
     path = new_path(s, "images")
-    sinks.save_images(planes.rgb_plane(s, d), path, "W_ME")
-    return planes.read_images(s, path).select("r", "c", "red", "green", "blue", "alpha")
+    sinks.save_images(_colour_frames(s, d), path, "W_ME")
+    return planes.read_images(s, path).select(F.regexp_extract("path", r"(\d+)_W_ME\.png$", 1).cast("bigint").alias("img"), "r", "c", "red", "green", "blue", "alpha")
 
 
 def _level(px: DataFrame, p: int, border: str) -> DataFrame:
@@ -260,13 +271,6 @@ def streamed_detect(s, d):
     return _round(_streamed(s, d, lambda f: video.detect_stream(f, 10)), "correlation")
 
 
-def packet_filter(s, d):
-    kind = F.when((F.col("event_id") % 4).isin(1, 2), "video").otherwise("audio")
-    p = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("source"), (F.col("event_id") % 4).alias("stream_index"), kind.alias("type"), "event_id", (F.col("event_id") % 5 != 0).alias("accepted"))
-    with_video = p.groupBy("source").agg(F.max((F.col("type") == "video").cast("int")).alias("k")).where("k = 1").select("source")
-    return video.video_packets(p, p.join(with_video, "source", "left_semi")).select("source", "stream_index", "event_id")
-
-
 def report_scores(s, d):
     px = _images(s, d)
     strengths = marking.strengthened(px, None, "ME", 3, 40.0, "zero").groupBy("img").agg(F.max("strength").alias("strength"))
@@ -281,12 +285,127 @@ def duration_texts(s, d):
 
 
 def settings_values(s, d):
-    """A settings file with a section per region and keys per nation, read back through the getters."""
-    rows = s.read.parquet(f"{d}/nation.parquet").select("n_name", "n_regionkey", "n_nationkey").collect()
-    parts = [f"[R{r}]\n" + "\n".join(f"{n.n_name} number = {hex(n.n_nationkey) if n.n_nationkey % 3 else n.n_nationkey} ; a nation\n{n.n_name} real: {n.n_nationkey / 8}\n{n.n_name} flag = {'Yes' if n.n_nationkey % 2 == 0 else 'off'}" for n in rows if n.n_regionkey == r) for r in sorted({n.n_regionkey for n in rows})]
-    got = Settings("\ufeff" + "\n".join(parts))
-    of = lambda n: f"r{n.n_regionkey}"
-    return s.createDataFrame([(n.n_name, int(n.n_regionkey), got.integer(of(n), f"{n.n_name} NUMBER", -1), got.number(of(n), f"{n.n_name} real", -1.0), got.flag(of(n), f"{n.n_name} flag", False)) for n in rows], "name string, section bigint, number bigint, real double, flag boolean")
+    """A settings text per region with a section and keys per nation, read back; every tenth number has a digit that its base lacks."""
+    n = F.col("n_nationkey")
+    number = F.when(n % 3 > 0, F.concat(F.lit("0x"), F.lower(F.hex(n)))).when(n % 2 > 0, F.concat(F.lit("0"), F.conv(n.cast("string"), 10, 8), F.lit("9"))).otherwise(n.cast("string"))
+    lines = F.concat_ws("\n", F.format_string("[%s] of a region", "n_name"), F.concat(F.lit("Number = "), number, F.lit(" ; a # nation")), F.concat(F.lit("real: "), (n / 8).cast("string")), F.concat(F.lit("Flag = "), F.when(n % 2 == 0, "Yes").otherwise("off")), F.concat(F.lit("name = a #"), n.cast("string"), F.lit(".png\n\t"), F.col("n_name")))
+    texts = s.read.parquet(f"{d}/nation.parquet").groupBy(F.col("n_regionkey").cast("string").alias("source")).agg(F.concat_ws("\n", F.array_sort(F.collect_list(lines))).alias("text"))
+    got = read_settings(texts).groupBy("source", "section").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in ("number", "real", "flag", "name")])
+    return got.select("source", "section", as_integer(F.col("number")).alias("number"), F.col("real").cast("double").alias("real"), as_flag(F.col("flag")).alias("flag"), F.col("name"))
+
+
+def _tiled_sums(p: int, border: str) -> Query:
+    return lambda s, d: _cell_sums(tiles.neighbours(_plane(s, d), p, border), p)
+
+
+def _tiled_moments(border: str) -> Query:
+    return lambda s, d: tiles.moments(_plane(s, d), border=border)
+
+
+def _tiled_gram(p: int, border: str) -> Query:
+    def q(s, d):
+        cells = predictor.gram_cells(tiles.gram(tiles.tiled(_plane(s, d), p // 2), p, border), p)
+        return cells.select("img", "i", "j", F.col("g").cast("bigint").alias("g"))
+
+    return q
+
+
+def _tiled_embed(mask: str, p: int, border: str = "zero") -> Query:
+    return lambda s, d: tiles.embed(_plane(s, d), None, mask, p, 40.0, border).select("img", "r", "c", "y")
+
+
+def _tiled_detect(mask: str, p: int, border: str = "zero") -> Query:
+    def q(s, d):
+        marked = stored(_tiled_embed(mask, p, border)(s, d).withColumnRenamed("y", "v"), "marked")
+        return _round(tiles.detect(marked, None, mask, p, border), "correlation")
+
+    return q
+
+
+def tiled_embed_frames(s, d):
+    return tiles.embed(_images(s, d)).select("img", "r", "c", "y")
+
+
+def tiled_detect_frames(s, d):
+    return _round(tiles.detect(_images(s, d)), "correlation")
+
+
+def tiled_stored_signal(s, d):
+    return tiles.embed(_plane(s, d), _other_signal(s, d)).select("img", "r", "c", "y")
+
+
+def _sparse_neighbours(border: str) -> Query:
+    def q(s, d):
+        near = neighbourhood.neighbours_of_any(_images(s, d).where("not (r = 3 and c = 3 and img % 5 = 0)"), 3, border)
+        cells = F.array(*[F.struct(F.lit(i).alias("k"), F.col(x).alias("x")) for i, x in enumerate(neighbourhood.names(3))])
+        return near.select("img", "r", "c", F.explode(cells).alias("n")).select("img", "r", "c", "n.k", "n.x")
+
+    return q
+
+
+def _coefficients_in_sql(border: str) -> Query:
+    def q(s, d):
+        packed = predictor.gram(neighbourhood.neighbours(_images(s, d), 3, border))
+        return _round(predictor.coefficients_in_sql(packed).select("img", F.posexplode("k").alias("i", "k")), "k")
+
+    return q
+
+
+def strided_marked(s, d):
+    """Marked luma with the padding of its lines, and as it is written, without."""
+    f = video.embed_stream(_strided(s, d), 10)
+    plain = video.compacted(f).select("stream_id", "frame_no", F.hex("y").alias("written"))
+    return f.select("stream_id", "frame_no", F.hex("y").alias("padded")).join(plain, ["stream_id", "frame_no"])
+
+
+def streamed_numbers(s, d):
+    """Two runs of one stream: the first sees the lower half of the vectors, the second goes on with the upper half."""
+    e = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").cast("bigint").alias("stream_id"), "vec_id")
+    source, out, state = new_path(s, "packets"), new_path(s, "out"), new_path(s, "state")
+    middle = e.agg(F.percentile_approx("vec_id", 0.5)).first()[0]
+    for half in (F.col("vec_id") <= F.lit(middle), F.col("vec_id") > F.lit(middle)):
+        e.where(half).write.mode("append").parquet(source)
+        stream = video.numbered_stream(s.readStream.schema(e.schema).parquet(source), "vec_id")
+        video.write_stream(stream, out, state).awaitTermination()
+    return s.read.schema(stream.schema).parquet(out)
+
+
+def _packets(s, d):
+    """Packets of the events, and those of sources with a video stream."""
+    kind = F.when((F.col("event_id") % 4).isin(1, 2), "video").otherwise("audio")
+    p = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("source"), (F.col("event_id") % 4).alias("stream_index"), kind.alias("type"), "event_id", (F.col("event_id") % 5 != 0).alias("accepted"))
+    with_video = p.groupBy("source").agg(F.max((F.col("type") == "video").cast("int")).alias("k")).where("k = 1").select("source")
+    return p, p.join(with_video, "source", "left_semi")
+
+
+def packet_filter(s, d):
+    p, streams = _packets(s, d)
+    return video.video_packets(p, streams).select("source", "stream_index", "event_id")
+
+
+def streamed_packets(s, d):
+    p, streams = _packets(s, d)
+    source, out, state = new_path(s, "packets"), new_path(s, "out"), new_path(s, "state")
+    p.write.parquet(source)
+    stream = video.video_packets(s.readStream.schema(p.schema).parquet(source), streams).select("source", "stream_index", "event_id")
+    video.write_stream(stream, out, state).awaitTermination()
+    return s.read.schema(stream.schema).parquet(out)
+
+
+def video_segments(s, d):
+    """Raw marked frames as files, 16 a segment, by stream and place in its bytes."""
+    path = new_path(s, "video")
+    sinks.write_video(video.embed_stream(_frames(s, d), 10), path, 16)
+    files = s.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    content = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).cast("bigint").alias("stream_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    return sinks.segment_offsets(s, path).join(content, ["stream_id", "name"])
+
+
+def report_run(s, d):
+    """A report whose count and time come from the run; the time itself, which differs, is only compared with zero."""
+    scores, frames, seconds = sinks.timed(video.detect_stream(_frames(s, d), 10).select((F.col("stream_id") * 1_000_000 + F.col("frame")).alias("img"), "correlation"), new_path(s, "scores"))
+    out = sinks.report(scores, "ME", 3, 40.0, seconds=seconds, frames=frames).withColumn("frames", F.lit(frames).cast("bigint"))
+    return _round(out.select("img", "mask", "p", "psnr", "correlation", "frames", (F.col("seconds") > 0).alias("timed")), "correlation")
 
 
 def _moments(p: int, border: str) -> Query:
@@ -428,7 +547,15 @@ def frame_rate(s, d):
 def queries() -> dict[str, Query]:
     plain = [gray_from_rgb, alpha_zero, channel_pivot, channel_unpivot, stride_compact, transpose, row_arrays, text_planes, event_frames, signal_plane, signal_size_check, dense_check, nvf_mask_zero, nvf_mask_edge, nvf_mask_p9_edge, predictor_coefficients, predictor_coefficients_edge, residual, me_mask, me_mask_edge, embed_nvf_gray, embed_me_gray, embed_me_gray_edge, embed_me_rgb, strength, psnr_check, detect_nvf, detect_me, detect_me_edge, detect_unmarked, arrow_embed, arrow_detect, relational_detect_frames, frame_sample, frame_embed_interval, frame_detect_interval, frame_count, frame_numbers, first_video_stream, output_suffix, frame_rate]
     plain += [nvf_mask_p7_edge, detect_me_p5, detect_nvf_edge, embed_nvf_rgb, embed_stored_signal, detect_stored_signal, signal_file, signal_table, image_files, embed_custom_mask, detect_custom_mask, flat_planes_embed, flat_planes_detect, strided_frames, strided_chroma, chroma_passes, pixel_formats, process_embeds, process_detects, streamed_embed, streamed_detect, packet_filter, report_scores, duration_texts, settings_values]
+    plain += [tiled_embed_frames, tiled_detect_frames, tiled_stored_signal, strided_marked, streamed_numbers, streamed_packets, video_segments, report_run]
     out: dict[str, Query] = {f.__name__: f for f in plain}
+    for border in ("zero", "edge"):
+        out |= {f"tiled_moments_{border}": _tiled_moments(border), f"sparse_neighbours_{border}": _sparse_neighbours(border), f"coefficients_in_sql_{border}": _coefficients_in_sql(border)}
+    for p, border in ((3, "zero"), (5, "edge"), (9, "zero"), (9, "edge")):
+        out[f"tiled_sums_p{p}_{border}"] = _tiled_sums(p, border)
+    out |= {"tiled_gram_p3_edge": _tiled_gram(3, "edge"), "tiled_gram_p7": _tiled_gram(7, "zero"), "tiled_gram_p9": _tiled_gram(9, "zero")}
+    out |= {"embed_me_p7": _tiled_embed("ME", 7), "embed_me_p9": _tiled_embed("ME", 9), "tiled_embed_nvf_p9_edge": _tiled_embed("NVF", 9, "edge"), "tiled_embed_me_edge": _tiled_embed("ME", 3, "edge")}
+    out |= {"detect_me_p7": _tiled_detect("ME", 7), "detect_me_p9": _tiled_detect("ME", 9), "tiled_detect_nvf_edge": _tiled_detect("NVF", 3, "edge"), "tiled_detect_me": _tiled_detect("ME", 3)}
     for p in (3, 5, 7, 9):
         out[f"window_moments_p{p}"] = _moments(p, "zero")
     out["window_moments_p5_edge"] = _moments(5, "edge")

@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelveil.functions.pixel import SEED, signal_value, visible
+from pixelveil.functions.tables import file_system, stored, with_import_path
 
-#: Largest number of rows or columns of an image.
-MOST = 65536
+#: Largest number of rows or columns of an image, and values of a signal in a batch.
+MOST, VALUES = 65536, 1 << 17
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -20,6 +22,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
     Colours are 0 where alpha is 0. ``img`` is a hash of the path.
     """
+    with_import_path(spark)
     files = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
     ok = F.assert_true((F.col("nChannels").isin(3, 4)) & (F.col("height") <= MOST) & (F.col("width") <= MOST), F.concat(F.lit("3 or 4 channels and at most 65536 rows and columns are needed: "), F.col("origin")))
     files = files.where(ok.isNull())
@@ -39,16 +42,36 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_signal(spark: SparkSession, path: str, rows: int, cols: int) -> DataFrame:
-    """``(r, c, w)`` from a row-major file of 32-bit floats, whose length must be rows * cols * 4."""
-    file = spark.read.format("binaryFile").load(path)
-    ok = F.assert_true(F.col("length") == rows * cols * 4, F.concat(F.lit("the signal's size is wrong: "), F.col("path")))
+    """``(r, c, w)`` from row-major 32-bit floats, whose length must be rows * cols * 4.
 
-    @F.pandas_udf("array<float>")
-    def floats(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: np.frombuffer(b, "<f4"))
-
-    cells = file.where(ok.isNull()).select(F.posexplode(floats("content")).alias("i", "w"))
-    return cells.select(F.floor(F.col("i") / cols).alias("r"), (F.col("i") % cols).cast("bigint").alias("c"), F.col("w").cast("double").alias("w"))
+    ``path`` is one file, which is split by byte ranges and read line by line, so it may be of any size; or the folder of segments that
+    ``write_signal_file`` makes. Any file system that Spark reads will do.
+    """
+    if not (0 < rows <= MOST and 0 < cols <= MOST):
+        raise ValueError(f"rows and columns must be from 1 to {MOST}")
+    with_import_path(spark)
+    fs, at = file_system(spark, path)
+    folder = fs.getFileStatus(at).isDirectory()
+    size = fs.getContentSummary(at).getLength()
+    if size != rows * cols * 4:
+        raise ValueError(f"the signal's size is wrong: {path} has {size} bytes, {rows} x {cols} values need {rows * cols * 4}")
+    if folder:
+        files = spark.read.format("binaryFile").load(path)
+        lines = files.select(F.regexp_extract("path", r"(\d+)\.[^./]*$", 1).cast("bigint").alias("r"), F.col("content").alias("line"))
+    else:
+        conf = {"fixedlengthinputformat.record.length": str(cols * 4)}
+        records = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+        lines = spark.createDataFrame(records.map(lambda x: (x[0] // (cols * 4), bytes(x[1]))), "r bigint, line binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, line in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                w = np.frombuffer(line.as_buffer(), "<f4")
+                for i in range(0, len(w), VALUES):
+                    r, c = np.divmod(np.arange(i, min(i + VALUES, len(w))), cols)
+                    yield pa.RecordBatch.from_arrays([pa.array(r + first), pa.array(c), pa.array(w[i : i + VALUES].astype(float))], names=["r", "c", "w"])
+
+    return lines.mapInArrow(run, "r bigint, c bigint, w double")
 
 
 def make_signal(spark: SparkSession, rows: int, cols: int, seed: int = SEED) -> DataFrame:
@@ -110,11 +133,23 @@ def text_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("img", F.floor(F.col("pos") / 64).alias("r"), (F.col("pos") % 64).cast("bigint").alias("c"), F.ascii("ch").cast("bigint").alias("v"))
 
 
+def numbered(frames: DataFrame, order: str) -> DataFrame:
+    """Frame numbers from 0 by ``order`` within each stream, for batch tables that have none.
+
+    Rows are dealt by ranges of (stream, order) and numbered within a range, to which the counts of the ranges before are
+    added, so a long stream isn't sorted in one task.
+    """
+    dealt = stored(frames.repartitionByRange("stream_id", order).withColumn("part__", F.spark_partition_id()), "frames")
+    before = Window.partitionBy("stream_id").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    offset = dealt.groupBy("stream_id", "part__").count().select("stream_id", "part__", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset__"))
+    at = F.row_number().over(Window.partitionBy("stream_id", "part__").orderBy(order)).cast("bigint") - 1
+    return dealt.withColumn("frame_no", at).join(offset, ["stream_id", "part__"]).withColumn("frame_no", F.col("frame_no") + F.col("offset__")).select(*frames.columns, "frame_no")
+
+
 def frame_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(stream_id, frame_no, r, c, v)``: a vector is an 8 x 8 frame, a label a stream."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    n = e.select(F.col("label").cast("bigint").alias("stream_id"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("bigint").alias("frame_no"), "embedding")
-    at = n.select("stream_id", "frame_no", F.posexplode("embedding").alias("pos", "e"))
+    at = numbered(e.select(F.col("label").cast("bigint").alias("stream_id"), "vec_id", "embedding"), "vec_id").select("stream_id", "frame_no", F.posexplode("embedding").alias("pos", "e"))
     return at.select("stream_id", "frame_no", F.floor(F.col("pos") / 8).alias("r"), (F.col("pos") % 8).cast("bigint").alias("c"), _byte(F.col("e")).alias("v"))
 
 
@@ -126,9 +161,9 @@ def rgb_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8 x 8 frames of the events' values in order of id; an incomplete last frame is dropped."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    whole = e.count() // 64 * 64
+    """8 x 8 frames of the events' values by id; a frame that isn't whole is dropped."""
     at = F.col("event_id")
-    v = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("value")))).cast("bigint")
-    return e.where(at < whole).select(F.lit(0).cast("bigint").alias("stream_id"), F.floor(at / 64).alias("frame_no"), F.floor(at % 64 / 8).alias("r"), (at % 8).alias("c"), v.alias("v"))
+    v = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("value"))))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(at / 64).alias("frame_no"), F.struct((at % 64).alias("pos"), v.alias("v")).alias("x"))
+    whole = e.groupBy("frame_no").agg(F.collect_list("x").alias("xs")).where(F.size("xs") == 64).select("frame_no", F.explode("xs").alias("x"))
+    return whole.select(F.lit(0).cast("bigint").alias("stream_id"), "frame_no", F.floor(F.col("x.pos") / 8).alias("r"), (F.col("x.pos") % 8).alias("c"), F.col("x.v").alias("v"))

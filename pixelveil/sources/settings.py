@@ -3,26 +3,40 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pixelveil.functions.tables import with_import_path
 from pixelveil.operators.neighbourhood import WINDOWS
 
 _TRUE, _FALSE = ("true", "yes", "on", "1"), ("false", "no", "off", "0")
 
 
 class Settings:
-    """Sections and keys in any case; keys that repeat join by line feeds; lines that don't parse are left out."""
+    """Sections and keys in any case; keys that repeat join by line feeds; lines that don't parse are left out.
+
+    Lines that begin with ``;`` or ``#`` are comments, and so is what follows a ``;`` after white space; a ``#`` inside a line is text. What
+    stands behind a section's bracket plays no part. An indented line goes on with the value before it.
+    """
 
     def __init__(self, text: str):
         self.values: dict[tuple[str, str], str] = {}
         section, last = "", None
         for raw in text.removeprefix("\ufeff").splitlines():
-            line = re.sub(r"(^|\s)[;#].*$", "", raw).rstrip()
-            if last and line[:1] in " \t" and line.strip():  # an indented line goes on with the value before
-                self._put(last, line.strip())
-            elif (line := line.strip()).startswith("[") and line.endswith("]"):
-                section, last = line[1:-1].strip().lower(), None
-            elif m := re.match(r"([^=:]+)[=:](.*)", line):
+            line = raw.strip()
+            if not line or line[0] in ";#":
+                continue
+            line = re.split(r"\s;", line, maxsplit=1)[0].rstrip()
+            if last and raw[:1] in " \t":
+                self._put(last, line)
+            elif line[0] == "[":
+                if "]" in line:
+                    section, last = line[1 : line.index("]")].strip().lower(), None
+            elif m := re.match(r"([^=:]*)[=:](.*)", line):
                 last = section, m[1].strip().lower()
                 self._put(last, m[2].strip())
 
@@ -38,13 +52,12 @@ class Settings:
         return self.values.get((section.lower(), key.lower()), default)
 
     def integer(self, section: str, key: str, default: int) -> int:
-        """Decimal, hexadecimal (0x) or octal (a leading 0)."""
-        m = re.match(r"[+-]?(?:0[xX][0-9a-fA-F]+|\d+)", self.text(section, key))
+        """Decimal, hexadecimal (0x) or octal (a leading 0), as far as the digits go."""
+        m = re.match(r"\s*([+-]?)(0[xX][0-9a-fA-F]+|0[0-7]*|[1-9]\d*)", self.text(section, key))
         if not m:
             return default
-        digits = m[0].lstrip("+-")
-        base = 16 if digits[:2] in ("0x", "0X") else 8 if digits[0] == "0" and re.fullmatch("[0-7]+", digits) else 10
-        return int(m[0], base)
+        base = 16 if m[2][:2] in ("0x", "0X") else 8 if m[2][0] == "0" else 10
+        return int(m[1] + m[2], base)
 
     def number(self, section: str, key: str, default: float) -> float:
         m = re.match(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", self.text(section, key))
@@ -97,3 +110,27 @@ def options(s: Settings) -> Options:
         detection=first(s.flag, d.detection, ("parameters_video", "watermark_detection"), ("video", "detection")),
         image=s.text("paths", "image"), video=s.text("paths", "video"), signal=first(s.text, d.signal, ("paths", "watermark"), ("paths", "signal")),
     )
+
+
+def read_settings(texts: DataFrame) -> DataFrame:
+    """``(source, section, key, value)`` of settings texts ``(source, text)``, one row per key; sections and keys in lower case."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(source, *at, value) for source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for at, value in Settings(text or "").values.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["source", "section", "key", "value"])
+
+    with_import_path(texts.sparkSession)
+    return texts.select("source", "text").mapInArrow(run, "source string, section string, key string, value string")
+
+
+def as_integer(value: Column) -> Column:
+    """``Settings.integer`` of a value column, null where there is none."""
+    sign, digits = F.regexp_extract(value, r"^\s*([+-]?)", 1), F.regexp_extract(value, r"^\s*[+-]?(0[xX][0-9a-fA-F]+|0[0-7]*|[1-9][0-9]*)", 1)
+    number = F.when(F.lower(digits).startswith("0x"), F.conv(F.substring(digits, 3, 64), 16, 10)).when(digits.startswith("0"), F.conv(digits, 8, 10)).otherwise(digits)
+    return F.when(digits != "", F.concat(sign, number).cast("bigint"))
+
+
+def as_flag(value: Column) -> Column:
+    """``Settings.flag`` of a value column, null where it is neither."""
+    return F.when(F.lower(value).isin(*_TRUE), True).when(F.lower(value).isin(*_FALSE), False)

@@ -6,17 +6,20 @@ no state is kept and any number of them is handled side by side. Only luma is ma
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from pixelveil.functions.tables import stored
+from pixelveil.functions.tables import with_import_path
 from pixelveil.plans.backends import detect_plane, embed_plane
-from pixelveil.sources.planes import first_video
+from pixelveil.sources.planes import first_video, numbered  # noqa: F401  numbers are a frame's, too
 
 FRAME = "stream_id bigint, frame_no bigint, width int, height int, linesize int, y binary, u binary, v binary"
 FORMATS = ("yuv420p", "yuvj420p")
@@ -45,6 +48,7 @@ def compacted(frames: DataFrame) -> DataFrame:
             d["linesize"] = d["width"]
             yield d
 
+    with_import_path(frames.sparkSession)
     return frames.select("stream_id", "frame_no", "width", "height", "linesize", "y", "u", "v").mapInPandas(run, FRAME)
 
 
@@ -71,6 +75,7 @@ def embed_stream(frames: DataFrame, interval: int = 30, p: int = 3, psnr: float
                     out.append(whole.tobytes() + bytes(r.y[r.linesize * r.height :]))
             yield d.assign(y=out)
 
+    with_import_path(frames.sparkSession)
     return frames.select("stream_id", "frame_no", "width", "height", "linesize", "y", "u", "v").mapInPandas(run, FRAME)
 
 
@@ -82,6 +87,7 @@ def detect_stream(frames: DataFrame, interval: int = 30, p: int = 3, border: str
             score = [detect_plane(luma(r.y, r.width, r.height, r.linesize), p=p, border=border) for r in d.itertuples()]
             yield pd.DataFrame({"stream_id": d.stream_id, "frame": d.frame_no + 1, "correlation": score})
 
+    with_import_path(frames.sparkSession)
     wanted = frames.where(F.col("frame_no") % _interval(interval) == 0)
     return wanted.select("stream_id", "frame_no", "width", "height", "linesize", "y").mapInPandas(run, "stream_id bigint, frame bigint, correlation double")
 
@@ -105,48 +111,124 @@ def write_stream(frames: DataFrame, path: str, checkpoint: str):
     return frames.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def numbered(frames: DataFrame, order: str) -> DataFrame:
-    """Frame numbers from 0 by ``order`` within each stream, for batch tables that have none.
+def video_packets(packets: DataFrame, streams: DataFrame) -> DataFrame:
+    """Packets ``(source, stream_index, accepted, ...)`` of each source's first video stream that the decoder accepted.
 
-    Rows are dealt by ranges of (stream, order) and numbered within a range, to which the counts of the ranges before are
-    added, so a long stream isn't sorted in one task.
+    ``packets`` may be a stream; it meets the table of ``streams`` batch by batch, and what is there when it ends is put out.
     """
-    dealt = stored(frames.repartitionByRange("stream_id", order).withColumn("part__", F.spark_partition_id()), "frames")
-    before = Window.partitionBy("stream_id").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
-    offset = dealt.groupBy("stream_id", "part__").count().select("stream_id", "part__", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset__"))
-    at = F.row_number().over(Window.partitionBy("stream_id", "part__").orderBy(order)).cast("bigint") - 1
-    return dealt.withColumn("frame_no", at).join(offset, ["stream_id", "part__"]).withColumn("frame_no", F.col("frame_no") + F.col("offset__")).select(*frames.columns, "frame_no")
-
-
-def video_packets(packets: DataFrame, streams: DataFrame) -> DataFrame:
-    """Packets ``(source, stream_index, accepted, ...)`` of each source's first video stream that the decoder accepted."""
     return packets.where("accepted").join(first_video(streams), ["source", "stream_index"], "left_semi")
 
 
 def pixels_to_frames(px: DataFrame) -> DataFrame:
-    """Frame rows from ``(stream_id, frame_no, r, c, v)``; chroma is neutral."""
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(d.r.max()) + 1, int(d.c.max()) + 1
-        y = np.zeros((h, w), np.uint8)
-        y[d.r, d.c] = d.v
-        grey = bytes([128]) * (math.ceil(h / 2) * math.ceil(w / 2))
-        return pd.DataFrame({"stream_id": d.stream_id[:1], "frame_no": d.frame_no[:1], "width": w, "height": h, "linesize": w, "y": [y.tobytes()], "u": [grey], "v": [grey]})
+    """Frame rows from ``(stream_id, frame_no, r, c, v)``; chroma is neutral. Fails for frames with holes or repeated places.
 
-    return px.groupBy("stream_id", "frame_no").applyInPandas(run, FRAME)
+    Pixels are dealt by frame and sorted, so an Arrow batch holds many small frames, which are cut out of it together.
+    """
+    with_import_path(px.sparkSession)
+    arrow = to_arrow_schema(T.StructType.fromDDL(FRAME))
+
+    def packed(x: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
+        stream, number, r, c, v = x
+        sizes = np.diff(np.append(starts, len(v)))
+        h, w = (np.maximum.reduceat(y, starts) + 1 for y in (r, c))
+        if not np.array_equal(r * np.repeat(w, sizes) + c, np.arange(len(v)) - np.repeat(starts, sizes)) or (sizes != h * w).any():
+            raise ValueError("a frame has holes or repeated places")
+        y = v.astype(np.uint8).tobytes()
+        planes = [y[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        grey = [bytes([128]) * n for n in (-(-h // 2) * -(-w // 2)).tolist()]
+        columns = [stream[starts], number[starts], w, h, w, planes, grey, grey]
+        return pa.RecordBatch.from_arrays([pa.array(y, f.type) for y, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            x = [y.to_numpy(zero_copy_only=False) for y in b.columns]
+            if not len(x[0]):
+                continue
+            change = np.flatnonzero((np.diff(x[0]) != 0) | (np.diff(x[1]) != 0)) + 1
+            if held and (held[-1][0][-1], held[-1][1][-1]) != (x[0][0], x[1][0]):
+                change = np.append(0, change)
+            if not len(change):
+                held.append(x)
+                continue
+            n, end = sum(len(h[0]) for h in held), int(change[-1])
+            whole = [np.concatenate([*(h[i] for h in held), x[i][:end]]) for i in range(5)]
+            held = [[y[end:] for y in x]]
+            yield packed(whole, np.unique(np.append(0, change[:-1] + n)))
+        if held:
+            yield packed([np.concatenate([h[i] for h in held]) for i in range(5)], np.zeros(1, np.int64))
+
+    rows = px.select(*[F.col(c).cast("bigint") for c in ("stream_id", "frame_no", "r", "c", "v")])
+    return rows.repartition("stream_id", "frame_no").sortWithinPartitions("stream_id", "frame_no", "r", "c").mapInArrow(run, FRAME)
+
+
+#: Pixels in a batch of rows made from frames.
+BATCH = 100_000
 
 
 def frames_to_pixels(frames: DataFrame) -> DataFrame:
-    """``(stream_id, frame_no, r, c, v)`` of the luma planes, without padding."""
+    """``(stream_id, frame_no, r, c, v)`` of the luma planes, without padding; many small frames, or lines of a large one, a batch."""
+
+    def strips(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        for stream, number, w, h, linesize, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            plane, step = luma(y, w, h, linesize), max(1, BATCH // max(1, w))
+            for top in range(0, h, step):
+                yield stream, number, top, plane[top : top + step]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, n = [], 0
+            for strip in strips(b):
+                held.append(strip)
+                n += strip[3].size
+                if n >= BATCH:
+                    yield rows(held)
+                    held, n = [], 0
+            if held:
+                yield rows(held)
+
+    def rows(held: list) -> pa.RecordBatch:
+        sizes = [x[3].size for x in held]
+        r = np.concatenate([np.repeat(np.arange(x[2], x[2] + len(x[3])), x[3].shape[1]) for x in held])
+        c = np.concatenate([np.tile(np.arange(x[3].shape[1]), len(x[3])) for x in held])
+        v = np.concatenate([x[3].ravel() for x in held]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in held], sizes)), pa.array(np.repeat([x[1] for x in held], sizes)), pa.array(r), pa.array(c), pa.array(v)], names=["stream_id", "frame_no", "r", "c", "v"])
+
+    with_import_path(frames.sparkSession)
+    planes = frames.select("stream_id", "frame_no", "width", "height", "linesize", "y")
+    return planes.mapInArrow(run, "stream_id bigint, frame_no bigint, r bigint, c bigint, v bigint")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            for x in d.itertuples():
-                plane = luma(x.y, x.width, x.height, x.linesize)
-                for top in range(0, x.height, 256):
-                    part = plane[top : top + 256]
-                    r, c = np.divmod(np.arange(part.size), x.width)
-                    yield pd.DataFrame({"stream_id": x.stream_id, "frame_no": x.frame_no, "r": r + top, "c": c, "v": part.reshape(-1).astype("int64")})
 
-    planes = frames.select("stream_id", "frame_no", "width", "height", "linesize", "y")
-    return planes.mapInPandas(run, "stream_id bigint, frame_no bigint, r bigint, c bigint, v bigint")
+class FrameCounter(StatefulProcessor):
+    """Numbers each stream's frames from where the rows before have left off; the next number is all that is kept."""
+
+    def __init__(self, order: str, columns: list[str]):
+        self.order, self.columns = order, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next = handle.getValueState("next", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at = int(self.next.get()[0]) if self.next.exists() else 0
+        d = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        self.next.update((at + len(d),))
+        yield d[self.columns].assign(frame_no=np.arange(at, at + len(d)))
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def numbered_stream(frames: DataFrame, order: str) -> DataFrame:
+    """A stream of frames ``(stream_id, ...)`` with ``frame_no``, for sources that give none.
+
+    Frames of a stream are numbered from 0 as micro-batches bring them, by ``order`` within one, and go on from there in
+    later ones, also after a restart from the checkpoint. The state is one number a stream, in RocksDB, which this session's streams
+    then use. A task sorts what a micro-batch brings of one stream, which the source's ``maxFilesPerTrigger`` bounds.
+    """
+    spark = with_import_path(frames.sparkSession)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = T.StructType([*frames.schema.fields, T.StructField("frame_no", T.LongType())])
+    return frames.groupBy("stream_id").transformWithStateInPandas(FrameCounter(order, frames.columns), schema, "Append", "None")
