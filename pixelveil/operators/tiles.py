@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pixelveil.functions.pixel import SEED, exact_sum, target_rms
+from pixelveil.functions.runs import whole_runs
 from pixelveil.functions.tables import stored, with_import_path
 
 from .neighbourhood import WINDOWS, check, names, with_scalars
@@ -80,24 +81,8 @@ def tiles(px: DataFrame, reach: int, value: str = "v", side: int = SIDE) -> Data
             yield _record(schema, [*(pa.array(y[real]) for y in columns), _lists(v[keep], sizes[real])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for b in batches:
-            x = [y.to_numpy(zero_copy_only=False) for y in b.columns]
-            change = np.flatnonzero((np.diff(x[0]) != 0) | (np.diff(x[1]) != 0) | (np.diff(x[2]) != 0)) + 1
-            if held and len(x[0]) and not all(held[-1][i][-1] == x[i][0] for i in range(3)):
-                change = np.append(0, change)
-            if not len(change):
-                held += [x] if len(x[0]) else []
-                continue
-            end = int(change[-1])
-            whole = [np.concatenate([*(h[i] for h in held), x[i][:end]]) for i in range(6)]
-            n = sum(len(h[0]) for h in held)
-            starts = np.unique(np.append(0, change[:-1] + n))
-            held = [[y[end:] for y in x]]
-            if len(whole[0]):
-                yield from packed(whole, starts)
-        if held:
-            yield from packed([np.concatenate([h[i] for h in held]) for i in range(6)], np.zeros(1, np.int64))
+        for x, starts in whole_runs(batches, 3):
+            yield from packed(x, starts)
 
     return rows.mapInArrow(run, schema)
 

@@ -7,16 +7,23 @@ task, such as video frames, and is the only one that streams.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pixelveil.functions.pixel import SEED, target_rms
+from pixelveil.functions.runs import whole_runs
 from pixelveil.functions.tables import with_import_path
 from pixelveil.operators import marking, predictor, tiles
 from pixelveil.operators.neighbourhood import check
+from pixelveil.sources.planes import MOST, read_signal
 
 
 class Backend(Protocol):
@@ -111,30 +118,71 @@ def detect_plane(plane: np.ndarray, signal: np.ndarray | None = None, mask: str
 
 
 class ArrowBackend:
-    """One kernel call per image, for images that fit a task's memory."""
+    """One kernel call per image, for images that fit a task's memory; small images come many to an Arrow batch."""
 
     @staticmethod
-    def _plane(d: pd.DataFrame) -> np.ndarray:
-        plane = np.zeros((int(d.r.max()) + 1, int(d.c.max()) + 1))
-        if plane.size != len(d):
-            raise ValueError("the grid has holes or repeated places")
-        plane[d.r, d.c] = d.v
-        return plane
+    def _each(px: DataFrame, out: str, make: Callable[[int, np.ndarray], list]) -> DataFrame:
+        """``make`` of every image's number and plane gives columns of ``out``."""
+        schema = to_arrow_schema(T.StructType.fromDDL(out))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (img, r, c, v), starts in whole_runs(batches, 1):
+                held = []
+                for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(img)], strict=True):
+                    h, w = int(r[a:z].max()) + 1, int(c[a:z].max()) + 1
+                    if not np.array_equal(r[a:z] * w + c[a:z], np.arange(h * w)):
+                        raise ValueError("the grid has holes or repeated places")
+                    held.append(make(int(img[a]), v[a:z].reshape(h, w)))
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type, from_pandas=True) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+        with_import_path(px.sparkSession)
+        rows = px.select("img", "r", "c", F.col("v").cast("double").alias("v"))
+        return rows.repartition("img").sortWithinPartitions("img", "r", "c").mapInArrow(run, out)
 
     @classmethod
     def embed(cls, px: DataFrame, quantize: bool = True, **options) -> DataFrame:
-        def run(d: pd.DataFrame) -> pd.DataFrame:
-            y, a = embed_plane(cls._plane(d), **options)
-            out = y[d.r, d.c]
-            return pd.DataFrame({"img": d.img, "r": d.r, "c": d.c, "y": np.floor(out).astype("int64") if quantize else out, "strength": a})
+        def make(img: int, plane: np.ndarray) -> list:
+            y, a = embed_plane(plane, **options)
+            r, c = np.divmod(np.arange(y.size), y.shape[1])
+            y = np.floor(y).astype(np.int64) if quantize else y
+            return [np.full(y.size, img), r, c, y.ravel(), np.full(y.size, np.nan if a is None else a)]
 
-        with_import_path(px.sparkSession)
-        return px.groupBy("img").applyInPandas(run, f"img bigint, r bigint, c bigint, y {'bigint' if quantize else 'double'}, strength double")
+        return cls._each(px, f"img bigint, r bigint, c bigint, y {'bigint' if quantize else 'double'}, strength double", make)
 
     @classmethod
     def detect(cls, px: DataFrame, **options) -> DataFrame:
-        def run(d: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"img": d.img[:1], "correlation": [detect_plane(cls._plane(d), **options)]})
+        return cls._each(px, "img bigint, correlation double", lambda img, plane: [[img], [detect_plane(plane, **options)]])
 
-        with_import_path(px.sparkSession)
-        return px.groupBy("img").applyInPandas(run, "img bigint, correlation double")
+
+@dataclass(frozen=True)
+class Marker:
+    """A signal of one size with its parameters: what embeds into and detects in images of that size, and refuses others.
+
+    ``signal`` is a table (r, c, w); ``create`` reads it from a file.
+    """
+
+    rows: int
+    cols: int
+    signal: DataFrame
+    p: int = 3
+    psnr: float = 40.0
+    border: str = "zero"
+    backend: type = TileBackend
+
+    def __post_init__(self):
+        if not (0 < self.rows <= MOST and 0 < self.cols <= MOST):
+            raise ValueError(f"rows and columns must be from 1 to {MOST}")
+        check(self.p, self.border)
+        target_rms(self.psnr)
+
+    @classmethod
+    def create(cls, spark: SparkSession, rows: int, cols: int, path: str, p: int = 3, psnr: float = 40.0, **options) -> Marker:
+        """With the signal of a file or of its segments, whose size must be rows * cols values."""
+        return cls(rows, cols, read_signal(spark, path, rows, cols), p, psnr, **options)
+
+    def embed(self, px: DataFrame, mask: str = "ME", quantize: bool = True) -> DataFrame:
+        return self.backend.embed(px, signal=self.signal, mask=mask, p=self.p, psnr=self.psnr, border=self.border, quantize=quantize)
+
+    def detect(self, px: DataFrame, mask: str = "ME") -> DataFrame:
+        return self.backend.detect(px, signal=self.signal, mask=mask, p=self.p, border=self.border)

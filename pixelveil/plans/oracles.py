@@ -239,6 +239,8 @@ select p.source, p.stream_index, p.event_id from p join f using (source, stream_
 select img, 'ME' mask, cast(3 as integer) p, 40.0::double psnr, round(strength, 6) strength, round(correlation, 6) correlation, 1.5::double as seconds, '0.750000' as time from bd join ps using (img)""",
         "duration_texts": "select o_orderkey, printf('%.6f', (o_orderkey % 488 * 2 + 1) / 1009.0::double) as seconds, printf('%.2f', 1.0::double / ((o_orderkey % 488 * 2 + 1) / 1009.0::double)) rate from orders",
         "settings_values": "select cast(n_regionkey as varchar) as source, lower(n_name) as section, n_nationkey::bigint as number, n_nationkey / 8.0::double as real, n_nationkey % 2 = 0 as flag, 'a #' || n_nationkey || '.png' || chr(10) || n_name as name from nation",
+        "image_files_bmp": f"with {RGB} select r img, cast(c // 8 as bigint) r, cast(c % 8 as bigint) c, red, green, blue, cast(null as bigint) alpha from rgb",
+        "marker_embeds": _embed("ME", "zero", 5, single),
         "tiled_embed_frames": q["arrow_embed"],
         "tiled_detect_frames": q["arrow_detect"],
         "tiled_stored_signal": _embed("ME", "zero", 3, seven),

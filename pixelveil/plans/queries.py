@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pixelveil.functions import pixel
 from pixelveil.functions.tables import new_path, stored
 from pixelveil.operators import marking, neighbourhood, predictor, tiles
-from pixelveil.plans.backends import ArrowBackend
+from pixelveil.plans.backends import ArrowBackend, Marker
 from pixelveil.sources import planes, sinks
 from pixelveil.sources.settings import as_flag, as_integer, read_settings
 from pixelveil.streaming import frames as video
@@ -182,6 +182,20 @@ def _colour_frames(s, d):
     return rgb.select(F.col("r").alias("img"), F.floor(F.col("c") / 8).alias("r"), (F.col("c") % 8).alias("c"), "red", "green", "blue", "alpha")
 
 
+def image_files_bmp(s, d):
+    path = new_path(s, "images")
+    sinks.save_images(_colour_frames(s, d).drop("alpha"), path, "W_NVF", "bmp")
+    return planes.read_images(s, path).select(F.regexp_extract("path", r"(\d+)_W_NVF\.bmp$", 1).cast("bigint").alias("img"), "r", "c", "red", "green", "blue", "alpha")
+
+
+def marker_embeds(s, d):
+    """A signal written to segments and read back by the one that marks with it."""
+    path, signal = new_path(s, "signal"), stored(_signal(s, d), "signal")
+    sinks.write_signal_file(signal, path)
+    marker = Marker.create(s, signal.select("r").distinct().count(), 64, path, 5)
+    return marker.embed(_plane(s, d)).select("img", "r", "c", "y")
+
+
 def image_files(s, d):
     path = new_path(s, "images")
     sinks.save_images(_colour_frames(s, d), path, "W_ME")
@@ -547,7 +561,7 @@ def frame_rate(s, d):
 def queries() -> dict[str, Query]:
     plain = [gray_from_rgb, alpha_zero, channel_pivot, channel_unpivot, stride_compact, transpose, row_arrays, text_planes, event_frames, signal_plane, signal_size_check, dense_check, nvf_mask_zero, nvf_mask_edge, nvf_mask_p9_edge, predictor_coefficients, predictor_coefficients_edge, residual, me_mask, me_mask_edge, embed_nvf_gray, embed_me_gray, embed_me_gray_edge, embed_me_rgb, strength, psnr_check, detect_nvf, detect_me, detect_me_edge, detect_unmarked, arrow_embed, arrow_detect, relational_detect_frames, frame_sample, frame_embed_interval, frame_detect_interval, frame_count, frame_numbers, first_video_stream, output_suffix, frame_rate]
     plain += [nvf_mask_p7_edge, detect_me_p5, detect_nvf_edge, embed_nvf_rgb, embed_stored_signal, detect_stored_signal, signal_file, signal_table, image_files, embed_custom_mask, detect_custom_mask, flat_planes_embed, flat_planes_detect, strided_frames, strided_chroma, chroma_passes, pixel_formats, process_embeds, process_detects, streamed_embed, streamed_detect, packet_filter, report_scores, duration_texts, settings_values]
-    plain += [tiled_embed_frames, tiled_detect_frames, tiled_stored_signal, strided_marked, streamed_numbers, streamed_packets, video_segments, report_run]
+    plain += [tiled_embed_frames, tiled_detect_frames, tiled_stored_signal, strided_marked, streamed_numbers, streamed_packets, video_segments, report_run, image_files_bmp, marker_embeds]
     out: dict[str, Query] = {f.__name__: f for f in plain}
     for border in ("zero", "edge"):
         out |= {f"tiled_moments_{border}": _tiled_moments(border), f"sparse_neighbours_{border}": _sparse_neighbours(border), f"coefficients_in_sql_{border}": _coefficients_in_sql(border)}

@@ -37,23 +37,39 @@ def png(plane: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
 
 
-def encoded_images(rgb: DataFrame) -> DataFrame:
-    """``(img, content)``: each image, with alpha if there is one, as a PNG file; an image must fit a task, as any file's does."""
+def bmp(plane: np.ndarray) -> bytes:
+    """A BMP file of rows x columns x 3 or 4 bytes: 24 or 32 bits a pixel, blue first, the last row first, rows of whole four bytes."""
+    h, w, n = plane.shape
+    turned = plane[::-1, :, [2, 1, 0, 3][:n]].reshape(h, w * n)
+    lines = np.pad(turned, ((0, 0), (0, -(w * n) % 4))).tobytes()
+    head = struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8 * n, 0, len(lines), 0, 0, 0, 0)
+    return struct.pack("<2sIHHI", b"BM", 54 + len(lines), 0, 0, 54) + head + lines
+
+
+#: What makes a file's bytes, by extension.
+ENCODERS = {"png": png, "bmp": bmp}
+
+
+def encoded_images(rgb: DataFrame, extension: str = "png") -> DataFrame:
+    """``(img, content)``: each image, with alpha if there is one, as a file of a kind of ``ENCODERS``; an image must fit a task, as any file's does."""
+    if extension.lower() not in ENCODERS:
+        raise ValueError(f"images can be written as {', '.join(ENCODERS)}, not as {extension}")
+    encode = ENCODERS[extension.lower()]
     names = ["red", "green", "blue", *(["alpha"] if "alpha" in rgb.columns else [])]
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         plane = np.zeros((int(d.r.max()) + 1, int(d.c.max()) + 1, len(names)), np.uint8)
         plane[d.r, d.c] = d[names].to_numpy()
-        return pd.DataFrame({"img": d.img[:1], "content": [png(plane)]})
+        return pd.DataFrame({"img": d.img[:1], "content": [encode(plane)]})
 
     with_import_path(rgb.sparkSession)
     return rgb.select("img", "r", "c", *names).groupBy("img").applyInPandas(run, "img bigint, content binary")
 
 
-def save_images(rgb: DataFrame, path: str, suffix: str = "") -> None:
-    """One PNG file per image under ``path``, named by image and ``suffix`` (W_ME, W_NVF), written by tasks; images of the same names are replaced."""
-    name = F.concat(F.col("img").cast("string"), F.lit(f"{'_' * bool(suffix)}{suffix}.png"))
-    write_files(encoded_images(rgb).select(name.alias("name"), "content"), path)
+def save_images(rgb: DataFrame, path: str, suffix: str = "", extension: str = "png") -> None:
+    """One file per image under ``path``, named by image and ``suffix`` (W_ME, W_NVF), written by tasks; images of the same names are replaced."""
+    name = F.concat(F.col("img").cast("string"), F.lit(f"{'_' * bool(suffix)}{suffix}.{extension}"))
+    write_files(encoded_images(rgb, extension).select(name.alias("name"), "content"), path)
 
 
 def write_signal(signal: DataFrame, path: str) -> None:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from pixelveil.functions.runs import whole_runs
 from pixelveil.functions.tables import with_import_path
 from pixelveil.plans.backends import detect_plane, embed_plane
 from pixelveil.sources.planes import first_video, numbered  # noqa: F401  numbers are a frame's, too
@@ -140,23 +141,8 @@ def pixels_to_frames(px: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(y, f.type) for y, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for b in batches:
-            x = [y.to_numpy(zero_copy_only=False) for y in b.columns]
-            if not len(x[0]):
-                continue
-            change = np.flatnonzero((np.diff(x[0]) != 0) | (np.diff(x[1]) != 0)) + 1
-            if held and (held[-1][0][-1], held[-1][1][-1]) != (x[0][0], x[1][0]):
-                change = np.append(0, change)
-            if not len(change):
-                held.append(x)
-                continue
-            n, end = sum(len(h[0]) for h in held), int(change[-1])
-            whole = [np.concatenate([*(h[i] for h in held), x[i][:end]]) for i in range(5)]
-            held = [[y[end:] for y in x]]
-            yield packed(whole, np.unique(np.append(0, change[:-1] + n)))
-        if held:
-            yield packed([np.concatenate([h[i] for h in held]) for i in range(5)], np.zeros(1, np.int64))
+        for x, starts in whole_runs(batches, 2):
+            yield packed(x, starts)
 
     rows = px.select(*[F.col(c).cast("bigint") for c in ("stream_id", "frame_no", "r", "c", "v")])
     return rows.repartition("stream_id", "frame_no").sortWithinPartitions("stream_id", "frame_no", "r", "c").mapInArrow(run, FRAME)

@@ -91,6 +91,34 @@ def test_many_images_become_files_and_come_back(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rgb.collect()))
 
 
+def test_bitmaps_and_unknown_kinds(spark, tmp_path):
+    rgb = spark.range(21).select(F.lit(3).cast("bigint").alias("img"), F.floor(F.col("id") / 7).alias("r"), (F.col("id") % 7).alias("c"), F.col("id").alias("red"), (F.col("id") * 2).alias("green"), (F.col("id") + 200).alias("blue"))
+    sinks.save_images(rgb, str(tmp_path / "b"), "", "bmp")
+    got = planes.read_images(spark, str(tmp_path / "b")).select("r", "c", "red", "green", "blue").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, rgb.select("r", "c", "red", "green", "blue").collect()))
+    with pytest.raises(ValueError, match="not as gif"):
+        sinks.save_images(rgb, str(tmp_path / "g"), "", "gif")
+
+
+def test_a_marker_has_one_size(spark, tmp_path):
+    from pixelveil.plans.backends import Marker, RelationalBackend
+
+    px = spark.range(30 * 20).select(F.lit(0).cast("bigint").alias("img"), F.floor(F.col("id") / 20).alias("r"), (F.col("id") % 20).alias("c"), (F.col("id") * 7919 % 200).alias("v"))
+    sinks.write_signal_file(planes.make_signal(spark, 30, 20), str(tmp_path / "w"))
+    made = [Marker.create(spark, 30, 20, str(tmp_path / "w"), **x) for x in ({}, {"backend": RelationalBackend})]
+    a, b = (m.embed(px).select("r", "c", "y") for m in made)
+    assert a.exceptAll(b).count() == 0 and a.count() == 600
+    marked = a.select(F.lit(0).cast("bigint").alias("img"), "r", "c", F.col("y").alias("v"))
+    assert made[0].detect(marked).first()[1] > made[0].detect(px).first()[1]
+    for wrong in ({"p": 4}, {"psnr": 0.0}, {"border": "none"}):
+        with pytest.raises(ValueError):
+            Marker.create(spark, 30, 20, str(tmp_path / "w"), **wrong)
+    with pytest.raises(ValueError, match="size is wrong"):
+        Marker.create(spark, 30, 21, str(tmp_path / "w"))
+    with pytest.raises(ValueError, match="pixels, the signal 30 x 20"):
+        made[0].embed(px.where("r < 29"))
+
+
 def test_settings_lines():
     s = Settings("; top\n# top\n[Paths] more ; x\nimage = a #1.png ; a comment\nvideo=b;c\n  ; not a value\n\td.mp4\nk = 09\nn = 0x1G\nm = -010\nnone = x1\n= empty\n[broken\nz = 1")
     assert s.text("paths", "IMAGE") == "a #1.png" and s.text("paths", "video") == "b;c\nd.mp4"
