@@ -70,10 +70,10 @@ def embed(px: DataFrame, signal: DataFrame | None = None, mask: Mask = "ME", p:
 
 def gray_plane(rgb: DataFrame) -> DataFrame:
     """``(img, r, c, v)`` from red, green, blue and, if there is one, alpha: pixels with alpha 0 are black."""
-    return _with_gray(rgb).select("img", "r", "c", "v")
+    return with_gray(rgb).select("img", "r", "c", "v")
 
 
-def _with_gray(rgb: DataFrame) -> DataFrame:
+def with_gray(rgb: DataFrame) -> DataFrame:
     of = (lambda c: visible(F.col(c), F.col("alpha"))) if "alpha" in rgb.columns else F.col
     colours = [of(c).alias(c) for c in ("red", "green", "blue")]
     return rgb.select("img", "r", "c", *colours, *(["alpha"] if "alpha" in rgb.columns else [])).withColumn("v", gray(F.col("red"), F.col("green"), F.col("blue")))
@@ -81,7 +81,7 @@ def _with_gray(rgb: DataFrame) -> DataFrame:
 
 def embed_rgb(rgb: DataFrame, signal: DataFrame | None = None, mask: Mask = "ME", p: int = 3, psnr: float = 40.0, border: str = "zero", quantize: bool = True) -> DataFrame:
     """``(img, r, c, red, green, blue[, alpha], strength)``: the change of the gray plane added to every channel."""
-    s = strengthened(_with_gray(rgb), signal, mask, p, psnr, border)
+    s = strengthened(with_gray(rgb), signal, mask, p, psnr, border)
     change: Column = F.coalesce(F.col("strength") * F.col("u"), F.lit(0.0))
     put = to_byte if quantize else clamp
     marked = [put(F.col(c) + change).alias(c) for c in ("red", "green", "blue")]

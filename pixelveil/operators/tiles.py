@@ -23,6 +23,7 @@ from pixelveil.functions.pixel import SEED, exact_sum, target_rms
 from pixelveil.functions.runs import whole_runs
 from pixelveil.functions.tables import stored, with_import_path
 
+from .marking import with_gray
 from .neighbourhood import WINDOWS, check, names, with_scalars
 from .predictor import solve, unpack
 
@@ -40,10 +41,10 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
-def tiles(px: DataFrame, reach: int, value: str = "v", side: int = SIDE) -> DataFrame:
+def tiles(px: DataFrame, reach: int, value: str = "v", side: int = SIDE, also: tuple[str, ...] = ()) -> DataFrame:
     """Tiles of ``(img, r, c, value)``: the first own row and column, own size, lines of halo that are there, and all pixels.
 
-    ``r`` and ``c`` start at 0. Fails for a tile with holes or repeated places; ``sound`` finds missing tiles.
+    Columns of ``also`` come as arrays like that of the values. ``r`` and ``c`` start at 0. Fails for a tile with holes or repeated places; ``sound`` finds missing tiles.
     """
     if side < 2 * reach or side < 1:
         raise ValueError("a tile must be at least twice as large as its halo")
@@ -55,13 +56,13 @@ def tiles(px: DataFrame, reach: int, value: str = "v", side: int = SIDE) -> Data
         near = [F.when((place < reach) & (at > 0), at - 1), F.when(place >= side - reach, at + 1)] if reach else []
         return F.filter(F.array(at, *near), lambda t: t.isNotNull())
 
-    rows = px.select("img", "r", "c", F.col(value).cast("double").alias("v"), F.explode(beside("r")).alias("tr"))
-    rows = rows.select("img", "tr", F.explode(beside("c")).alias("tc"), "r", "c", "v")
+    rows = px.select("img", "r", "c", F.col(value).cast("double").alias("v"), *[F.col(x).cast("double").alias(x) for x in also], F.explode(beside("r")).alias("tr"))
+    rows = rows.select("img", "tr", F.explode(beside("c")).alias("tc"), "r", "c", "v", *also)
     rows = rows.repartition("img", "tr", "tc").sortWithinPartitions("img", "tr", "tc", "r", "c")
-    schema = T.StructType.fromDDL(TILE)
+    schema = T.StructType.fromDDL(", ".join([TILE, *(f"`{x}` array<double>" for x in also)]))
 
     def packed(x: list[np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        img, tr, tc, r, c, v = x
+        img, tr, tc, r, c, v, *more = x
         sizes = np.diff(np.append(starts, len(v)))
         span = [(np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)) for y in (r, c)]
         (r0, r1), (c0, c1) = span
@@ -78,7 +79,7 @@ def tiles(px: DataFrame, reach: int, value: str = "v", side: int = SIDE) -> Data
         keep = np.repeat(real, sizes)
         columns = [img, top, first, own[1] - own[0], own[3] - own[2], own[0] - r0, r1 + 1 - own[1], own[2] - c0, c1 + 1 - own[3]]
         if real.any():
-            yield _record(schema, [*(pa.array(y[real]) for y in columns), _lists(v[keep], sizes[real])])
+            yield _record(schema, [*(pa.array(y[real]) for y in columns), *(_lists(y[keep], sizes[real]) for y in (v, *more))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, starts in whole_runs(batches, 3):
@@ -96,9 +97,9 @@ def sound(made: DataFrame) -> DataFrame:
     return made
 
 
-def tiled(px: DataFrame, reach: int, side: int = SIDE) -> DataFrame:
+def tiled(px: DataFrame, reach: int, side: int = SIDE, also: tuple[str, ...] = ()) -> DataFrame:
     """Tiles of sound images, stored, as several steps read them."""
-    return sound(stored(tiles(px, reach, "v", side), "tiles"))
+    return sound(stored(tiles(px, reach, "v", side, also), "tiles"))
 
 
 class Shape:
@@ -331,17 +332,22 @@ def _columns(df: DataFrame, *more: str) -> DataFrame:
     return df.select(*[f.name for f in T.StructType.fromDDL(TILE).fields], *more)
 
 
-def embed(px: DataFrame, signal: DataFrame | None = None, mask: str = "ME", p: int = 3, psnr: float = 40.0, border: str = "zero", quantize: bool = True, side: int = SIDE) -> DataFrame:
-    """``(img, r, c, y, strength)`` as the window form gives it; unsolvable or flat images pass unchanged.
-
-    Tiles are made once. Masks times signal are stored by tile, with each tile's largest error and power, from which an image's
-    strength follows; the power is added exactly, so no order of tiles changes a result.
-    """
+def _marked(px: DataFrame, signal: DataFrame | None, mask: str, p: int, psnr: float, border: str, quantize: bool, side: int, colours: tuple[str, ...], kept: tuple[str, ...]) -> DataFrame:
+    """``(img, r, c, *colours, *kept, strength)``: the change that the plane ``v`` gives, added to each column of ``colours``."""
     if mask not in ("ME", "NVF"):
         raise ValueError("mask must be ME or NVF")
     reach, goal = check(p, border), target_rms(psnr)
-    made = tiled(px, reach, side)
-    more = with_scalars(_with_signal(made, signal, reach, side), fitted(made, p, border)) if mask == "ME" else _with_signal(made, signal, reach, side).withColumn("k", F.lit(None).cast("array<double>"))
+    also = tuple(x for x in (*colours, *kept) if x != "v")
+    made = tiled(px, reach, side, also)
+    more = _with_signal(made, signal, reach, side)
+    more = with_scalars(more, fitted(made, p, border)) if mask == "ME" else more.withColumn("k", F.lit(None).cast("array<double>"))
+    columns = [x if x in also else "v" for x in (*colours, *kept)]
+
+    def own(b: pa.RecordBatch, column: int, s: Shape) -> np.ndarray:
+        """Another column's own pixels, without the halo that is there."""
+        there = [reach - x for x in s.inside]
+        stack = np.stack([b.column(column)[int(i)].values.to_numpy() for i in s.at]).reshape(len(s.at), there[0] + s.h + there[1], there[2] + s.w + there[3])
+        return stack[:, there[0] : there[0] + s.h, there[2] : there[2] + s.w]
 
     def masks(b: pa.RecordBatch) -> Iterator[list]:
         for s in shapes(b, reach, border):
@@ -352,23 +358,43 @@ def embed(px: DataFrame, signal: DataFrame | None = None, mask: str = "ME", p: i
                 m = _nvf(s.x, p, reach).reshape(len(s.at), -1)
             w = _signal(b, 10, s, reach)[:, reach : reach + s.h, reach : reach + s.w].reshape(len(s.at), -1)
             u, n = m * w, np.full(len(s.at), s.h * s.w)
-            yield [s.img, s.r, s.c, n // s.h, n, m.max(1), (u * u).sum(1), _lists(s.own().ravel(), n), _lists(u.ravel(), n)]
+            values = [s.own() if x == "v" else own(b, 12 + also.index(x), s) for x in columns]
+            yield [s.img, s.r, s.c, n // s.h, n, m.max(1), (u * u).sum(1), _lists(u.ravel(), n), *(_lists(x.ravel(), n) for x in values)]
 
-    raw = stored(_kernel(_columns(more, "signal", "k"), "img bigint, r bigint, c bigint, w bigint, n bigint, top double, power double, v array<double>, u array<double>", masks), "masks")
+    arrays = [f"y{i}" for i in range(len(columns))]
+    out = "img bigint, r bigint, c bigint, w bigint, n bigint, top double, power double, u array<double>, " + ", ".join(f"{x} array<double>" for x in arrays)
+    raw = stored(_kernel(_columns(more, "signal", "k", *also), out, masks), "masks")
     scale = raw.groupBy("img").agg(F.max("r").alias("rows"), (F.nullif(F.max("top"), F.lit(0.0)) if mask == "ME" else F.lit(1.0)).alias("most"), F.sqrt(F.nullif(exact_sum(F.col("power")), F.lit(0.0)) / F.sum("n")).alias("rms"))
     scale = scale.select("img", "rows", "most", (F.lit(goal) * F.col("most") / F.col("rms")).alias("strength"))
-    ready = with_scalars(raw.select("img", "r", "c", "w", "v", "u"), scale).select("img", "r", "c", "w", "v", "u", "most", "strength")
+    ready = with_scalars(raw.select("img", "r", "c", "w", "u", *arrays), scale).select("img", "r", "c", "w", "most", "strength", "u", *arrays)
 
     def mark(b: pa.RecordBatch) -> Iterator[list]:
         for i in range(b.num_rows):
-            img, r0, c0, w = (b.column(j)[i].as_py() for j in range(4))
-            v, u = (b.column(j)[i].values.to_numpy() for j in (4, 5))
-            most, strength = b.column(6)[i].as_py(), b.column(7)[i].as_py()
-            y = np.clip(v + (strength * (u / most) if strength is not None else 0.0), 0, 255)
-            r, c = np.divmod(np.arange(len(v)), w)
-            yield [np.full(len(v), img), r + r0, c + c0, np.floor(y).astype(np.int64) if quantize else y, pa.array([strength] * len(v), pa.float64())]
-
-    return _kernel(ready, f"img bigint, r bigint, c bigint, y {'bigint' if quantize else 'double'}, strength double", mark)
+            img, r0, c0, w, most, strength = (b.column(j)[i].as_py() for j in range(6))
+            u, *values = (b.column(j)[i].values.to_numpy() for j in range(6, b.num_columns))
+            change = strength * (u / most) if strength is not None else np.zeros(len(u))
+            marked = [np.clip(x + change, 0, 255) for x in values[: len(colours)]]
+            r, c = np.divmod(np.arange(len(u)), w)
+            yield [np.full(len(u), img), r + r0, c + c0, *(np.floor(y).astype(np.int64) if quantize else y for y in marked), *values[len(colours) :], pa.array([strength] * len(u), pa.float64())]
+
+    kind = "bigint" if quantize else "double"
+    return _kernel(ready, ", ".join(["img bigint, r bigint, c bigint", *(f"`{x}` {kind}" for x in colours), *(f"`{x}` double" for x in kept), "strength double"]), mark)
+
+
+def embed(px: DataFrame, signal: DataFrame | None = None, mask: str = "ME", p: int = 3, psnr: float = 40.0, border: str = "zero", quantize: bool = True, side: int = SIDE) -> DataFrame:
+    """``(img, r, c, y, strength)`` as the window form gives it; unsolvable or flat images pass unchanged.
+
+    Tiles are made once. Masks times signal are stored by tile, with each tile's largest error and power, from which an image's
+    strength follows; the power is added exactly, so no order of tiles changes a result.
+    """
+    return _marked(px, signal, mask, p, psnr, border, quantize, side, ("v",), ()).withColumnRenamed("v", "y")
+
+
+def embed_rgb(rgb: DataFrame, signal: DataFrame | None = None, mask: str = "ME", p: int = 3, psnr: float = 40.0, border: str = "zero", quantize: bool = True, side: int = SIDE) -> DataFrame:
+    """``(img, r, c, red, green, blue[, alpha], strength)``: the change of the gray plane added to every channel; the tiles carry the channels."""
+    colours, alpha = ("red", "green", "blue"), tuple(x for x in ("alpha",) if x in rgb.columns)
+    out = _marked(with_gray(rgb), signal, mask, p, psnr, border, quantize, side, colours, alpha)
+    return out.withColumns({x: F.col(x).cast(dict(rgb.dtypes)[x]) for x in alpha})
 
 
 def detect(px: DataFrame, signal: DataFrame | None = None, mask: str = "ME", p: int = 3, border: str = "zero", side: int = SIDE) -> DataFrame:

@@ -262,8 +262,10 @@ select stream_id, printf('%012d.yuv', first) as name, cast(coalesce(sum(length)
     for p, border in ((3, "zero"), (5, "edge"), (9, "zero"), (9, "edge")):
         q[f"tiled_sums_p{p}_{border}"] = _near_sums(p, border)
     q |= {"tiled_gram_p3_edge": _gram("edge"), "tiled_gram_p7": _gram("zero", 7), "tiled_gram_p9": _gram("zero", 9)}
-    q |= {"embed_me_p7": _embed("ME", "zero", 7), "embed_me_p9": _embed("ME", "zero", 9), "tiled_embed_nvf_p9_edge": _embed("NVF", "edge", 9), "tiled_embed_me_edge": _embed("ME", "edge")}
-    q |= {"detect_me_p7": _detect("ME", "zero", 7), "detect_me_p9": _detect("ME", "zero", 9), "tiled_detect_nvf_edge": _detect("NVF", "edge"), "tiled_detect_me": _detect("ME", "zero")}
+    q |= {"embed_me_p7": _embed("ME", "zero", 7), "embed_me_p9": _embed("ME", "zero", 9), "tiled_embed_nvf_p9_edge": _embed("NVF", "edge", 9)}
+    q |= {"window_embed_me": _embed("ME", "zero"), "window_embed_me_edge": _embed("ME", "edge"), "window_embed_nvf": _embed("NVF", "zero"), "window_embed_me_rgb": q["embed_me_rgb"]}
+    q |= {"window_detect_me": _detect("ME", "zero"), "window_detect_me_edge": _detect("ME", "edge"), "window_detect_nvf": _detect("NVF", "zero")}
+    q |= {"detect_me_p7": _detect("ME", "zero", 7), "detect_me_p9": _detect("ME", "zero", 9)}
     for p, border in ((5, "zero"), (7, "edge"), (9, "zero"), (9, "edge")):
         q[f"neighbour_sums_p{p}_{border}"] = _near_sums(p, border)
     for p in (3, 5, 7, 9):

@@ -48,7 +48,7 @@ def _coefficients(s: SparkSession, d: str, border: str = "zero") -> DataFrame:
 
 
 def _embedded(s: SparkSession, d: str, mask: str = "ME", border: str = "zero", quantize: bool = True) -> DataFrame:
-    return marking.embed(_plane(s, d), None, mask, 3, 40.0, border, quantize)
+    return tiles.embed(_plane(s, d), None, mask, 3, 40.0, border, quantize)
 
 
 def _marked(s: SparkSession, d: str, mask: str, border: str = "zero") -> DataFrame:
@@ -134,6 +134,7 @@ def nvf_mask_p7_edge(s, d):
 
 
 def detect_me_p5(s, d):
+    """By windows throughout."""
     marked = stored(_embedding("ME", 5)(s, d).withColumnRenamed("y", "v"), "marked")
     return _round(marking.detect(marked, None, "ME", 5), "correlation")
 
@@ -336,6 +337,22 @@ def _tiled_detect(mask: str, p: int, border: str = "zero") -> Query:
     return q
 
 
+def _window_embed(mask: str, border: str = "zero") -> Query:
+    return lambda s, d: marking.embed(_plane(s, d), None, mask, 3, 40.0, border).select("img", "r", "c", "y")
+
+
+def _window_detect(mask: str, border: str = "zero") -> Query:
+    def q(s, d):
+        marked = stored(_window_embed(mask, border)(s, d).withColumnRenamed("y", "v"), "marked")
+        return _round(marking.detect(marked, None, mask, 3, border), "correlation")
+
+    return q
+
+
+def window_embed_me_rgb(s, d):
+    return marking.embed_rgb(planes.rgb_plane(s, d)).select("img", "r", "c", "red", "green", "blue", "alpha")
+
+
 def tiled_embed_frames(s, d):
     return tiles.embed(_images(s, d)).select("img", "r", "c", "y")
 
@@ -475,7 +492,7 @@ def embed_me_gray_edge(s, d):
 
 
 def embed_me_rgb(s, d):
-    return marking.embed_rgb(planes.rgb_plane(s, d)).select("img", "r", "c", "red", "green", "blue", "alpha")
+    return tiles.embed_rgb(planes.rgb_plane(s, d)).select("img", "r", "c", "red", "green", "blue", "alpha")
 
 
 def strength(s, d):
@@ -490,7 +507,7 @@ def psnr_check(s, d):
 
 
 def _detect(s, d, mask: str, border: str = "zero"):
-    return _round(marking.detect(_marked(s, d, mask, border), None, mask, 3, border), "correlation")
+    return _round(tiles.detect(_marked(s, d, mask, border), None, mask, 3, border), "correlation")
 
 
 def detect_nvf(s, d):
@@ -561,15 +578,17 @@ def frame_rate(s, d):
 def queries() -> dict[str, Query]:
     plain = [gray_from_rgb, alpha_zero, channel_pivot, channel_unpivot, stride_compact, transpose, row_arrays, text_planes, event_frames, signal_plane, signal_size_check, dense_check, nvf_mask_zero, nvf_mask_edge, nvf_mask_p9_edge, predictor_coefficients, predictor_coefficients_edge, residual, me_mask, me_mask_edge, embed_nvf_gray, embed_me_gray, embed_me_gray_edge, embed_me_rgb, strength, psnr_check, detect_nvf, detect_me, detect_me_edge, detect_unmarked, arrow_embed, arrow_detect, relational_detect_frames, frame_sample, frame_embed_interval, frame_detect_interval, frame_count, frame_numbers, first_video_stream, output_suffix, frame_rate]
     plain += [nvf_mask_p7_edge, detect_me_p5, detect_nvf_edge, embed_nvf_rgb, embed_stored_signal, detect_stored_signal, signal_file, signal_table, image_files, embed_custom_mask, detect_custom_mask, flat_planes_embed, flat_planes_detect, strided_frames, strided_chroma, chroma_passes, pixel_formats, process_embeds, process_detects, streamed_embed, streamed_detect, packet_filter, report_scores, duration_texts, settings_values]
-    plain += [tiled_embed_frames, tiled_detect_frames, tiled_stored_signal, strided_marked, streamed_numbers, streamed_packets, video_segments, report_run, image_files_bmp, marker_embeds]
+    plain += [tiled_embed_frames, tiled_detect_frames, tiled_stored_signal, strided_marked, streamed_numbers, streamed_packets, video_segments, report_run, image_files_bmp, marker_embeds, window_embed_me_rgb]
     out: dict[str, Query] = {f.__name__: f for f in plain}
     for border in ("zero", "edge"):
         out |= {f"tiled_moments_{border}": _tiled_moments(border), f"sparse_neighbours_{border}": _sparse_neighbours(border), f"coefficients_in_sql_{border}": _coefficients_in_sql(border)}
     for p, border in ((3, "zero"), (5, "edge"), (9, "zero"), (9, "edge")):
         out[f"tiled_sums_p{p}_{border}"] = _tiled_sums(p, border)
     out |= {"tiled_gram_p3_edge": _tiled_gram(3, "edge"), "tiled_gram_p7": _tiled_gram(7, "zero"), "tiled_gram_p9": _tiled_gram(9, "zero")}
-    out |= {"embed_me_p7": _tiled_embed("ME", 7), "embed_me_p9": _tiled_embed("ME", 9), "tiled_embed_nvf_p9_edge": _tiled_embed("NVF", 9, "edge"), "tiled_embed_me_edge": _tiled_embed("ME", 3, "edge")}
-    out |= {"detect_me_p7": _tiled_detect("ME", 7), "detect_me_p9": _tiled_detect("ME", 9), "tiled_detect_nvf_edge": _tiled_detect("NVF", 3, "edge"), "tiled_detect_me": _tiled_detect("ME", 3)}
+    out |= {"embed_me_p7": _tiled_embed("ME", 7), "embed_me_p9": _tiled_embed("ME", 9), "tiled_embed_nvf_p9_edge": _tiled_embed("NVF", 9, "edge")}
+    out |= {"window_embed_me": _window_embed("ME"), "window_embed_me_edge": _window_embed("ME", "edge"), "window_embed_nvf": _window_embed("NVF")}
+    out |= {"window_detect_me": _window_detect("ME"), "window_detect_me_edge": _window_detect("ME", "edge"), "window_detect_nvf": _window_detect("NVF")}
+    out |= {"detect_me_p7": _tiled_detect("ME", 7), "detect_me_p9": _tiled_detect("ME", 9)}
     for p in (3, 5, 7, 9):
         out[f"window_moments_p{p}"] = _moments(p, "zero")
     out["window_moments_p5_edge"] = _moments(5, "edge")

@@ -83,6 +83,15 @@ def test_a_stored_signal_meets_its_tiles(spark, images):
             run(one, planes.make_signal(spark, 17, 32), side=16)
 
 
+@pytest.mark.parametrize("mask", ["ME", "NVF"])
+def test_colours_get_the_change_of_their_gray_plane(spark, images, mask):
+    rgb = images.where("img >= 5").select("img", "r", "c", F.col("v").alias("red"), (F.lit(255) - F.col("v")).alias("green"), (F.col("v") * 7 % 256).alias("blue"), F.when((F.col("r") + F.col("c")) % 9 == 0, 0).otherwise(255).alias("alpha"))
+    for d in (rgb, rgb.drop("alpha")):
+        a, b = tiles.embed_rgb(d, mask=mask, side=16), marking.embed_rgb(d, mask=mask)
+        assert a.columns == b.columns and a.dtypes == b.dtypes
+        assert same(a.drop("strength"), b.drop("strength"))
+
+
 def test_flat_and_singular_images_pass(spark):
     flat = spark.createDataFrame([(i, r, c, 7 if i else c) for i in range(2) for r in range(20) for c in range(20)], "img bigint, r bigint, c bigint, v bigint")
     out = tiles.embed(flat, border="edge", side=16).toPandas()
