@@ -90,6 +90,8 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K, width: int = S
 
 #: Characters of text that a bucket of neighbouring documents has on average, most buckets that cuts make, and rows of small tables that may be broadcast.
 BUCKET_CHARS, MOST_BUCKETS, MOST_BROADCAST = 8_000_000, 65_536, 100_000
+#: Rows for each bucket, besides one for each id, from which the cuts are found: an id has as many as its share of the characters asks.
+WEIGHTS = 50
 #: Stands for a null id, so that nulls come first.
 _NULL = -(1 << 63)
 
@@ -117,7 +119,8 @@ def with_next(docs: DataFrame, out: str, make, doc_id: str = "doc_id", text: str
     sizes = stored(base.groupBy("id").agg(F.sum(F.length("text").cast("bigint")).alias("chars")), "sizes")
     total = sizes.agg(F.sum("chars")).first()[0] or 0
     n = int(min(MOST_BUCKETS, max(1, total // bucket_chars)))
-    cuts = sizes.agg(F.percentile_approx("id", [i / n for i in range(1, n)], min(100_000, max(10_000, 4 * n)))).first()[0] if n > 1 else []
+    weighed = sizes.select("id", F.explode(F.array_repeat(F.lit(0), F.ceil(F.col("chars") * (WEIGHTS * n) / max(1, total)).cast("int")))) if n > 1 else sizes  # ids by their characters
+    cuts = weighed.agg(F.percentile_approx("id", [i / n for i in range(1, n)], min(100_000, max(10_000, 4 * n)))).first()[0] if n > 1 else []
     large = sizes.where(F.col("chars") > bucket_chars).select("id", F.ceil(F.col("chars") / bucket_chars).alias("parts"))
     alone = [r.id for r in large.collect()]  # at most as many as buckets of that size
     cuts = sorted({*(cuts or []), *alone, *(i + 1 for i in alone if i < (1 << 63) - 1)})

@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame functions alone.
 
-A text is normalised to lower-case words between single spaces. Hundreds of expressions, each written for a notice,
-tag or name of one license, are gated by a keyword of their own: only those whose keyword occurs are run.
+A text is normalised to lower-case words between single spaces. Hundreds of expressions, for sentences of licence texts and
+notices, grants, tags and names, are gated by a keyword of their own: only those whose keyword occurs are run.
 Overlapping detections are resolved by priority: one contained in another of higher priority, or in a longer one
 of the same, is dropped.
 """
@@ -87,6 +87,94 @@ proprietary; 50; all rights reserved; all rights reserved
 proprietary; 50; proprietary and confidential; proprietary and confidential
 proprietary; 50; unauthorized copying; unauthorized copying of this file via any medium is strictly prohibited
 proprietary; 50; confidential and proprietary; confidential and proprietary information
+gpl; 50; welcome to redistribute; this is free software and you are welcome to redistribute it under certain conditions
+gpl; 50; precise terms; the precise terms and conditions for copying distribution and modification follow
+gpl; 50; freedom to share; the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change
+gpl; 50; referring to freedom; when we speak of free software we are referring to freedom not price our general public licenses
+gpl; 50; certain numbered version; if the program specifies that a certain numbered version of the gnu general public {L}
+gpl; 50; configuration script; as a special exception to the gnu general public {L} if you distribute this file as part of a program that contains a configuration script
+gpl-exception; 50; special exception; as a special exception the copyright holders of this (?:library|program|file) give (?:you )?permission to link
+lgpl; 50; derivative work; such a work in isolation is not a derivative work of the library and therefore falls outside the scope of this {L}
+agpl; 50; interacting with it remotely; must prominently offer all users interacting with it remotely through a computer network
+agpl; 50; network server software; specifically designed to ensure cooperation with the community in the case of network server software
+gfdl; 50; invariant sections; with (?:no|the) invariant sections (?:[a-z0-9]+ ){0,20}?no back cover texts
+gfdl; 50; section entitled; a copy of the {L} is included in the section entitled gnu free documentation {L}
+apache; 50; apache org licenses; you may obtain a copy of the {L} at https? www apache org licenses license 2 0
+apache; 50; governing permissions; see the {L} for the specific language governing permissions and limitations under the {L}
+apache; 50; each contributor hereby grants; subject to the terms and conditions of this {L} each contributor hereby grants to you a perpetual worldwide
+mit; 50; without restriction; to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell
+mit; 50; noninfringement; the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+mit; 50; authors or copyright holders; in no event shall the authors or copyright holders be liable for any claim damages or other liability
+x11; 50; dealings in this software; shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization
+isc; 50; the author disclaims all; the software is provided as is and the author disclaims all warranties with regard to this software
+bsd; 50; copyright holders and contributors; this software is provided by the copyright holders and contributors as is and any express or implied warranties
+bsd; 50; redistributions in binary form; redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+bsd; 50; redistributions of source code; redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd-2-clause; 50; views and conclusions; the views and conclusions contained in the software and documentation are those of the authors and should not be interpreted as representing official policies
+bsd-3-clause; 50; name of the author; the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission
+bsd-4-clause; 50; university of california berkeley; this product includes software developed by the university of california berkeley and its contributors
+zlib; 50; must not be misrepresented; the origin of this software must not be misrepresented you must not claim that you wrote the original software
+zlib; 50; granted to anyone; permission is granted to anyone to use this software for any purpose including commercial applications
+libpng; 50; this source code; permission is hereby granted to use copy modify and distribute this source code or portions hereof for any purpose
+libtiff; 50; distribute and sell; permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee
+curl; 50; with or without fee; permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+ntp; 50; with or without fee; permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted
+unicode; 50; unicode data files; permission is hereby granted free of charge to any person obtaining a copy of the unicode data files
+boost; 50; accompanying documentation; the software and accompanying documentation covered by this {L} the software to use reproduce display distribute execute and transmit
+mpl; 50; copy of the mpl; if a copy of the mpl was not distributed with this file you can obtain one at
+mpl; 50; governing rights; see the {L} for the specific language governing rights and limitations under the {L}
+mpl; 50; incompatible with secondary; this source code form is incompatible with secondary licenses
+epl; 50; eclipse public; this program and the accompanying materials are made available under the terms of the eclipse public {L} (?:v ?)?[12] 0
+epl; 50; secondary licenses; this source code may also be made available under the following secondary licenses
+epl; 50; accompanying program; the accompanying program is provided under the terms of this eclipse public {L}
+cpl; 50; accompanying program; the accompanying program is provided under the terms of this common public {L}
+ibm-pl; 50; accompanying program; the accompanying program is provided under the terms of this ibm public {L}
+cddl; 50; opensolaris; you can obtain a copy of the {L} at usr src opensolaris {L} or
+cddl; 50; cddl header; when distributing covered (?:code|software) include this cddl header (?:notice )?in each file
+artistic; 50; standard version; you may make and give away verbatim copies of the source form of the standard version of this package
+artistic; 50; given free software package; this {L} establishes the terms under which a given free software package may be copied
+ruby; 50; the source form of the software; you may make and give away verbatim copies of the source form of the software without restriction
+ruby; 50; 2 clause bsdl; you can redistribute it and or modify it under either the terms of the 2 clause bsdl
+unlicense; 50; anyone is free to copy; anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary
+unlicense; 50; any and all copyright interest; dedicate any and all copyright interest in the software to the public domain
+wtfpl; 50; changing it is allowed; copies of this {L} document and changing it is allowed as long as the name is changed
+cc0; 50; associated a work; the person who associated a work with this deed has dedicated the work to the public domain
+cc0; 50; creativecommons org publicdomain; creativecommons org publicdomain zero 1 0
+public-domain; 50; creativecommons org publicdomain; creativecommons org publicdomain mark 1 0
+cc-by; 50; creativecommons org licenses; creativecommons org licenses by \d \d
+cc-by-sa; 50; creativecommons org licenses; creativecommons org licenses by sa \d \d
+cc-by-nc; 50; creativecommons org licenses; creativecommons org licenses by nc \d \d
+cc-by-nd; 50; creativecommons org licenses; creativecommons org licenses by nd \d \d
+cc-by-nc-sa; 50; creativecommons org licenses; creativecommons org licenses by nc sa \d \d
+cc-by-nc-nd; 50; creativecommons org licenses; creativecommons org licenses by nc nd \d \d
+ofl; 50; reserved font name; with reserved font names? [a-z0-9]+
+ofl; 50; is also available with a faq; this {L} is copied below and is also available with a faq at
+openssl; 50; any form whatsoever; redistributions of any form whatsoever must retain the following acknowledg(?:e)?ment this product includes software developed by the openssl project
+openssl; 50; openssl toolkit; the names openssl toolkit and openssl project must not be used to endorse or promote products
+ssleay; 50; eric young; this product includes cryptographic software written by eric young
+python; 50; psf hereby grants; psf hereby grants licensee a nonexclusive royalty free world ?wide {L} to reproduce analyze test perform
+python; 50; python software foundation; this {L} agreement is between the python software foundation psf and the individual or organization
+php; 50; the name php; the name php must not be used to endorse or promote products derived from this software
+postgresql; 50; without a written agreement; permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+vim; 50; charityware; vim is charityware you can use and copy it as much as you like
+ms-pl; 50; accompanying software; this {L} governs use of the accompanying software if you use the software you accept this {L}
+ms-rl; 50; for any file you distribute; for any file you distribute that contains code from the software in source code or binary format you must provide recipients the source code to that file along with a copy of this {L}
+cecill; 50; under french law; this software is governed by the cecill (?:[abc] )?{L} under french law
+sgi-b; 50; dates of first publication; the above copyright notice including the dates of first publication and either this permission notice or a reference to
+odbl; 50; open database; is made available under the open database {L}
+odbl; 50; database contents; any rights in individual contents of the database are licensed under the database contents {L}
+ogl; 50; public sector information; contains public sector information licensed under the open government {L}
+busl; 50; non production use; the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work
+elastic; 50; hosted or managed service; you may not provide the software to third parties as a hosted or managed service
+sspl; 50; service source code; available to third parties as a service you must make the service source code available
+commons-clause; 50; right to sell the software; the grant of rights under the {L} will not include and the {L} does not grant to you the right to sell the software
+llama; 50; llama; is licensed under the llama \d(?: \d)? community {L}
+openrail; 50; responsible ai; (?:open |openrail )?responsible ai {L}
+proprietary; 50; may be reproduced; no part of this (?:publication|book|document|software|program) may be reproduced
+proprietary; 50; duplication or disclosure; use duplication or disclosure by the (?:u s )?government is subject to restrictions
+proprietary; 50; decompile; you may not (?:modify )?reverse engineer decompile or disassemble
+proprietary; 50; licensed materials; licensed materials property of [a-z0-9]+
+proprietary; 50; redistribution; reproduction or redistribution (?:in whole or in part )?without (?:prior |express )?(?:written )?permission is (?:strictly )?(?:prohibited|forbidden)
 gpl; 40; general public; {by}(?:gnu )?general public {L}{v}{later}
 gpl; 40; gpl; {by}(?:gnu )?gpl(?: ?v?[123])?{v}{later}
 lgpl; 40; lesser general; {by}(?:gnu )?lesser general public {L}{v}{later}
@@ -345,7 +433,7 @@ cc-by-nc-nd; 10; cc by nc nd; cc by nc nd
 public-domain; 10; public domain; public domain
 """
 #: Strings of which every expression's match holds at least one.
-GATES = ["licen", "gpl", "wtfpl", "cc0", "cc by", "creative commons", "public domain", "permission", "redistribut", "neither the name", "proprietary", "all rights reserved", "what the fuck", "provided as is", "bsd", "copyright", "advertising", "altered source", "copied", "this product includes", "making python", "in no event shall", "software shall be used", "good and not evil", "unauthorized copying", "nasa open source"]
+GATES = ["licen", "gpl", "wtfpl", "cc0", "cc by", "creative commons", "public domain", "permission", "redistribut", "neither the name", "proprietary", "all rights reserved", "what the fuck", "provided as is", "bsd", "copyright", "advertising", "altered source", "copied", "this product includes", "making python", "in no event shall", "software shall be used", "good and not evil", "unauthorized copying", "nasa open source", "precise terms", "interacting with it remotely", "network server software", "invariant sections", "views and conclusions", "must not be misrepresented", "copy of the mpl", "cddl header", "verbatim copies", "anyone is free to copy", "creativecommons", "reserved font name", "endorse or promote", "charityware", "hosted or managed service", "service source code", "may be reproduced", "duplication or disclosure", "decompile or disassemble"]
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:

@@ -95,7 +95,7 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = turns.select("conv", "turn").distinct().groupBy("conv").agg((F.max("turn") - F.min("turn") + 1 - F.count("turn")).alias("gaps"))
     out = every.select("conv_id").distinct().withColumn("conv", repair.conv_key())
     for part in (audit, seen, repair.digests(repaired)):
-        out = out.join(part, "conv", "left")
+        out = out.join(part.hint("merge"), "conv", "left")
     zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 

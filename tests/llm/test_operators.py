@@ -610,3 +610,26 @@ def test_components_of_graphs(spark):
     got = joined(spark.createDataFrame([*edges, (None, 3), (4, None)], "a bigint, b bigint").repartition(3))
     assert {r.node: r.root for r in got.collect()} == {x: find(x) for x in top}
     assert joined(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_licence_sentences_are_told_apart(spark):
+    said = {
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose with or without fee is hereby granted": "ntp",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice": "curl",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": "mpl",
+        "To view a copy, visit http://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+        "with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.": "gfdl",
+        "You may not reverse engineer, decompile, or disassemble it": "proprietary",
+        "The accompanying program is provided under the terms of this IBM Public License": "ibm-pl",
+        "This program is distributed: you may copy it verbatim, says the service.": "",
+    }
+    got = {r.text: r for r in licenses.scan(spark.createDataFrame([(t,) for t in said], "text string")).collect()}
+    for t, label in said.items():
+        assert label in got[t].labels.split(",") and (got[t].score == 1.0) == bool(label), (t, got[t].labels)
+    assert len(licenses.rules()) > 390 and sum(priority == 50 for *_, priority, _ in licenses.rules()) > 130
+
+
+def test_fingerprint_cuts_follow_characters(spark):
+    rows = [(i, "x" * (200 if i < 40 else 10)) for i in range(400)]
+    seen = fingerprint.with_next(spark.createDataFrame(rows, "doc_id bigint, text string"), "first bigint, chars bigint", lambda: lambda i, t, n: [[i[0]], [sum(map(len, t))]], bucket_chars=1000).collect()
+    assert sum(r.chars for r in seen) == 40 * 200 + 360 * 10 and max(r.chars for r in seen) <= 4000 and len(seen) >= 5  # 7,200 and more by numbers of ids alone
