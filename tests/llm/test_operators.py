@@ -278,7 +278,7 @@ def test_empty_tables(spark):
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_queries_equal_their_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     r = db.execute(oracles.oracle_sql()[name])
     cols = [d[0] for d in r.description]
