@@ -6,11 +6,13 @@ Every stage takes (spark, docs, sf_dir) and returns what it keeps with the colum
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelveil.functions.tables import settled
 from pixelveil.llm import decontaminate, jaccard, language, quality
 from pixelveil.llm.bpe import bpe
 from pixelveil.llm.common import small_or_not, stored, with_import_path
@@ -98,8 +100,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between stages, a table in the shared folder."""
+    """All stages over ``documents``; between stages, a table in the shared folder. A stage's other tables are removed when it is done."""
     docs = with_import_path(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

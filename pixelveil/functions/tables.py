@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +44,18 @@ def file_system(spark: SparkSession, path: str) -> tuple:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _drop_all() -> None:
-    for spark, path in _MADE:
+def _drop(made: list[tuple]) -> None:
+    for spark, path in made:
         if getattr(spark.sparkContext, "_jsc", None) is not None:
             try:
                 fs, p = file_system(spark, path)
                 fs.delete(p, True)
             except Exception:  # noqa: BLE001  the session may have ended, and the table's folder with it
                 continue
+
+
+def _drop_all() -> None:
+    _drop(_MADE)
     for d in _OWN:
         shutil.rmtree(d, ignore_errors=True)
 
@@ -65,6 +70,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """``make()`` as a stored table; the tables that were stored on the way to it are removed when it is there."""
+    began = len(_MADE)
+    out = stored(make(), what)
+    _drop(_MADE[began:-1])
+    del _MADE[began:-1]
+    return out
+
+
 def with_import_path(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver found it, as tests and notebooks need.
 

@@ -136,6 +136,23 @@ def test_settings_tables_equal_the_getters(spark):
         assert (got[f"k{i}"].n, got[f"k{i}"].f) == (own.integer("a", f"k{i}", None), own.flag("a", f"k{i}", None))
 
 
+def test_tables_on_the_way_are_removed(spark):
+    from pixelveil.functions import tables
+
+    before = tables.stored(spark.range(3), "before")
+    on_the_way = []
+
+    def make():
+        middle = tables.stored(before.where("id > 0").coalesce(1), "middle")
+        on_the_way.extend(middle.inputFiles())
+        return tables.stored(middle, "late").select((F.col("id") * 2).alias("x"))
+
+    out = tables.settled(make, "out")
+    fs, at = tables.file_system(spark, on_the_way[0])
+    assert sorted(r.x for r in out.collect()) == [2, 4]
+    assert not fs.exists(at) and before.count() == 3
+
+
 def test_runs_are_counted_and_timed(spark, tmp_path):
     kept, n, seconds = sinks.timed(frames(spark), str(tmp_path / "t"))
     assert n == kept.count() == 19 and seconds > 0
