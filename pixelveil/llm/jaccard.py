@@ -9,7 +9,8 @@ opened and compared member by member.
 2. Equal texts count once a task, then once. A set of n tokens has ceil(3n/4) of them in common with any partner, so sets that link share SHARED tokens (or
    as many as that) of their prefixes in this order. Tokens in the prefix of one set only are dropped, then sets
    with too few others, and so on. Which sets share a token is found by a window over the token; the frequent tokens,
-   which are shared as it is, needn't meet for that and are spread, so no token's rows are many.
+   which are shared as it is, needn't meet for that and are spread, so no token's rows are many. Where rows join by token, a
+   token of many rows is dealt over parts on both sides.
 3. The remaining sets are put into groups by their least token, in blocks of bounded size: linked sets join, and a
    set of which much is in a group's first set joins that group without a link. The first sets of all groups are
    grouped again by the least token in other orders, until what shares a token fits a block.
@@ -38,6 +39,9 @@ from .graph import components
 BLOCK, OPEN = 256, 128
 #: Tokens that texts share within SEEN tokens of a task are put last, at most MOST_FREQUENT of them: they only steer the order.
 SEEN, MOST_FREQUENT = 1_200_000, 1_000_000
+#: Rows of one token that meet in a task of a join by token, on either side; a token with more is dealt over parts. Beyond SPREAD * MOST_SPREAD
+#: rows in all it grows with them, so at most MOST_SPREAD tokens are dealt and their table, which is broadcast, is bounded.
+SPREAD, MOST_SPREAD = 4096, 500_000
 #: Tokens that the prefixes of linked sets share at least, and turns in which sets and tokens without partners are dropped.
 SHARED, TURNS = 4, 2
 #: Percentage of similarity to a group's first set at which a set joins it without a link; any value gives the same links.
@@ -90,17 +94,18 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
 def _frequent(seen: DataFrame) -> np.ndarray:
     """The tokens of (sid, seen) rows that are seen most, at most ``MOST_FREQUENT``, the most frequent last.
 
-    A histogram over eighths of powers of two sets the least number of times; no sort meets in one task.
+    A histogram over eighths of powers of two sets the least number of times, and of the step that doesn't fit as a whole the share of
+    its tokens that does, by a hash; no sort meets in one task.
     """
     total = stored(seen.groupBy("sid").agg(F.sum("seen").alias("seen")), "frequent")
     step = F.floor(F.log2("seen") * 8).cast("int")
-    low, n = 1 << 30, 0
+    low, share, n = 1 << 30, 1000, 0
     for r in sorted(total.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):  # a few hundred rows
-        n += r["count"]
+        low, n = r.step, n + r["count"]
         if n > MOST_FREQUENT:
+            share = 1000 * (MOST_FREQUENT - n + r["count"]) // r["count"]
             break
-        low = r.step
-    t = total.where(step >= low).toArrow()
+    t = total.where((step > low) | (step == low) & (F.pmod(F.xxhash64("sid"), F.lit(1000)) < share)).toArrow()
     tokens, times = t["sid"].to_numpy(), t["seen"].to_numpy()
     return tokens[np.lexsort((tokens, times))].view(np.uint64).copy()
 
@@ -293,6 +298,30 @@ def _blocks(counts: DataFrame, key: str, size: int) -> DataFrame:
     return counts.select(key, F.ceil(F.col("count") / size).cast("int").alias("blocks"))
 
 
+def _wide(postings: DataFrame, most: int) -> DataFrame | None:
+    """(token, lefts): the tokens of more than ``most`` rows, of which there are few, and over how many parts each is dealt."""
+    counts = postings.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > most)
+    wide = stored(counts.select("token", F.ceil(F.col("k") / most).cast("int").alias("lefts")), "wide")
+    return wide if wide.count() else None
+
+
+def _dealt(rows: DataFrame, wide: DataFrame, by: str | None, own: str, part: str, copies: tuple[str, str] | None) -> DataFrame:
+    """``rows`` with the number ``part`` of ``own`` parts that ``by`` puts a row in, once for each part of the other side."""
+    parts = lambda n: F.coalesce(n, F.lit(1))
+    new = [F.pmod(F.xxhash64(by), parts(own)).cast("int").alias(part)] if by else []
+    new += [F.explode(F.sequence(F.lit(0), parts(copies[0]) - 1)).alias(copies[1])] if copies else []
+    return rows.join(F.broadcast(wide), "token", "left").select(*rows.columns, *new)
+
+
+def _meet(left: DataFrame, right: DataFrame, wide: DataFrame | None, by: str | None = None) -> DataFrame:
+    """``left`` joined with ``right`` by token. Rows of a wide token are dealt by set on the left, and on the right by ``by`` (if null,
+    a token has one row there); every part meets a copy of every part of the other side, so no key holds more than a part of each."""
+    if wide is None:
+        return left.join(right, "token")
+    left = _dealt(left, wide, "sid", "lefts", "l", ("rights", "r") if by else None)
+    return left.join(_dealt(right, wide, by, "rights", "r", ("lefts", "l")), ["token", "l", *(["r"] if by else [])]).drop("l", "r")
+
+
 def _groups(sets: DataFrame, percent: int, block: int) -> DataFrame:
     """(sid, part, group): parts of linked sets and groups of similar parts, until every key's groups fit one block."""
     base, leaders, turns = sets.select("sid", F.col("sid").alias("part"), F.col("sid").alias("group")), sets, len(_TURNED) + 1
@@ -362,7 +391,7 @@ def _open(sets: DataFrame, comp: DataFrame, queries: DataFrame, percent: int, bl
     return by_group(rows, 3, "a bigint, b bigint", make)
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = 75, block: int = BLOCK, open_block: int = OPEN) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = 75, block: int = BLOCK, open_block: int = OPEN, spread: int = SPREAD) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``.
 
     Two texts link when 100 * |A and B| >= ``percent`` * |A or B| over their sets of ``width``-word shingles; the
@@ -385,13 +414,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     every = _postings(base.where("doc_id is not null").select("text"), width, shared)
     found = every.select("*", F.min("sid").over(by_token).alias("lo"), F.max("sid").over(by_token).alias("hi"), F.max("short").over(by_token).alias("any"))
     found = found.where("token is not null or lo <> hi and any")
-    postings = stored(found.select(F.coalesce("token", "key").alias("token"), "sid", "n", "short").distinct(), "postings")
+    once = found.select("key", "token", "sid", "n", "short").distinct()  # rows of one token and set are together already
+    postings = stored(once.select(F.coalesce("token", "key").alias("token"), "sid", "n", "short"), "postings")
+    most = max(spread, postings.count() // MOST_SPREAD)
+    wide = _wide(postings, most)
 
     for _ in range(TURNS):
         enough = postings.groupBy("sid").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k")).select("sid")
         left = postings.join(enough, "sid")
         again = left.groupBy("token").agg(F.count("*").alias("k"), F.max("short").alias("any")).where("k > 1 and any").select("token")
-        postings = stored(left.join(again, "token").select("token", "sid", "n", "short"), "postings")
+        postings = stored(_meet(left, again, wide).select("token", "sid", "n", "short"), "postings")
 
     active = stored(postings.select("sid").distinct().join(rows.where("doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid"), "active")
     texts = base.join(small_or_not(active, active.count(), MOST_BROADCAST), "doc_id").select("doc_id", "sid", "text")
@@ -403,7 +435,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sizes = _sized(comp.groupBy("group").agg(F.count("*").alias("size")), "sizes")
     matrix = postings.join(comp.join(sizes, "group").select("sid", "part", F.col("group").alias("home"), "size"), "sid")
     row = matrix.groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("short").alias("any"), F.max("size").alias("large"))
-    probe = matrix.join(row.select(F.col("token"), F.col("home").alias("group"), "least", "most", "any", "large"), "token")
+    row = row.select("token", F.col("home").alias("group"), "least", "most", "any", "large")
+    if wide is not None:
+        row = stored(row, "matrix")
+        groups = row.join(F.broadcast(wide), "token").groupBy("token").agg(F.ceil(F.count("*") / most).cast("int").alias("rights"))
+        wide = stored(wide.join(groups, "token"), "wide")
+    probe = _meet(matrix, row, wide, "group")
     probe = probe.where(f"(size < large or size = large and home < group) and (short or any) and {percent} * n <= 100 * most and {percent} * least <= 100 * n")
     bound = probe.groupBy("sid", F.col("part").alias("own"), "group").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(_needed("n") <= F.col("k"))
     queries = stored(bound.select("sid", "own", "group").union(_within(comp)), "queries")

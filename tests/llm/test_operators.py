@@ -127,6 +127,53 @@ def test_jaccard(spark, corpus, docs, block):
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
+def test_jaccard_with_wide_tokens(spark, monkeypatch):
+    """Texts with one opening, some linked: the joins by token deal it over parts, and links are those of all pairs."""
+    opening = words(60, 5)
+    rows = [(i, f"{opening} " + " ".join(f"own{i}x{k}" for k in range(10 + i % 7))) for i in range(120)]
+    rows += [(200 + i, " ".join(w for k, w in enumerate(t.split()) if k != 65)) for i, t in rows[:20]]
+    dealt, meet = [], jaccard._meet
+    monkeypatch.setattr(jaccard, "_meet", lambda left, right, wide, by=None: (dealt.append(wide.agg(F.max("lefts")).first()[0]), meet(left, right, wide, by))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), spread=8).collect()}
+    assert got == components(rows)
+    assert len(dealt) == jaccard.TURNS + 1 and min(dealt) > 4
+
+
+@pytest.mark.parametrize("by", [None, "group"])
+def test_wide_tokens_are_dealt_on_both_sides(spark, by):
+    """The join gives each pair once, and no key of it holds many more rows of a side than a part has."""
+    left = spark.range(900).select(F.when(F.col("id") < 600, 7).otherwise(F.col("id")).cast("bigint").alias("token"), F.col("id").alias("sid"))
+    groups = spark.range(300).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id") + 500).cast("bigint").alias("token"), F.col("id").alias("group"))
+    right = groups if by else groups.select("token").distinct()
+    wide = jaccard._wide(left, 100).withColumn("rights", F.lit(4))
+    assert [tuple(r) for r in wide.collect()] == [(7, 6, 4)]
+    got = jaccard._meet(left, right, wide, by)
+    assert sorted(got.collect()) == sorted(left.join(right, "token").collect())
+    assert jaccard._wide(left, 600) is None and jaccard._meet(left, right, None, by).count() == got.count()
+    keys = ["l", "r"] if by else ["l"]
+    parts = jaccard._dealt(left, wide, "sid", "lefts", "l", ("rights", "r") if by else None).where("token = 7").groupBy(keys).count()
+    assert parts.count() == (24 if by else 6) and parts.agg(F.max("count")).first()[0] < 150
+    if by:
+        parts = jaccard._dealt(right, wide, by, "rights", "r", ("lefts", "l")).where("token = 7").groupBy("l", "r").count()
+        assert parts.count() == 24 and parts.agg(F.max("count")).first()[0] < 80
+
+
+@pytest.mark.parametrize("most", [10, 300, 5000])
+def test_frequent_tokens_fill_their_bound(spark, monkeypatch, most):
+    """A step of the histogram that doesn't fit as a whole gives a share; rarer steps give nothing."""
+    monkeypatch.setattr(jaccard, "MOST_FREQUENT", most)
+    rows = [(t, 64) for t in range(1000)] + [(t, 200) for t in range(1000, 1050)] + [(t, 2) for t in range(2000, 2300)]
+    got = jaccard._frequent(spark.createDataFrame(rows, "sid bigint, seen bigint")).tolist()
+    times = [dict(rows)[t] for t in got]
+    assert times == sorted(times) and len(set(got)) == len(got) and len(got) <= 1.2 * most + 10
+    if most == 10:
+        assert 0 < len(got) and set(times) == {200}
+    elif most == 300:
+        assert times.count(200) == 50 and 150 < times.count(64) < 350 and 2 not in times
+    else:
+        assert len(got) == len(rows)
+
+
 def test_language_on_held_out_rows(spark):
     rows = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     out = queries.op4_language(spark, "/root/testdata/sf0.01").where("held_out").collect()
