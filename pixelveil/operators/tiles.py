@@ -281,8 +281,8 @@ def signal_block(r: np.ndarray, c: np.ndarray, h: int, w: int, seed: int = SEED)
     """The deterministic signal of blocks that begin at ``r`` and ``c``, as a stack; places before the plane's begin don't matter."""
     y = (r[:, None] + np.arange(h))[:, :, None]
     x = (c[:, None] + np.arange(w))[:, None, :]
-    a = ((y * 7919 + x * 104729 + seed) * 48271) % 2147483647
-    b = ((y * 15485863 + x * 32452843 + 17) * 16807) % 2147483647
+    a = (y * 7919 + x * 104729 + seed) % 2147483647 * 48271 % 2147483647
+    b = (y * 15485863 + x * 32452843 + 17) % 2147483647 * 16807 % 2147483647
     return np.sqrt(-2 * np.log((a + 1) / 2147483648.0)) * np.cos(b * 6.283185307179586 / 2147483647.0)
 
 

@@ -48,8 +48,8 @@ class TileBackend:
 def signal_array(rows: int, cols: int, seed: int = SEED) -> np.ndarray:
     """The deterministic signal of a whole plane."""
     r, c = np.arange(rows, dtype=np.int64)[:, None], np.arange(cols, dtype=np.int64)[None, :]
-    a = ((r * 7919 + c * 104729 + seed) * 48271) % 2147483647
-    b = ((r * 15485863 + c * 32452843 + 17) * 16807) % 2147483647
+    a = (r * 7919 + c * 104729 + seed) % 2147483647 * 48271 % 2147483647
+    b = (r * 15485863 + c * 32452843 + 17) % 2147483647 * 16807 % 2147483647
     return np.sqrt(-2 * np.log((a + 1) / 2147483648.0)) * np.cos(b * 6.283185307179586 / 2147483647.0)
 
 
