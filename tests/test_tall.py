@@ -30,3 +30,8 @@ def test_signals_of_far_places_stay_in_64_bits(spark):
     a, b = ([(r * y + 5 * x + s) * f % m for r in far] for y, x, s, f in ((7919, 104729, pixel.SEED, 48271), (15485863, 32452843, 17, 16807)))
     want = np.sqrt(-2 * np.log((np.array(a) + 1) / 2147483648.0)) * np.cos(np.array(b) * 6.283185307179586 / m)
     assert np.allclose(got, want) and np.allclose(tiles.signal_block(np.array(far), np.full(4, 5), 1, 1).ravel(), want)
+
+
+def test_a_tall_signal_is_stored_as_a_table(spark, tmp_path):
+    sinks.write_signal(planes.make_signal(spark, TALL, 3), str(tmp_path / "w"))
+    assert spark.read.parquet(str(tmp_path / "w")).selectExpr("count(*)", "max(r)", "max(c)").first() == (TALL * 3, TALL - 1, 2)
