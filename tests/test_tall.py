@@ -35,3 +35,10 @@ def test_signals_of_far_places_stay_in_64_bits(spark):
 def test_a_tall_signal_is_stored_as_a_table(spark, tmp_path):
     sinks.write_signal(planes.make_signal(spark, TALL, 3), str(tmp_path / "w"))
     assert spark.read.parquet(str(tmp_path / "w")).selectExpr("count(*)", "max(r)", "max(c)").first() == (TALL * 3, TALL - 1, 2)
+
+
+def test_a_tall_plane_is_marked_by_windows(spark):
+    """The deterministic signal as a table gives what the computed one gives."""
+    px, signal = tall(spark), planes.make_signal(spark, TALL, 3)
+    a, b = marking.embed(px, signal).select("img", "r", "c", "y"), marking.embed(px).select("img", "r", "c", "y")
+    assert a.count() == TALL * 3 and not a.exceptAll(b).count()
