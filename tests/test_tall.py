@@ -42,3 +42,9 @@ def test_a_tall_plane_is_marked_by_windows(spark):
     px, signal = tall(spark), planes.make_signal(spark, TALL, 3)
     a, b = marking.embed(px, signal).select("img", "r", "c", "y"), marking.embed(px).select("img", "r", "c", "y")
     assert a.count() == TALL * 3 and not a.exceptAll(b).count()
+
+
+def test_a_tall_plane_is_marked_by_tiles(spark):
+    px, signal = tall(spark), planes.make_signal(spark, TALL, 3, 7)
+    a, b = tiles.embed(px, signal).select("img", "r", "c", "y"), marking.embed(px, signal).select("img", "r", "c", "y")
+    assert a.count() == TALL * 3 and not a.exceptAll(b).count()
