@@ -48,3 +48,10 @@ def test_a_tall_plane_is_marked_by_tiles(spark):
     px, signal = tall(spark), planes.make_signal(spark, TALL, 3, 7)
     a, b = tiles.embed(px, signal).select("img", "r", "c", "y"), marking.embed(px, signal).select("img", "r", "c", "y")
     assert a.count() == TALL * 3 and not a.exceptAll(b).count()
+
+
+def test_a_tall_plane_is_detected(spark):
+    signal = planes.make_signal(spark, TALL, 3, 7)
+    marked = marking.embed(tall(spark), signal, "NVF").selectExpr("img", "r", "c", "y v").localCheckpoint()
+    found = marking.detect(marked, signal, "NVF").first().correlation
+    assert found > 0.01 and abs(tiles.detect(marked, signal, "NVF").first().correlation - found) < 1e-9
