@@ -55,3 +55,15 @@ def test_a_tall_plane_is_detected(spark):
     marked = marking.embed(tall(spark), signal, "NVF").selectExpr("img", "r", "c", "y v").localCheckpoint()
     found = marking.detect(marked, signal, "NVF").first().correlation
     assert found > 0.01 and abs(tiles.detect(marked, signal, "NVF").first().correlation - found) < 1e-9
+
+
+def test_a_tall_signal_is_read_from_segments_and_from_one_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SEGMENT_BYTES", 200_000)
+    sinks.write_signal_file(planes.make_signal(spark, TALL, 3), str(tmp_path / "w"))
+    want = signal_array(TALL, 3).ravel()
+    (tmp_path / "w.bin").write_bytes(b"".join(x.read_bytes() for x in sorted((tmp_path / "w").glob("*.f32"))))
+    for path in ("w", "w.bin"):
+        got = planes.read_signal(spark, str(tmp_path / path), TALL, 3).orderBy("r", "c").toPandas()
+        assert (got.r * 3 + got.c).tolist() == list(range(TALL * 3)) and np.allclose(got.w, want, atol=1e-6)
+    with pytest.raises(ValueError, match="at least 1"):
+        planes.read_signal(spark, str(tmp_path / "w"), 0, 3)
