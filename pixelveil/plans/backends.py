@@ -23,7 +23,7 @@ from pixelveil.functions.runs import whole_runs
 from pixelveil.functions.tables import with_import_path
 from pixelveil.operators import marking, predictor, tiles
 from pixelveil.operators.neighbourhood import check
-from pixelveil.sources.planes import MOST, read_signal
+from pixelveil.sources.planes import read_signal
 
 
 class Backend(Protocol):
@@ -171,8 +171,8 @@ class Marker:
     backend: type = TileBackend
 
     def __post_init__(self):
-        if not (0 < self.rows <= MOST and 0 < self.cols <= MOST):
-            raise ValueError(f"rows and columns must be from 1 to {MOST}")
+        if self.rows < 1 or self.cols < 1:
+            raise ValueError("rows and columns must be at least 1")
         check(self.p, self.border)
         target_rms(self.psnr)
 

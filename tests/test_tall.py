@@ -67,3 +67,13 @@ def test_a_tall_signal_is_read_from_segments_and_from_one_file(spark, tmp_path,
         assert (got.r * 3 + got.c).tolist() == list(range(TALL * 3)) and np.allclose(got.w, want, atol=1e-6)
     with pytest.raises(ValueError, match="at least 1"):
         planes.read_signal(spark, str(tmp_path / "w"), 0, 3)
+
+
+def test_a_marker_of_a_tall_signal(spark, tmp_path):
+    sinks.write_signal_file(planes.make_signal(spark, TALL, 3), str(tmp_path / "w"))
+    px = tall(spark)
+    marked = Marker.create(spark, TALL, 3, str(tmp_path / "w")).embed(px).select("img", "r", "c", "y")
+    plain = tiles.embed(px).selectExpr("img", "r", "c", "y z")
+    assert marked.join(plain, ["img", "r", "c"]).selectExpr("count(*)", "max(abs(y - z)) <= 1").first() == (TALL * 3, True)  # floats of 32 bits
+    with pytest.raises(ValueError, match="at least 1"):
+        Marker(0, 3, px)
