@@ -82,10 +82,13 @@ BAND, MOST_BROADCAST = 64, 1_000_000
 def with_scalars(px: DataFrame, scalars: DataFrame) -> DataFrame:
     """Pixels with the columns of one row per image ``(img, rows, ...)``, where ``rows`` is the image's last row.
 
-    The key is (img, band of rows), so the pixels of one large image are spread over tasks, whatever join Spark takes.
+    The key is (img, band of rows), so the pixels of one large image are spread over tasks, whatever join Spark takes. Every image has
+    its row, but the join is a left one, as Spark broadcasts the side whose file is small, and that of many flat pixels is: only the
+    scalars may be broadcast. Filters on them that nulls don't pass would make it an inner join again.
     """
     bands = scalars.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("rows") / BAND))).alias("band__")).drop("rows")
-    return px.withColumn("band__", F.floor(F.col("r") / BAND)).join(bands, ["img", "band__"]).drop("band__")
+    sound = px.where(F.col("img").isNotNull() & (F.col("r") >= 0))
+    return sound.withColumn("band__", F.floor(F.col("r") / BAND)).join(bands, ["img", "band__"], "left").drop("band__")
 
 
 def sparse_images(px: DataFrame) -> DataFrame:
@@ -103,6 +106,7 @@ def neighbours_by_join(px: DataFrame, p: int = 3, border: str = "zero", value: s
     pad = check(p, border)
     size = px.groupBy("img").agg(F.max("r").alias("rows"), F.max("r").alias("last_r"), F.max("c").alias("last_c"))
     both = with_scalars(px.select("img", "r", "c", value), size)
+    within = lambda at, last: (F.col(at) >= 0) & (F.col(at) <= F.coalesce(last, at))  # noqa: E731  nulls pass, as with_scalars asks
 
     def seen_from(x: str) -> Column:
         """(place, offset) of the lines from which this line is seen ``offset`` on."""
@@ -115,8 +119,8 @@ def neighbours_by_join(px: DataFrame, p: int = 3, border: str = "zero", value: s
         return F.filter(F.array(*plain, *beyond), lambda t: t.isNotNull())
 
     sent = both.select("img", F.explode(seen_from("r")).alias("y"), F.col("c"), "last_c", F.col(value).alias("x__"), F.col("last_r"))
-    sent = sent.where((F.col("y.at") >= 0) & (F.col("y.at") <= F.col("last_r"))).select("img", F.col("y.at").alias("r"), F.col("y.d").alias("dr"), F.explode(seen_from("c")).alias("z"), "last_c", "x__")
-    sent = sent.where((F.col("z.at") >= 0) & (F.col("z.at") <= F.col("last_c"))).select("img", "r", F.col("z.at").alias("c"), (F.col("dr") * p + F.col("z.d")).alias("k"), "x__")
+    sent = sent.where(within("y.at", "last_r")).select("img", F.col("y.at").alias("r"), F.col("y.d").alias("dr"), F.explode(seen_from("c")).alias("z"), "last_c", "x__")
+    sent = sent.where(within("z.at", "last_c")).select("img", "r", F.col("z.at").alias("c"), (F.col("dr") * p + F.col("z.d")).alias("k"), "x__")
     cells = [(dr, dc) for dr in range(-pad, pad + 1) for dc in range(-pad, pad + 1) if dr or dc]
     own = F.max(F.when(F.col("k") == 0, F.col("x__")))
     met = sent.groupBy("img", "r", "c").agg(own.alias(value), *[F.coalesce(F.max(F.when(F.col("k") == dr * p + dc, F.col("x__"))), F.lit(0)).alias(n) for n, (dr, dc) in zip(names(p), cells, strict=True)])
